@@ -11,16 +11,17 @@ from riskloom.operators import evaluation as ev
 from riskloom.operators import models as md
 from riskloom.operators.features import feature_steps
 from riskloom.operators.splits import stratified_split
+from riskloom.plans.frames import written
 
 _KEY, _TARGET = "record_key", "is_loss_making"
 
 
 def _prepared(t):
     """Feature frames of train and test records."""
-    df = records(t).drop("record_id")
+    df = written(records(t).drop("record_id"))
     train, test = stratified_split(df, _TARGET, _KEY, 0.2)
     fitted, x = feature_steps(key=_KEY).fit_transform(train)
-    return x, fitted.transform(test), [c for c in x.columns if c not in (_KEY, _TARGET)]
+    return x, written(fitted.transform(test)), [c for c in x.columns if c not in (_KEY, _TARGET)]
 
 
 def _logistic(t):

@@ -21,8 +21,10 @@ _EXPRESSIONS = {
     "prior_claims": "CASE WHEN o_orderkey % 25 = 0 THEN NULL ELSE CAST(o_orderkey % 11 AS {real}) END",
     "years_trading": """CASE WHEN o_orderkey % 27 = 0 THEN NULL WHEN o_orderkey % 33 = 0 THEN CAST(-3 AS {real})
         ELSE CAST((o_orderkey * 7) % 51 AS {real}) END""",
-    "loss_ratio": "((o_orderkey * 7919) % 4001) / CAST(1000 AS {real})",
-    "is_loss_making": "(((o_orderkey * 7919) % 4001 > 1000) <> (o_orderkey % 60 = 9))",
+    "loss_ratio": """((o_orderkey * 7919) % 2001 + (o_orderkey % 11) * 120
+        + CASE WHEN o_orderkey % 71 = 0 THEN 5000 ELSE 0 END) / CAST(1000 AS {real})""",
+    "is_loss_making": """(((o_orderkey * 7919) % 2001 + (o_orderkey % 11) * 120
+        + CASE WHEN o_orderkey % 71 = 0 THEN 5000 ELSE 0 END > 1000) <> (o_orderkey % 60 = 9))""",
 }
 
 _JOINED = """orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey

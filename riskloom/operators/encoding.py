@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.hashing import fold_of
 from riskloom.operators.binning import CustomDiscretizer, Discretizer, QuantileDiscretizer
-from riskloom.operators.profiling import classes_of
+from riskloom.operators.profiling import MAX_CLASSES, classes_of
 from riskloom.operators.stages import FitStage, FittedStage
 from riskloom.plans.frames import attach, numeric_columns, settle, string_columns, unpivot
 
@@ -202,26 +202,47 @@ class OOFGroupEncoder(FitStage):
         "n_splits": 5, "random_state": 42, "key": "record_id", "hash_method": "xxhash",
     }
 
-    def _fit(self, dataset: DataFrame) -> GroupMeanModel:
-        group, value = self.setting("group_col"), F.col(self.setting("loss_ratio_col"))
-        means = dataset.where(F.col(group).isNotNull()).groupBy(group).agg(F.avg(value).alias("__mean")).where("__mean IS NOT NULL")
-        overall = dataset.agg(F.avg(value)).first()[0]
+    def _totals(self, dataset: DataFrame) -> DataFrame:
+        """Sum and count per group, over all rows and over all folds but i; missing group included."""
+        value = F.col(self.setting("loss_ratio_col"))
+        aggs = [F.sum(value).alias("s"), F.count(value).alias("n")]
+        if "__fold" in dataset.columns:
+            for i in range(self.setting("n_splits")):
+                other = F.when(F.col("__fold") != i, value)
+                aggs += [F.sum(other).alias(f"s{i}"), F.count(other).alias(f"n{i}")]
+        return settle(dataset.groupBy(self.setting("group_col")).agg(*aggs))
+
+    def _model(self, totals: DataFrame) -> GroupMeanModel:
+        group = self.setting("group_col")
+        overall = totals.agg(F.try_divide(F.sum("s"), F.sum("n"))).first()[0]
+        means = totals.where(F.col(group).isNotNull() & (F.col("n") > 0)).select(group, (F.col("s") / F.col("n")).alias("__mean"))
         config = {"group_col": group, "score_col": self.setting("score_col")}
-        return GroupMeanModel(config, {"global_mean": overall}, {"means": settle(means)})
+        return GroupMeanModel(config, {"global_mean": overall}, {"means": means})
 
-    def out_of_fold(self, dataset: DataFrame) -> DataFrame:
+    def _fit(self, dataset: DataFrame) -> GroupMeanModel:
+        return self._model(self._totals(dataset))
+
+    def _folded(self, dataset: DataFrame) -> DataFrame:
+        settings = (self.setting("key"), self.setting("n_splits"), self.setting("random_state"), self.setting("hash_method"))
+        return dataset.withColumn("__fold", fold_of(*settings))
+
+    def _scored(self, rows: DataFrame, totals: DataFrame) -> DataFrame:
         k, group = self.setting("n_splits"), self.setting("group_col")
-        fold = fold_of(self.setting("key"), k, self.setting("random_state"), self.setting("hash_method"))
-        value = F.col(self.setting("loss_ratio_col"))
-        rows = dataset.withColumn("__fold", fold)
-        others = [F.avg(F.when(F.col("__fold") != i, value)).alias(f"__o{i}") for i in range(k)]
-        overall = rows.agg(*others).first()
-        table = settle(rows.where(F.col(group).isNotNull()).groupBy(group).agg(*others))
-        pick = F.element_at(F.array(*[F.coalesce(F.col(f"__o{i}"), F.lit(overall[f"__o{i}"])) for i in range(k)]), F.col("__fold") + 1)
-        return attach(rows, table, [group]).withColumn(self.setting("score_col"), pick).drop("__fold", *[f"__o{i}" for i in range(k)])
+        overall = totals.agg(*[F.try_divide(F.sum(f"s{i}"), F.sum(f"n{i}")).alias(f"o{i}") for i in range(k)]).first()
+        folds = F.array(*[F.coalesce(F.try_divide(f"s{i}", f"n{i}"), F.lit(overall[f"o{i}"])) for i in range(k)])
+        table = totals.where(F.col(group).isNotNull()).select(group, folds.alias("__means"))
+        default = F.array(*[F.lit(overall[f"o{i}"]).cast("double") for i in range(k)])
+        score = F.element_at(F.coalesce("__means", default), F.col("__fold") + 1)
+        return attach(rows, table, [group]).withColumn(self.setting("score_col"), score).drop("__fold", "__means")
+
+    def out_of_fold(self, dataset: DataFrame) -> DataFrame:
+        rows = self._folded(dataset)
+        return self._scored(rows, self._totals(rows))
 
     def fit_transform(self, dataset: DataFrame) -> tuple[GroupMeanModel, DataFrame]:
-        return self.fit(dataset), self.out_of_fold(dataset)
+        rows = self._folded(dataset)
+        totals = self._totals(rows)
+        return self._model(totals), self._scored(rows, totals)
 
 
 class GroupMeanModel(FittedStage):
@@ -236,7 +257,7 @@ class CategoricalEncoder(FitStage):
     defaults = {"nominal_cols": [], "ordinal_col_map": {}}
 
     def _fit(self, dataset: DataFrame) -> CategoricalModel:
-        categories = {c: classes_of(dataset.select(F.col(c).cast("string").alias(c)), c)[1:] for c in self.setting("nominal_cols")}
+        categories = _categories(dataset, self.setting("nominal_cols"))
         used: set[str] = {c.lower() for c in dataset.columns}
         names: dict[str, list[list[str]]] = {}
         for c, values in categories.items():
@@ -251,6 +272,15 @@ class CategoricalEncoder(FitStage):
         return CategoricalModel({"ordinal_col_map": self.setting("ordinal_col_map")}, {"names": names})
 
 
+def _categories(df: DataFrame, columns: list[str]) -> dict[str, list[str]]:
+    """Sorted values of each column without the first one; refuses columns that are not class-like."""
+    limit = MAX_CLASSES * max(1, len(columns))
+    rows = unpivot(df, columns).where("value IS NOT NULL").distinct().limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} categories in {columns}")
+    return {c: sorted(r["value"] for r in rows if r["feature"] == c)[1:] for c in columns}
+
+
 class CategoricalModel(FittedStage):
     def _transform(self, dataset: DataFrame) -> DataFrame:
         names = self.fitted("names")

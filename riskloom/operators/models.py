@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from riskloom.operators.evaluation import roc_auc
 from riskloom.operators.splits import stratified_split
+from riskloom.plans.frames import written
 from riskloom.plans.ranking import dense_numbers
 
 FEATURES = "__features"
@@ -88,24 +89,21 @@ def train_candidates(
 
     Positive rows weigh n_neg / n_pos in the boosted trees. The test frame is only reported on.
     """
-    labelled = train.withColumn(target, F.col(target).cast("int")).select(key, target, *features).persist()
-    try:
-        fit_rows, held = stratified_split(labelled, target, key, validation_size, seed)
-        counts = fit_rows.agg(F.count_if(F.col(target) == 1).alias("p"), F.count_if(F.col(target) == 0).alias("q")).first()
-        weight = F.when(F.col(target) == 1, F.lit(counts["q"] / max(counts["p"], 1))).otherwise(1.0)
-        pool = candidates or candidate_models(target, "__weight", seed)
-        scores, weighted = [], fit_rows.withColumn("__weight", weight)
-        for name, estimator in pool.items():
-            model = fit_one(weighted, features, estimator)
-            row = {"model": name, "val_auc": _auc(model, held, target)}
-            if test is not None:
-                row["test_auc"] = _auc(model, test.withColumn(target, F.col(target).cast("int")), target)
-            scores.append(row)
-        scores.sort(key=lambda r: (-r["val_auc"], r["model"]))
-        best = scores[0]["model"]
-        final = fit_one(labelled.withColumn("__weight", weight), features, pool[best])
-    finally:
-        labelled.unpersist()
+    labelled = written(train.withColumn(target, F.col(target).cast("int")).select(key, target, *features))
+    fit_rows, held = stratified_split(labelled, target, key, validation_size, seed)
+    counts = fit_rows.agg(F.count_if(F.col(target) == 1).alias("p"), F.count_if(F.col(target) == 0).alias("q")).first()
+    weight = F.when(F.col(target) == 1, F.lit(counts["q"] / max(counts["p"], 1))).otherwise(1.0)
+    pool = candidates or candidate_models(target, "__weight", seed)
+    scores, weighted = [], fit_rows.withColumn("__weight", weight)
+    for name, estimator in pool.items():
+        model = fit_one(weighted, features, estimator)
+        row = {"model": name, "val_auc": _auc(model, held, target)}
+        if test is not None:
+            row["test_auc"] = _auc(model, test.withColumn(target, F.col(target).cast("int")), target)
+        scores.append(row)
+    scores.sort(key=lambda r: (-r["val_auc"], r["model"]))
+    best = scores[0]["model"]
+    final = fit_one(labelled.withColumn("__weight", weight), features, pool[best])
     return TrainedModel(final, best, list(features), target, {"seed": seed}, scores)
 
 
@@ -176,15 +174,12 @@ def shuffled_partner(df: DataFrame, key: str, columns: Sequence[str], seed: int
 def permutation_importance(df: DataFrame, trained: TrainedModel, key: str, seed: int = 42) -> DataFrame:
     """(feature, importance): loss of ROC area when one feature takes the values of other rows."""
     target, features = trained.target_column, trained.feature_columns
-    paired = shuffled_partner(df.withColumn(target, F.col(target).cast("int")), key, features, seed).persist()
-    try:
-        base = _area(paired, trained, target)
-        rows = []
-        for c in features:
-            swapped = paired.withColumn(c, F.col(f"__other_{c}"))
-            rows.append((c, base - _area(swapped, trained, target)))
-    finally:
-        paired.unpersist()
+    paired = written(shuffled_partner(df.withColumn(target, F.col(target).cast("int")), key, features, seed))
+    base = _area(paired, trained, target)
+    rows = []
+    for c in features:
+        swapped = paired.withColumn(c, F.col(f"__other_{c}"))
+        rows.append((c, base - _area(swapped, trained, target)))
     return df.sparkSession.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 

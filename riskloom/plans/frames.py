@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 from functools import reduce
 
@@ -52,22 +53,28 @@ def attach(df: DataFrame, lookup: DataFrame, keys: list[str], how: str = "left")
     return joined.drop(*[f"__k_{k}" for k in keys])
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Write a frame that many jobs will read to the shared folder and read it back.
+
+    Cuts the lineage, survives lost executors and keeps column pruning for the readers.
+    """
+    from riskloom.session import shared_folder
+
+    path = shared_folder(df.sparkSession, "tables", uuid.uuid4().hex)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def settle(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
     """Fix the rows of a fitted table so that later jobs all see the same values.
 
     Up to `max_rows` rows become a local relation with a broadcast hint: its size is then
-    proven. Anything larger is cut from its lineage by a reliable checkpoint and joined by
-    shuffle.
+    proven. Anything larger is written to the shared folder and joined by shuffle.
     """
-    spark = df.sparkSession
     rows = df.limit(max_rows + 1).collect()
     if len(rows) <= max_rows:
-        return F.broadcast(spark.createDataFrame(rows, df.schema))
-    from riskloom.session import shared_folder
-
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
+        return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+    return written(df)
 
 
 def unpivot(df: DataFrame, columns: list[str], by: Iterable[str] = (), as_type: str = "string") -> DataFrame:

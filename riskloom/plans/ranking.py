@@ -16,52 +16,69 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.plans.frames import attach
+from riskloom.plans.frames import SMALL_ROWS, attach, settle
 
 
 def bucket_count(df: DataFrame) -> int:
     return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def with_buckets(df: DataFrame, columns: Sequence[str], buckets: int | None = None) -> DataFrame:
-    """Add `__b_<column>`, a bucket number that never decreases with the column's value."""
-    n = buckets or bucket_count(df)
+def _edges(df: DataFrame, columns: Sequence[str], n: int) -> tuple[list[list[float]], float]:
+    """Bucket edges per column and the largest approximate distinct count, in one pass."""
     probs = [i / n for i in range(1, n)]
-    doubles = df.withColumns({f"__d_{c}": F.col(c).cast("double") for c in columns})
-    edges = doubles.agg(
-        *[F.percentile_approx(f"__d_{c}", probs, max(1000, 20 * n)).alias(c) for c in columns]
+    row = df.agg(
+        *[F.percentile_approx(F.col(c).cast("double"), probs, max(1000, 20 * n)).alias(f"e{i}") for i, c in enumerate(columns)],
+        *[F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(columns)],
     ).first()
-    splits = []
-    for c in columns:
-        inner = sorted({e for e in (edges[c] or []) if math.isfinite(e)}) or [0.0]
-        splits.append([-math.inf, *inner, math.inf])
+    edges = [sorted({e for e in (row[f"e{i}"] or []) if math.isfinite(e)}) or [0.0] for i in range(len(columns))]
+    return edges, max(row[f"d{i}"] for i in range(len(columns)))
+
+
+def with_buckets(df: DataFrame, columns: Sequence[str], buckets: int | None = None) -> tuple[DataFrame, bool]:
+    """Add `__b_<column>`, a bucket number that never decreases with the column's value.
+
+    Columns with few distinct values need no buckets: a group then has few counted rows. The
+    second result tells whether buckets are used.
+    """
+    n = buckets or bucket_count(df)
+    edges, distinct = _edges(df, columns, n)
+    if distinct <= SMALL_ROWS and not buckets:
+        return df.withColumns({f"__b_{c}": F.lit(0) for c in columns}), False
+    doubles = df.withColumns({f"__d_{c}": F.col(c).cast("double") for c in columns})
     bucketizer = Bucketizer(
-        splitsArray=splits,
+        splitsArray=[[-math.inf, *e, math.inf] for e in edges],
         inputCols=[f"__d_{c}" for c in columns],
         outputCols=[f"__b_{c}" for c in columns],
         handleInvalid="keep",
     )
-    return bucketizer.transform(doubles).drop(*[f"__d_{c}" for c in columns])
+    return bucketizer.transform(doubles).drop(*[f"__d_{c}" for c in columns]), True
 
 
-def _ranked(counts: DataFrame, group: list[str], measures: Sequence[str]) -> DataFrame:
+def _ranked(counts: DataFrame, group: list[str], measures: Sequence[str], bucketed: bool) -> DataFrame:
     """counts(group..., bucket, value, measures...) plus `before_<m>` and `total_<m>`."""
+    zero = F.lit(0)
+    if not bucketed:
+        whole = Window.partitionBy(*group)
+        below = whole.orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+        return counts.select(
+            "*",
+            *[F.coalesce(F.sum(m).over(below), zero).alias(f"before_{m}") for m in measures],
+            *[F.sum(m).over(whole).alias(f"total_{m}") for m in measures],
+        )
     sizes = counts.groupBy(*group, "bucket").agg(*[F.sum(m).alias(f"__s_{m}") for m in measures])
-    lower = Window.partitionBy(*group).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per group and bucket: a group has at most as many rows as there are buckets
     whole = Window.partitionBy(*group)
-    if not group:  # one row per bucket: bounded by the bucket count
-        lower = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-        whole = Window.partitionBy()
+    lower = whole.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
         *group,
         "bucket",
-        *[F.coalesce(F.sum(f"__s_{m}").over(lower), F.lit(0)).alias(f"__o_{m}") for m in measures],
+        *[F.coalesce(F.sum(f"__s_{m}").over(lower), zero).alias(f"__o_{m}") for m in measures],
         *[F.sum(f"__s_{m}").over(whole).alias(f"total_{m}") for m in measures],
     )
     below = Window.partitionBy(*group, "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
     joined = attach(counts, offsets, [*group, "bucket"])
     return joined.withColumns(
-        {f"before_{m}": F.col(f"__o_{m}") + F.coalesce(F.sum(m).over(below), F.lit(0)) for m in measures}
+        {f"before_{m}": F.col(f"__o_{m}") + F.coalesce(F.sum(m).over(below), zero) for m in measures}
     ).drop(*[f"__o_{m}" for m in measures])
 
 
@@ -77,18 +94,16 @@ def value_ranks(
     Columns: by..., value, n, before_n, total_n and the same three for every extra measure.
     """
     extra = measures or {}
-    kept = df.where(F.col(column).isNotNull())
-    counts = (
-        with_buckets(kept, [column], buckets)
-        .groupBy(*by, F.col(f"__b_{column}").alias("bucket"), F.col(column).alias("value"))
-        .agg(F.count(F.lit(1)).alias("n"), *[F.sum(m).alias(name) for name, m in extra.items()])
+    rows, bucketed = with_buckets(df.where(F.col(column).isNotNull()), [column], buckets)
+    counts = rows.groupBy(*by, F.col(f"__b_{column}").alias("bucket"), F.col(column).alias("value")).agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(m).alias(name) for name, m in extra.items()]
     )
-    return _ranked(counts, list(by), ["n", *extra]).drop("bucket")
+    return _ranked(counts, list(by), ["n", *extra], bucketed).drop("bucket")
 
 
-def column_ranks(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+def column_ranks(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
     """`value_ranks` for many numeric columns in one job; the column name is in `feature`."""
-    wide = with_buckets(df, columns)
+    wide, bucketed = with_buckets(df, columns, buckets)
     cells = [
         F.struct(
             F.lit(c).alias("feature"),
@@ -103,7 +118,7 @@ def column_ranks(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ())
         .groupBy(*by, "feature", "bucket", "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    return _ranked(counts, [*by, "feature"], ["n"]).drop("bucket")
+    return _ranked(counts, [*by, "feature"], ["n"], bucketed).drop("bucket")
 
 
 def _at(rank: Column) -> Column:
@@ -145,42 +160,47 @@ def cuts(
 ) -> DataFrame:
     """Order key of the k-th row of each group, k counted from 1 and derived from the group size.
 
-    Columns by..., `__cut0`, `__cut1`, ... (one per order column). Groups with k < 1 have no row.
-    Only rows tied on the leading order columns are looked at again for the next one, so no
-    group is ever sorted as a whole. The order columns must be numeric and identify a row.
+    Columns by..., `__cut0`, `__cut1`, ... (one per order column; NULL when the columns before it
+    already separate the rows). Groups with k < 1 have no row. Only rows tied on the leading order
+    columns are looked at again for the next one, so no group is ever sorted as a whole. The order
+    columns must be numeric and identify a row.
     """
     first, *rest = order
     ranks = value_ranks(df.where(F.col(first).isNotNull()), first, by).withColumn("__k", k(F.col("total_n")))
     hit = ranks.where((F.col("before_n") < F.col("__k")) & (F.col("__k") <= F.col("before_n") + F.col("n")))
-    found = hit.select(*by, F.col("value").alias("__cut0"), (F.col("__k") - F.col("before_n")).alias("__left"))
-    if not rest:
-        return found.drop("__left")
-    if by:
-        tied = attach(df, found, list(by), "inner")
-    else:
-        row = found.first()
-        if row is None:
-            return found.drop("__left").withColumns({f"__cut{i + 1}": F.lit(None) for i in range(len(rest))})
-        tied = df.withColumns({"__cut0": F.lit(row["__cut0"]), "__left": F.lit(row["__left"])})
+    # one row per group; fixed so that later jobs do not rank again
+    found = settle(
+        hit.select(
+            *by,
+            F.col("value").alias("__cut0"),
+            (F.col("__k") - F.col("before_n")).alias("__left"),
+            (F.col("__k") < F.col("before_n") + F.col("n")).alias("__split"),
+        )
+    )
+    if not rest or not found.where("__split").limit(1).collect():
+        kinds = {c: df.schema[c].dataType for c in rest}
+        blank = {f"__cut{i + 1}": F.lit(None).cast(kinds[c]) for i, c in enumerate(rest)}
+        out = found.drop("__left", "__split")
+        return out.withColumns(blank) if blank else out
+    found = found.drop("__split")
+    tied = attach(df, found, list(by), "inner") if by else df.join(found, df[first] == found["__cut0"])
     tied = tied.where(F.col(first) == F.col("__cut0"))
-    keep = [*by, "__cut0"]
     inner = cuts(
         tied.withColumnsRenamed({"__cut0": "__lead", "__left": "__want"}),
         rest,
         lambda _total: F.col("__want"),
         [*by, "__lead", "__want"],
     )
-    renamed = inner.withColumnsRenamed({f"__cut{i}": f"__cut{i+1}" for i in reversed(range(len(rest)))})
-    return renamed.withColumnRenamed("__lead", "__cut0").select(
-        *keep, *[f"__cut{i+1}" for i in range(len(rest))]
-    )
+    later = [F.col(f"__cut{i}").alias(f"__cut{i + 1}") for i in range(len(rest))]
+    return inner.select(*by, F.col("__lead").alias("__cut0"), *later)
 
 
 def not_after(order: Sequence[str], cut: Callable[[int], Column]) -> Column:
-    """Lexicographic `order <= cut`."""
-    cond = F.col(order[-1]) <= cut(len(order) - 1)
-    for i in range(len(order) - 2, -1, -1):
-        cond = (F.col(order[i]) < cut(i)) | ((F.col(order[i]) == cut(i)) & cond)
+    """Lexicographic `order <= cut`; a NULL cut after the first admits every row."""
+    last = len(order) - 1
+    cond = F.col(order[last]) <= cut(last)
+    for i in range(last - 1, -1, -1):
+        cond = (F.col(order[i]) < cut(i)) | ((F.col(order[i]) == cut(i)) & F.coalesce(cond, F.lit(True)))
     return F.coalesce(cond, F.lit(False))
 
 
