@@ -7,14 +7,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_READY = T.StructType([T.StructField("document_count", T.LongType()), T.StructField("version", T.IntegerType())])
+_READY = T.StructType(
+    [
+        T.StructField("document_count", T.LongType()),
+        T.StructField("segments", T.ArrayType(T.IntegerType())),
+        T.StructField("version", T.IntegerType()),
+    ]
+)
 
 
 class VersionedTable:
-    """`<path>/version=N/` holds the rows, `<path>/_ready/version=N/` the marker with the row count.
+    """`<path>/version=N/` holds new rows, `<path>/_ready/version=N/` the marker written last.
 
-    Readers see the newest marked version only; a version without a marker is a failed write and
-    is rebuilt by the next one. Old versions stay.
+    The marker names the row count and the folders that make up the version, so appending a batch
+    costs the batch, not the store. Readers see the newest marked version only; a version without a
+    marker is a failed write and is rebuilt by the next one. Old versions stay.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -23,31 +30,48 @@ class VersionedTable:
     def markers(self) -> DataFrame:
         """(version, document_count) of published versions."""
         try:
-            return self.spark.read.schema(_READY).json(f"{self.path}/_ready").select("version", "document_count")
+            return self.spark.read.schema(_READY).json(f"{self.path}/_ready").select("version", "document_count", "segments")
         except AnalysisException:
-            return self.spark.createDataFrame([], "version int, document_count long")
+            return self.spark.createDataFrame([], "version int, document_count long, segments array<int>")
+
+    def _marker(self, version: int | None = None):
+        found = self.markers()
+        if version is not None:
+            return found.where(F.col("version") == version).first()
+        return found.orderBy(F.desc("version")).first()
 
     def latest_version(self) -> int | None:
-        return self.markers().agg(F.max("version")).first()[0]
+        marker = self._marker()
+        return marker["version"] if marker else None
 
     def read(self, version: int | None = None) -> DataFrame | None:
         """The rows of a published version, by default the latest; None when there is none."""
-        chosen = version if version is not None else self.latest_version()
-        if chosen is None:
+        marker = self._marker(version)
+        if marker is None:
+            if version is not None:
+                raise ValueError(f"version {version} is not published")
             return None
-        if version is not None and not self.markers().where(F.col("version") == version).limit(1).collect():
-            raise ValueError(f"version {version} is not published")
-        return self.spark.read.parquet(f"{self.path}/version={chosen}")
+        return self.spark.read.parquet(*[f"{self.path}/version={s}" for s in marker["segments"]])
 
     def write(self, df: DataFrame, partition_by: list[str] | None = None) -> int:
-        """Publish the frame as the next version; the row count is read from the file footers."""
+        """Publish the frame alone as the next version."""
+        return self._publish(df, [], 0, partition_by)
+
+    def append(self, df: DataFrame, partition_by: list[str] | None = None) -> int:
+        """Publish the latest version plus the frame's rows as the next version."""
+        last = self._marker()
+        if last is None:
+            return self.write(df, partition_by)
+        return self._publish(df, list(last["segments"]), last["document_count"], partition_by)
+
+    def _publish(self, df: DataFrame, segments: list[int], count: int, partition_by: list[str] | None) -> int:
         version = (self.latest_version() or 0) + 1
         folder = f"{self.path}/version={version}"
         writer = df.write.mode("overwrite")
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(folder)
-        count = self.spark.read.schema(df.schema).parquet(folder).count()
-        marker = self.spark.createDataFrame([(count,)], "document_count long")
-        marker.coalesce(1).write.mode("overwrite").json(f"{self.path}/_ready/version={version}")
+        count += self.spark.read.schema(df.schema).parquet(folder).count()  # from the file footers
+        row = self.spark.createDataFrame([(count, [*segments, version])], "document_count long, segments array<int>")
+        row.coalesce(1).write.mode("overwrite").json(f"{self.path}/_ready/version={version}")
         return version
