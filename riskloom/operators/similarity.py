@@ -17,6 +17,7 @@ from riskloom.plans.frames import settle, written
 BROADCAST_NUMBERS = 4_000_000
 QUERY_BLOCK = 2_048
 BASE_BLOCK = 16_384
+STEP = 512
 # Fixed value: the largest result count of one request.
 MAX_RESULTS = 10
 
@@ -33,19 +34,23 @@ def _nearest(qids: np.ndarray, q: np.ndarray, ids: np.ndarray, base: np.ndarray,
 
     `ids` must be sorted, so a stable sort by distance breaks ties by id.
     """
-    distance = np.round(1.0 - q @ base.T, 9)
-    if skip_same:
-        distance[qids[:, None] == ids[None, :]] = np.nan
-    distance = np.where(np.isnan(distance), np.inf, distance)
     take = min(k, len(ids))
-    worst = np.partition(distance, take - 1, axis=1)[:, take - 1]
-    out = []
-    for row in range(len(qids)):
-        near = np.flatnonzero(distance[row] <= worst[row])
-        near = near[np.argsort(distance[row][near], kind="stable")][:take]
-        near = near[np.isfinite(distance[row][near])]
-        out.append(pd.DataFrame({"query_id": qids[row], "id": ids[near], "distance": distance[row][near]}))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "id": [], "distance": []})
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for start in range(0, len(qids), STEP):  # a few hundred queries at a time bound the matrix
+        names = qids[start : start + STEP]
+        distance = np.round(1.0 - q[start : start + STEP] @ base.T, 9)
+        distance[np.isnan(distance)] = np.inf
+        if skip_same:
+            distance[names[:, None] == ids[None, :]] = np.inf
+        worst = np.partition(distance, take - 1, axis=1)[:, take - 1]
+        for row, name in enumerate(names):
+            near = np.flatnonzero(distance[row] <= worst[row])
+            near = near[np.argsort(distance[row][near], kind="stable")][:take]
+            near = near[np.isfinite(distance[row][near])]
+            found.append((np.repeat(name, len(near)), ids[near], distance[row][near]))
+    if not found:
+        return pd.DataFrame({"query_id": [], "id": [], "distance": []})
+    return pd.DataFrame({c: np.concatenate([f[i] for f in found]) for i, c in enumerate(("query_id", "id", "distance"))})
 
 
 def _merge(candidates: DataFrame, k: int) -> DataFrame:
