@@ -99,7 +99,7 @@ def insert_row(spark: SparkSession, row: Mapping[str, Any], table: str, id_colum
 def rows_frame(spark: SparkSession, rows: Sequence[Mapping[str, Any]], schema: T.StructType) -> DataFrame:
     """A frame from dicts; the first dict names the columns, absent values are missing."""
     names = list(rows[0]) if rows else schema.fieldNames()
-    kept = T.StructType([schema[n] for n in names])
+    kept = T.StructType([T.StructField(n, schema[n].dataType) for n in names])
     return spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], kept)
 
 
