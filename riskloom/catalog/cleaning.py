@@ -253,13 +253,13 @@ _PY_ROUND_1 = "format('{:.1f}', \"limit\" / 1000000)"
             ELSE concat(CAST(CAST(prior_claims AS INT) AS VARCHAR), ' prior claims on record') END,
         '. The policy limit is $', CASE WHEN "limit" >= 1000000 THEN concat({_PY_ROUND_1}, 'm')
             ELSE format('{{:,}}', CAST("limit" AS BIGINT)) END,
-        ' and the quoted premium is $', format('{{:.0f}}', premium / 1000), 'k, placed with Torch Underwriting.') AS sentence
+        ' and the quoted premium is $', format('{{:.0f}}', premium / 1000), 'k, placed with Acme Underwriting.') AS sentence
         FROM records WHERE risk_type IS NOT NULL AND territory IS NOT NULL AND broker IS NOT NULL
             AND "limit" IS NOT NULL AND premium IS NOT NULL""",
 )
 def _(t):
     df = records(t).dropna(subset=["risk_type", "territory", "broker", "limit", "premium"])
-    return df.select("record_key", tx.record_sentence("Torch Underwriting").alias("sentence"))
+    return df.select("record_key", tx.record_sentence("Acme Underwriting").alias("sentence"))
 
 
 RETRIEVAL_SQL = """coalesce(nullif(concat_ws(' ', nullif(risk_type, ''), CASE WHEN industry <> '' THEN concat(industry, ' company') END,

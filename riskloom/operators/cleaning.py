@@ -17,9 +17,16 @@ from riskloom.schemas import OPTIONAL_FIELDS, REQUEST, REQUIRED_FIELDS
 MISSING_TEXTS = ["", "nan", "<na>"]
 
 
+# The code points Python treats as blank.
+BLANKS = "".join(
+    chr(c)
+    for c in [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+)
+
+
 def strip(column: str | Column) -> Column:
     """Trim every Unicode blank, as the reference's string trim does."""
-    return F.regexp_replace(F.col(column) if isinstance(column, str) else column, r"(?U)^\s+|\s+$", "")
+    return F.btrim(F.col(column) if isinstance(column, str) else column, F.lit(BLANKS))
 
 
 def normal_category(column: str | Column, fill: str, lower: bool = False) -> Column:

@@ -45,7 +45,7 @@ def new_documents(
 
     Only hashes and order keys are grouped, with partial aggregation before the shuffle, so a text
     copied into a third of all rows is one group of small partial results. The texts themselves are
-    read once more and kept by a semi-join on the unique order key.
+    read once more and kept by a join on the unique order key, which also brings the hash back.
     """
     hashed = with_hash(batch, text)
     key = F.struct(*order) if len(order) > 1 else F.col(order[0])
@@ -53,8 +53,8 @@ def new_documents(
     if store is not None:
         known = with_hash(store, text).select(HASH).distinct()
         first = first.join(known, HASH, "left_anti")
-    winners = first.select("__first")
-    return hashed.withColumn("__key", key).join(winners, F.col("__key") == F.col("__first"), "left_semi").drop("__key")
+    rows = batch.drop(HASH).withColumn("__key", key)
+    return rows.join(first, F.col("__key") == F.col("__first")).drop("__key", "__first").select(*batch.drop(HASH).columns, HASH)
 
 
 class DocumentStore:

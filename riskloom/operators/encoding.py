@@ -13,7 +13,7 @@ from riskloom.functions.hashing import fold_of
 from riskloom.operators.binning import CustomDiscretizer, Discretizer, QuantileDiscretizer
 from riskloom.operators.profiling import MAX_CLASSES, classes_of
 from riskloom.operators.stages import FitStage, FittedStage
-from riskloom.plans.frames import attach, numeric_columns, settle, string_columns, unpivot
+from riskloom.plans.frames import attach, numeric_columns, settle, string_columns, unpivot, written
 
 # Categories every mapping knows.
 RESERVED = ("OTHERS", "MISSING")
@@ -304,14 +304,20 @@ def one_hot_pairs(df: DataFrame, pairs: Sequence[tuple[str, str, str]]) -> DataF
 
 class FeatureSteps:
     """Stages fitted in order. Training rows take `fit_transform` where a stage has it (out-of-fold
-    scores), new rows take the fitted model's `transform`."""
+    scores), new rows take the fitted model's `transform`.
 
-    def __init__(self, stages: Sequence):
-        self.stages = list(stages)
+    Every fit reads its own few columns. So that they do not all repeat the work before them, the
+    frame is written once to the shared folder before the first fit (`write_once`).
+    """
+
+    def __init__(self, stages: Sequence, write_once: bool = True):
+        self.stages, self.write_once = list(stages), write_once
 
     def fit_transform(self, df: DataFrame) -> tuple[PipelineModel, DataFrame]:
-        fitted = []
+        fitted, pending = [], self.write_once
         for stage in self.stages:
+            if pending and hasattr(stage, "fit"):
+                df, pending = written(df), False
             if hasattr(stage, "fit_transform"):
                 model, df = stage.fit_transform(df)
             elif hasattr(stage, "fit"):

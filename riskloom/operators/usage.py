@@ -27,7 +27,10 @@ _CALLS = (
 
 def tokens(body: Column, path: str = "$.usage") -> Column:
     """struct(input_tokens, output_tokens, total_tokens) from response JSON, NULL without usage."""
-    u = F.from_json(F.get_json_object(body, path), _USAGE)
+    return _token_counts(F.from_json(F.get_json_object(body, path), _USAGE))
+
+
+def _token_counts(u: Column) -> Column:
     zero = F.lit(0).cast("bigint")
     inp = F.coalesce(F.nullif(u["input_tokens"], zero), u["prompt_tokens"], zero)
     out = F.coalesce(F.nullif(u["output_tokens"], zero), u["completion_tokens"], zero)
@@ -47,7 +50,10 @@ def tool_names(body: Column) -> Column:
     Direct `tool_calls` win; otherwise `output` items of type `<name>_call`, or such entries in
     the content of other items.
     """
-    parsed = F.from_json(body, _CALLS)
+    return _names(F.from_json(body, _CALLS))
+
+
+def _names(parsed: Column) -> Column:
     direct = F.transform(parsed["tool_calls"], lambda c: F.coalesce(F.nullif(c["name"], F.lit("")), _call_name(c["type"])))
     nested = F.flatten(
         F.transform(
@@ -102,12 +108,15 @@ def tool_cost(counts: Column, prices: Mapping[str, float] = TOOL_PRICES) -> Colu
 
 def with_usage(df: DataFrame, body: str, model: str = "model", compat: bool = False, digits: int = 6) -> DataFrame:
     """Usage columns of every response; responses without usage have NULLs."""
-    rows = df.withColumns({"__u": tokens(F.col(body)), "tool_calls": count_names(tool_names(F.col(body)))})
+    usage = F.from_json(F.get_json_object(body, "$.usage"), _USAGE)
+    parsed = df.withColumns({"__usage": usage, "__calls": F.from_json(body, _CALLS)})  # parsed once, used many times
+    parsed = parsed.withColumns({"__u": _token_counts(F.col("__usage")), "__names": _names(F.col("__calls"))})
+    rows = parsed.withColumn("tool_calls", count_names(F.col("__names")))
     cost = token_cost(F.col(model), F.col("__u.input_tokens"), F.col("__u.output_tokens"), compat=compat, digits=digits)
-    tools = tool_cost(F.col("tool_calls"))
+    rows = rows.withColumns({"token_cost_usd": cost, "tool_cost_usd": tool_cost(F.col("tool_calls"))})
     return rows.select(
-        *df.columns, "__u.input_tokens", "__u.output_tokens", "__u.total_tokens",
-        cost.alias("token_cost_usd"), "tool_calls", tools.alias("tool_cost_usd"), (F.coalesce(cost, F.lit(0.0)) + tools).alias("cost_usd"),
+        *df.columns, "__u.input_tokens", "__u.output_tokens", "__u.total_tokens", "token_cost_usd", "tool_calls", "tool_cost_usd",
+        (F.coalesce("token_cost_usd", F.lit(0.0)) + F.col("tool_cost_usd")).alias("cost_usd"),
     )
 
 

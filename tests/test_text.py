@@ -63,11 +63,11 @@ def test_record_sentence_and_query(spark):
     df = spark.createDataFrame(
         [("NEW_0001", " Cyber", "EU", "transport", 3438000, 26904, "Meridian Re ", 1.0, 4.0), ("NEW_0002", "fire", "Mars", None, 900, 1500, "B", 7.0, None)], RECORD
     )
-    a, b = df.select(tx.record_sentence("Torch Underwriting").alias("s"), tx.retrieval_query().alias("q")).collect()
+    a, b = df.select(tx.record_sentence("Acme Underwriting").alias("s"), tx.retrieval_query().alias("q")).collect()
     assert a["s"] == (
         "This is a cyber record covering cyber incident response and data breach liability, submitted by Meridian Re for a transport account "
         "domiciled in the EU. The insured is a recently established entity, with one prior claim on record. "
-        "The policy limit is $3.4m and the quoted premium is $27k, placed with Torch Underwriting."
+        "The policy limit is $3.4m and the quoted premium is $27k, placed with Acme Underwriting."
     )
     assert "$900 and the quoted premium is $2k" in b["s"] and "an undisclosed industry account Mars" in b["s"] and "7 prior claims" in b["s"]
     assert a["q"] == " Cyber transport company in EU with 1 prior claim(s) limit 3,438,000"
