@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from riskloom.catalog.records import records
 from riskloom.catalog.registry import query
 from riskloom.functions.hashing import MODULUS, MULTIPLIER
 from riskloom.operators import selection as fs
@@ -200,12 +201,9 @@ def _(t):
 
 @query("fs4_lasso_selector")
 def _(t):
-    x = t.lineitem.select(
-        F.monotonically_increasing_id().alias("row"), "l_quantity", "l_discount", "l_tax", "l_linenumber",
-        (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("net"),
-    )
-    stage = fs.LassoSelector(target="net", columns=["l_quantity", "l_discount", "l_tax", "l_linenumber"], key="row")
-    model = stage.fit(x)
+    columns = ["limit", "premium", "prior_claims", "years_trading"]
+    df = records(t).select("record_key", *columns, "loss_ratio")
+    model = fs.LassoSelector(target="loss_ratio", columns=columns, key="record_key").fit(df)
     weights = model.fitted("weights")
     rows = [(c, float(w), c in model.fitted("kept")) for c, w in weights.items()]
     return t.spark.createDataFrame(rows, "feature string, weight double, kept boolean")

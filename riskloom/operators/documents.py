@@ -239,4 +239,5 @@ class Collections:
         self.spark.sql(f"DROP TABLE IF EXISTS {self._full(name)}")
 
     def list(self) -> DataFrame:
-        return self.spark.sql(f"SHOW TABLES IN {self.database}").select(F.col("tableName").alias("collection"))
+        tables = self.spark.sql(f"SHOW TABLES IN {self.database}").where(~F.col("isTemporary"))
+        return tables.select(F.col("tableName").alias("collection"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions.hashing import row_hash
-from riskloom.plans.frames import attach, numeric_columns, share, string_columns, unpivot
+from riskloom.plans.frames import attach, digest_long, numeric_columns, share, string_columns, unpivot
 from riskloom.plans.ranking import quantiles
 
 MAX_CLASSES = 1000
@@ -27,7 +27,7 @@ def classes_of(df: DataFrame, column: str, limit: int = MAX_CLASSES) -> list:
 def column_profile(df: DataFrame, digits: int = 2) -> DataFrame:
     """Type, missing count, missing percentage and distinct count (missing counts as a value)."""
     types = F.create_map(*[F.lit(x) for f in df.schema.fields for x in (f.name, f.dataType.simpleString())])
-    counts = unpivot(df, df.columns).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
+    counts = unpivot(df, df.columns).groupBy("feature", digest_long("value").alias("value")).agg(F.count(F.lit(1)).alias("n"))
     missing = F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0))
     found = counts.groupBy("feature").agg(
         missing.alias("missing_count"),

@@ -13,7 +13,7 @@ from riskloom.functions.hashing import fold_of, row_hash
 from riskloom.operators.binning import QuantileDiscretizer
 from riskloom.operators.evaluation import area_from_ranks
 from riskloom.operators.stages import FitStage, FittedStage
-from riskloom.plans.frames import attach, numeric_columns, settle, string_columns, unpivot
+from riskloom.plans.frames import attach, digest_long, numeric_columns, settle, string_columns, unpivot
 from riskloom.plans.ranking import value_ranks
 
 
@@ -35,7 +35,7 @@ class CardinalityFilter(FitStage):
             ).first()
             distinct, rows = {c: row[f"d{i}"] for i, c in enumerate(columns)}, row["n"]
         else:
-            seen = unpivot(dataset, columns).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
+            seen = unpivot(dataset, columns).groupBy("feature", digest_long("value").alias("value")).agg(F.count(F.lit(1)).alias("n"))
             found = seen.groupBy("feature").agg(F.count("value").alias("d"), F.sum("n").alias("n")).collect()
             distinct, rows = {r["feature"]: r["d"] for r in found}, max((r["n"] for r in found), default=0)
         high = [c for c in columns if rows and distinct[c] / rows > self.setting("high_th")]
@@ -179,6 +179,7 @@ class LassoSelector(FitStage):
         target, key, folds = self.setting("target"), self.setting("key"), self.setting("cv")
         columns = list(self.setting("columns") or [c for c in numeric_columns(dataset) if c not in (target, key)])
         fold = fold_of(key, folds, self.setting("seed"), self.setting("hash_method"))
+        dataset = dataset.dropna(subset=[*columns, target])
         row = dataset.agg(
             *[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)],
             *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(columns)],

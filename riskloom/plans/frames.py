@@ -83,5 +83,11 @@ def unpivot(df: DataFrame, columns: list[str], by: Iterable[str] = (), as_type:
     return df.select(*by, F.inline(F.array(*cells)))
 
 
+def digest_long(value: str, longest: int = 64) -> Column:
+    """The value itself, or its SHA-256 when it is long: counting distinct texts need not shuffle them."""
+    text = F.col(value)
+    return F.when(F.length(text) > longest, F.sha2(text, 256)).otherwise(text)
+
+
 def share(part: Column, whole: Column, digits: int) -> Column:
     return F.round(part * 100.0 / F.nullif(whole, F.lit(0)), digits)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +23,8 @@ def build_session(app: str = "riskloom", master: str | None = None, **conf: str)
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # state on local disk instead of the executor heap: stream joins and deduplication grow
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     }
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
@@ -29,10 +32,16 @@ def build_session(app: str = "riskloom", master: str | None = None, **conf: str)
 
 
 def shared_folder(spark: SparkSession, *parts: str) -> str:
-    """A path below the checkpoint folder the cluster names in `spark.checkpoint.dir`."""
+    """A path below the checkpoint folder the cluster names in `spark.checkpoint.dir`.
+
+    Where it is unset, a local session gets a temporary folder of its own; a cluster is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+        base = tempfile.mkdtemp(prefix="riskloom-")
+        spark.sparkContext.setCheckpointDir(base)
     return "/".join([base.rstrip("/"), *parts])
 
 
