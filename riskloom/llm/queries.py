@@ -116,3 +116,10 @@ def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
     from riskloom.llm.quality import classify
 
     return classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op4_pii")
+def op4_pii(spark: SparkSession, folder: str) -> DataFrame:
+    from riskloom.llm.pii import digest, find
+
+    return digest(find(table(spark, folder, "documents").select("doc_id", "text")))
