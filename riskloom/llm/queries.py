@@ -123,3 +123,10 @@ def op4_pii(spark: SparkSession, folder: str) -> DataFrame:
     from riskloom.llm.pii import digest, find
 
     return digest(find(table(spark, folder, "documents").select("doc_id", "text")))
+
+
+@query("op1_minhash")
+def op1_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    from riskloom.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, folder, "documents"))
