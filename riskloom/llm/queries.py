@@ -130,3 +130,10 @@ def op1_minhash(spark: SparkSession, folder: str) -> DataFrame:
     from riskloom.llm.minhash import near_duplicates
 
     return near_duplicates(table(spark, folder, "documents"))
+
+
+@query("op6_embedding_grid")
+def op6_embedding_grid(spark: SparkSession, folder: str) -> DataFrame:
+    from riskloom.llm.gridjoin import near_duplicates
+
+    return near_duplicates(table(spark, folder, "embeddings"))
