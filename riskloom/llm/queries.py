@@ -137,3 +137,11 @@ def op6_embedding_grid(spark: SparkSession, folder: str) -> DataFrame:
     from riskloom.llm.gridjoin import near_duplicates
 
     return near_duplicates(table(spark, folder, "embeddings"))
+
+
+@query("op9_substrings")
+def op9_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    from riskloom.llm.substrings import remove_repeats
+
+    done = remove_repeats(table(spark, folder, "documents"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
