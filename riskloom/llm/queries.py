@@ -100,7 +100,7 @@ def op8_arc_to_warc(spark: SparkSession, folder: str) -> DataFrame:
 
     path = shared_folder(spark, "warc", uuid.uuid4().hex)
     pages = table(spark, folder, "pages").select("page_id", "url", "html")
-    return convert_pages(pages, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return convert_pages(pages, path, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 @query("op2_decontaminate")

@@ -81,8 +81,11 @@ def _iso(date: str) -> str:
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 
-def to_records(archives: DataFrame) -> DataFrame:
-    """(key, archive) rows to one row per ARC record with the parts of its WARC equivalent, payload as text."""
+def to_records(archives: DataFrame, payloads: bool = True) -> DataFrame:
+    """(key, archive) rows to one row per ARC record with the parts of its WARC equivalent, payload as text.
+
+    Without `payloads` the text stays out (null), for what needs ids and digests only.
+    """
     schema = "key bigint, uri string, record_id string, date string, type string, head string, payload string, digest string, length bigint"
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,7 +95,7 @@ def to_records(archives: DataFrame) -> DataFrame:
                 for r in parse_arc(data.as_py()):
                     digest = hashlib.sha256(r["payload"]).hexdigest()
                     name = uuid.uuid5(uuid.NAMESPACE_URL, f"{key}:{r['offset']}:{r['url']}:{r['date']}:{digest}")
-                    text = r["payload"].decode("utf-8")
+                    text = r["payload"].decode("utf-8") if payloads else None
                     rows.append((key, r["url"], f"<urn:uuid:{name}>", _iso(r["date"]), r["type"], r["head"].decode("latin-1"), text, digest, len(r["payload"])))
                 names = [f.split()[0] for f in schema.split(", ")]
                 yield pa.RecordBatch.from_arrays(
@@ -119,15 +122,17 @@ def pages_to_arc(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", "html").mapInArrow(build, "key bigint, archive binary")
 
 
-def write_warc(records: DataFrame, path: str, records_per_file: int = 4000) -> None:
-    """Writes records as gzipped WARC 1.0 text files below `path`.
+def write_warc(archives: DataFrame, path: str, records_per_file: int = 4000) -> None:
+    """Converts (key, archive) rows and writes them as gzipped WARC 1.0 text files below `path`.
 
     Of records with one digest and a payload of at least 100 bytes the smallest key is the response, the
     others are revisits without payload; smaller ones are all responses. Only (key, digest) rows are grouped
     and joined for that, so a page copied into a third of all rows is a partial row per task and payloads are
     shuffled once, by key.
     """
-    large = written(records.where(F.col("length") >= SMALLEST_REVISIT).select("key", "record_id", "digest"))
+    records = to_records(archives)
+    heads = to_records(archives, payloads=False)
+    large = written(heads.where(F.col("length") >= SMALLEST_REVISIT).select("key", "record_id", "digest"))
     first = large.groupBy("digest").agg(F.min(F.struct(F.col("key").isNull(), "key", "record_id")).alias("f"), F.count("*").alias("n")).where("n > 1")
     again = large.select("key", "digest").distinct().join(first, "digest").where(~F.col("key").eqNullSafe(F.col("f.key")))
     again = again.select(F.col("key").alias("__k"), F.col("digest").alias("__d"), F.col("f.key").alias("refers"), F.col("f.record_id").alias("refers_id"))
@@ -185,8 +190,11 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         del buffer[: stop + 4]
 
 
-def read_warc(spark, path: str) -> DataFrame:
-    """One row per record of the WARC files below `path`, files spread over tasks."""
+def read_warc(spark, path: str, payloads: bool = True) -> DataFrame:
+    """One row per record of the WARC files below `path`, files spread over tasks; payloads are null if not asked for.
+
+    Digests are checked against the payloads either way.
+    """
     schema = "key bigint, record_type string, payload_bytes bigint, payload_digest string, refers_to bigint, uri string, payload string"
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +214,7 @@ def read_warc(spark, path: str) -> DataFrame:
                         raise ValueError(f"payload of {head['warc-record-id']} does not match its digest")
                     key, refers = head.get("warc-source-key"), head.get("warc-refers-to-key")
                     length = int(http.get("content-length", len(payload)))
-                    rows.append((int(key) if key else None, kind, length, digest, int(refers) if refers else None, head["warc-target-uri"], payload.decode()))
+                    rows.append((int(key) if key else None, kind, length, digest, int(refers) if refers else None, head["warc-target-uri"], payload.decode() if payloads else None))
                     size += len(payload)
                     if size > 4 << 20:
                         yield pack(rows)
@@ -217,13 +225,13 @@ def read_warc(spark, path: str) -> DataFrame:
     return files.mapInArrow(read, schema)
 
 
-def convert_pages(pages: DataFrame, path: str) -> DataFrame:
+def convert_pages(pages: DataFrame, path: str, payloads: bool = True) -> DataFrame:
     """ARC images of `pages`, converted, written below `path` as WARC files and read back.
 
-    Returns page_id, payload_bytes, payload_digest, record_type, refers_to, uri, payload. Null html is an
+    Returns page_id, payload_bytes, payload_digest, record_type, refers_to, uri, payload (null without `payloads`). Null html is an
     empty payload; a null page_id is never the smallest unless all are null, and comes back as null. Rows that
     repeat a page_id with one payload are all responses if it is the smallest. Other columns are ignored; an
     empty table gives no rows.
     """
-    write_warc(to_records(pages_to_arc(pages)), path)
-    return read_warc(pages.sparkSession, path).withColumnRenamed("key", "page_id")
+    write_warc(pages_to_arc(pages), path)
+    return read_warc(pages.sparkSession, path, payloads).withColumnRenamed("key", "page_id")
