@@ -176,7 +176,8 @@ def links(docs: DataFrame, classes: DataFrame, match: int = MATCH, block_rows: i
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)], [n for n, _ in fields])
 
-    texts = docs.select("doc_id", "text").join(places, docs["doc_id"] == places["rep"]).select("rep", "digest", "places", "text")
+    # merged at every size: members grow with the documents, so they are never broadcast
+    texts = docs.select("doc_id", "text").join(places.hint("merge"), docs["doc_id"] == places["rep"]).select("rep", "digest", "places", "text")
     dealt = texts.mapInArrow(deal, "leader bigint, i int, j int, side int, rep bigint, signature binary, shingles binary")
     return dealt.groupBy("leader", "i", "j").applyInArrow(lambda t: _links(t, match), "a bigint, b bigint")
 
