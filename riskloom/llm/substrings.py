@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from riskloom.llm.words import Block, blocks
+from riskloom.llm.words import Block, blocks, mix
 from riskloom.plans.frames import written
 
 WINDOW = 20
@@ -83,7 +83,11 @@ def anchor_filter(repeated: DataFrame, most_bits: int = MOST_BITS) -> tuple[np.n
 
 
 def candidate_windows(docs: DataFrame, shared, bits: int, buckets: int, window: int = WINDOW) -> DataFrame:
-    """(b, wh, doc, start, n): windows over a repeated anchor, those of one batch and bucket added up."""
+    """(b, anchor, doc, start, n, hashes): stretches of windows over one repeated anchor.
+
+    A stretch holds the hashes of the windows from `start` on that share the anchor. Equal stretches of one
+    batch and bucket are one row with their number n and their first place.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, shift = shared.value, np.uint64(64 - bits)
@@ -91,27 +95,40 @@ def candidate_windows(docs: DataFrame, shared, bits: int, buckets: int, window:
             ids = batch.column("doc").to_numpy()
             bucket = batch.column("b").to_numpy()
             parts: list[tuple] = []
+            flat, size = [], 0
             for b in blocks(batch.column("text"), "space"):
                 least, inside, _ = _anchors(b, window)
                 place = least >> shift
                 known = (table[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1
                 at = np.flatnonzero(inside & (known == 1))
-                if len(at):
-                    hashes, _ = b.windows(window)
-                    doc = np.searchsorted(b.bounds, at, "right") - 1
-                    parts.append((bucket[b.first + doc], hashes[at], ids[b.first + doc], (at - b.bounds[doc]).astype(np.int64)))
+                if not len(at):
+                    continue
+                hashes = b.windows(window)[0][at]
+                cut = np.append(0, np.flatnonzero((np.diff(at) != 1) | (np.diff(least[at].view(np.int64)) != 0)) + 1)
+                length = np.diff(np.append(cut, len(at)))
+                steps = (np.arange(len(at)) - np.repeat(cut, length)).astype(np.uint64)
+                whole = np.add.reduceat(mix(hashes + steps * np.uint64(0x9E3779B97F4A7C15)), cut)
+                doc = np.searchsorted(b.bounds, at[cut], "right") - 1
+                start = at[cut] - b.bounds[doc]
+                parts.append((bucket[b.first + doc], least[at[cut]], whole, ids[b.first + doc], start, length, cut + size))
+                flat.append(hashes)
+                size += len(hashes)
             if parts:
-                k, h, d, s = (np.concatenate(p) for p in zip(*parts, strict=True))
-                order = np.lexsort((s, d, h, k))
-                k, h, d, s = k[order], h[order], d[order], s[order]
+                k, a, w, d, s, length, at = (np.concatenate(p) for p in zip(*parts, strict=True))
+                order = np.lexsort((s, d, w, a, k))
+                k, a, w, d, s, length, at = (x[order] for x in (k, a, w, d, s, length, at))
                 new = np.ones(len(k), bool)
-                new[1:] = (k[1:] != k[:-1]) | (h[1:] != h[:-1])
-                starts = np.flatnonzero(new)
-                n = np.diff(np.append(starts, len(k)))
-                columns = (k[starts].astype(np.int32), h[starts].view(np.int64), d[starts], s[starts].astype(np.int32), n.astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["b", "wh", "doc", "start", "n"])
+                new[1:] = (k[1:] != k[:-1]) | (a[1:] != a[:-1]) | (w[1:] != w[:-1])
+                pick = np.flatnonzero(new)
+                n = np.diff(np.append(pick, len(k)))
+                offsets = np.append(0, np.cumsum(length[pick]))
+                values = np.concatenate(flat)[np.arange(offsets[-1]) + np.repeat(at[pick] - offsets[:-1], length[pick])]
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values.view(np.int64)))
+                columns = (k[pick].astype(np.int32), a[pick].view(np.int64), d[pick], s[pick].astype(np.int32), n.astype(np.int32))
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), lists], ["b", "anchor", "doc", "start", "n", "hashes"])
 
-    return _bucketed(docs, buckets).mapInArrow(run, "b int, wh bigint, doc bigint, start int, n int")
+    schema = "b int, anchor bigint, doc bigint, start int, n int, hashes array<bigint>"
+    return _bucketed(docs, buckets).mapInArrow(run, schema)
 
 
 def _bucketed(docs: DataFrame, buckets: int) -> DataFrame:
@@ -267,11 +284,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, most_bits: int = MOST_
     buckets = max(1, -(-words // bucket_words))
     table, bits = anchor_filter(repeated, most_bits)
     shared = docs.sparkSession.sparkContext.broadcast(table)
-    rows = candidate_windows(docs, shared, bits, buckets, window)
-    same = W.partitionBy("wh")
-    first = F.min(F.struct("doc", "start")).over(same)
-    rows = rows.withColumns({"total": F.sum("n").over(same), "first": first}).where("total > 1")
-    rows = rows.select("b", "wh", F.col("first.doc").alias("doc"), F.col("first.start").alias("start"))
+    # equal windows have equal anchors: stretches are dealt by anchor and taken apart there
+    rows = candidate_windows(docs, shared, bits, buckets, window).repartition("anchor")
+    rows = rows.select("b", "anchor", "doc", "n", "start", F.posexplode("hashes").alias("at", "wh"))
+    rows = rows.select("b", "anchor", "wh", "n", F.struct("doc", (F.col("start") + F.col("at")).alias("start")).alias("place"))
+    same = W.partitionBy("anchor", "wh")
+    rows = rows.withColumns({"total": F.sum("n").over(same), "first": F.min("place").over(same)})
+    # a row that is the first place and nothing else removes no word
+    rows = rows.where((F.col("total") > 1) & ((F.col("n") > 1) | (F.col("place") != F.col("first"))))
+    rows = rows.select("b", "wh", "first.doc", "first.start")
     rows = rows.groupBy("b", "wh").agg(F.first("doc").alias("doc"), F.first("start").alias("start"))
     texts = _bucketed(docs, buckets).groupBy("b")
     schema = "doc_id bigint, n_words bigint, n_removed bigint, spans array<struct<start:int,end:int>>, kept string"
