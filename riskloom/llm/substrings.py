@@ -20,7 +20,7 @@ ANCHOR = 6
 #: The filter of repeated anchors has at most 2 ** 27 bits (16 MB); a fuller one only lets more windows through.
 MOST_BITS = 27
 #: Words per bucket of documents, and per reference shard (automaton) within a bucket.
-BUCKET_WORDS, SHARD_WORDS = 1_500_000, 300_000
+BUCKET_WORDS, SHARD_WORDS = 1_500_000, 100_000
 _LAST = np.iinfo(np.int64).max
 
 
