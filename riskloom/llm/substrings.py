@@ -74,7 +74,7 @@ def anchor_filter(repeated: DataFrame, most_bits: int = MOST_BITS) -> tuple[np.n
     parts = repeated.where("anchor is not null").groupBy(F.bitmap_bucket_number(place).alias("k")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("m")
     )
-    table = np.zeros((1 << bits) // 8, np.uint8)
+    table = np.zeros(max(4096, (1 << bits) // 8), np.uint8)  # one piece of the bitmap at least
     for r in parts.collect():
         piece = np.frombuffer(bytes(r.m), np.uint8)
         at = (r.k - 1) * len(piece)
