@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.plans.frames import written
@@ -10,6 +10,12 @@ from riskloom.plans.frames import written
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+def bound_batches(spark: SparkSession, rows: int = 2000, size: int = 8 << 20) -> None:
+    """Keeps Arrow batches small: the default of 10,000 long texts does not fit beside an executor's heap."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z lower-cased, every other character as it is."""
     return F.translate(text, ASCII_UPPER, ASCII_UPPER.lower())

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskloom.llm.common import bound_batches
 from riskloom.session import shared_folder
 
 #: Weights of the registered mixture, per level and value; other values weigh 1.
@@ -19,7 +20,11 @@ SQL: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None):
     def add(fn: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[name] = fn
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            bound_batches(spark)
+            return fn(spark, folder)
+
+        QUERIES[name] = run
         if sql:
             SQL[name] = sql
         return fn

@@ -21,6 +21,8 @@ ANCHOR = 6
 MOST_BITS = 27
 #: Words per bucket of documents, and per reference shard (automaton) within a bucket.
 BUCKET_WORDS, SHARD_WORDS = 1_500_000, 100_000
+#: Anchors or windows a task gathers before it adds equal ones up and sends them on.
+GATHERED = 2_000_000
 _LAST = np.iinfo(np.int64).max
 
 
@@ -49,18 +51,25 @@ def _anchors(b: Block, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 def repeated_anchors(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(anchor, n, words): anchors chosen at two places or more; the row of a null anchor counts all words."""
 
+    def added_up(picked: list[np.ndarray], words: int) -> pa.RecordBatch:
+        values, n = np.unique(np.concatenate(picked) if picked else np.zeros(0, np.uint64), return_counts=True)
+        anchor = pa.concat_arrays([pa.array(values.view(np.int64)), pa.array([None], pa.int64())])
+        counts = pa.array(np.append(n, 0).astype(np.int64))
+        total = pa.array(np.append(np.zeros(len(n), np.int64), words))
+        return pa.RecordBatch.from_arrays([anchor, counts, total], ["anchor", "n", "words"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        picked, size, words = [], 0, 0
         for batch in batches:
-            picked, words = [], 0
             for b in blocks(batch.column("text"), "space"):
                 grams, _ = b.windows(ANCHOR)
                 picked.append(grams[_anchors(b, window)[2]])
+                size += len(picked[-1])
                 words += len(b.hashes)
-            values, n = np.unique(np.concatenate(picked) if picked else np.zeros(0, np.uint64), return_counts=True)
-            anchor = pa.concat_arrays([pa.array(values.view(np.int64)), pa.array([None], pa.int64())])
-            counts = pa.array(np.append(n, 0).astype(np.int64))
-            total = pa.array(np.append(np.zeros(len(n), np.int64), words))
-            yield pa.RecordBatch.from_arrays([anchor, counts, total], ["anchor", "n", "words"])
+            if size >= GATHERED:
+                yield added_up(picked, words)
+                picked, size, words = [], 0, 0
+        yield added_up(picked, words)
 
     rows = docs.select("text").mapInArrow(count, "anchor bigint, n bigint, words bigint")
     return rows.groupBy("anchor").agg(F.sum("n").alias("n"), F.sum("words").alias("words")).where("anchor is null or n > 1")
@@ -86,16 +95,29 @@ def candidate_windows(docs: DataFrame, shared, bits: int, buckets: int, window:
     """(b, anchor, doc, start, n, hashes): stretches of windows over one repeated anchor.
 
     A stretch holds the hashes of the windows from `start` on that share the anchor. Equal stretches of one
-    batch and bucket are one row with their number n and their first place.
+    bucket that a task gathers are one row with their number n and their first place.
     """
 
+    def added_up(parts: list[tuple], flat: list[np.ndarray]) -> pa.RecordBatch:
+        k, a, w, d, s, length, at = (np.concatenate(p) for p in zip(*parts, strict=True))
+        order = np.lexsort((s, d, w, a, k))
+        k, a, w, d, s, length, at = (x[order] for x in (k, a, w, d, s, length, at))
+        new = np.ones(len(k), bool)
+        new[1:] = (k[1:] != k[:-1]) | (a[1:] != a[:-1]) | (w[1:] != w[:-1])
+        pick = np.flatnonzero(new)
+        n = np.diff(np.append(pick, len(k)))
+        offsets = np.append(0, np.cumsum(length[pick]))
+        values = np.concatenate(flat)[np.arange(offsets[-1]) + np.repeat(at[pick] - offsets[:-1], length[pick])]
+        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values.view(np.int64)))
+        columns = (k[pick].astype(np.int32), a[pick].view(np.int64), d[pick], s[pick].astype(np.int32), n.astype(np.int32))
+        return pa.RecordBatch.from_arrays([*map(pa.array, columns), lists], ["b", "anchor", "doc", "start", "n", "hashes"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, shift = shared.value, np.uint64(64 - bits)
+        parts, flat, size = [], [], 0
         for batch in batches:
             ids = batch.column("doc").to_numpy()
             bucket = batch.column("b").to_numpy()
-            parts: list[tuple] = []
-            flat, size = [], 0
             for b in blocks(batch.column("text"), "space"):
                 least, inside, _ = _anchors(b, window)
                 place = least >> shift
@@ -113,19 +135,11 @@ def candidate_windows(docs: DataFrame, shared, bits: int, buckets: int, window:
                 parts.append((bucket[b.first + doc], least[at[cut]], whole, ids[b.first + doc], start, length, cut + size))
                 flat.append(hashes)
                 size += len(hashes)
-            if parts:
-                k, a, w, d, s, length, at = (np.concatenate(p) for p in zip(*parts, strict=True))
-                order = np.lexsort((s, d, w, a, k))
-                k, a, w, d, s, length, at = (x[order] for x in (k, a, w, d, s, length, at))
-                new = np.ones(len(k), bool)
-                new[1:] = (k[1:] != k[:-1]) | (a[1:] != a[:-1]) | (w[1:] != w[:-1])
-                pick = np.flatnonzero(new)
-                n = np.diff(np.append(pick, len(k)))
-                offsets = np.append(0, np.cumsum(length[pick]))
-                values = np.concatenate(flat)[np.arange(offsets[-1]) + np.repeat(at[pick] - offsets[:-1], length[pick])]
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values.view(np.int64)))
-                columns = (k[pick].astype(np.int32), a[pick].view(np.int64), d[pick], s[pick].astype(np.int32), n.astype(np.int32))
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), lists], ["b", "anchor", "doc", "start", "n", "hashes"])
+            if size >= GATHERED:
+                yield added_up(parts, flat)
+                parts, flat, size = [], [], 0
+        if parts:
+            yield added_up(parts, flat)
 
     schema = "b int, anchor bigint, doc bigint, start int, n int, hashes array<bigint>"
     return _bucketed(docs, buckets).mapInArrow(run, schema)

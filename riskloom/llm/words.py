@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 _P = np.uint64(0x9E3779B97F4A7C55)
 _P_INVERSE = np.uint64(pow(int(_P), -1, 1 << 64))
