@@ -276,8 +276,14 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of `docs` predicted to be good, columns unchanged."""
-    names = [c for c in docs.columns if c not in ("x", "score", "predicted")]
     measured = written(with_statistics(docs.select("doc_id", "text"), ["doc_id"]))
     model = fit(training_rows(measured, labels))
-    scored = score_rows(with_statistics(docs, names), model)
-    return scored.where("predicted = 1").select(*docs.columns)
+
+    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # statistics and score in one worker: a text is not sent through two of them
+        for batch in batches:
+            rows = [model.score(statistics(b)) >= 0.5 for b in blocks(batch.column("text"), "space")]
+            if rows:
+                yield batch.filter(pa.array(np.concatenate(rows)))
+
+    return docs.mapInArrow(rate, docs.schema)
