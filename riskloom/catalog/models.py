@@ -33,7 +33,7 @@ def _logistic(t):
 @query("md1_train_candidates")
 def _(t):
     x, y, features = _prepared(t)
-    pool = md.candidate_models(_TARGET, "__weight", trees=200, boosts=20)
+    pool = md.candidate_models(_TARGET, "__weight", trees=200)
     trained = md.train_candidates(x, features, _TARGET, _KEY, test=y, candidates=pool)
     rows = [(s["model"], s["val_auc"], s["test_auc"], s["model"] == trained.model_name) for s in trained.scores]
     return t.spark.createDataFrame(rows, "model string, val_auc double, test_auc double, chosen boolean")

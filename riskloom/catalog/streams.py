@@ -16,7 +16,7 @@ _ESC = "(event_type = 'error' OR user_id % 4 = 0)"
 
 
 def _stream(t):
-    events = rn.file_stream(t.spark, t.folder, t.events.schema, "events.parquet")
+    events = rn.table_stream(t.spark, t.path("events"), t.events.schema)
     return events.withColumn("ts", F.col("ts").cast("timestamp"))
 
 

@@ -15,6 +15,12 @@ from riskloom.plans.ranking import quantiles
 OTHERS = "OTHERS"
 
 
+def _number(column: str) -> Column:
+    """The column as double, NaN being missing."""
+    x = F.col(column).cast("double")
+    return F.when(~F.isnan(x), x)
+
+
 class BinModel(FittedStage):
     """Right-closed bins `(a, b]` as text `"0.0"`, `"1.0"`, ...; missing or outside is `"0.0"`.
 
@@ -59,8 +65,8 @@ class Discretizer(FitStage):
         edges = {}
         if columns:
             row = dataset.agg(
-                *[F.min(F.col(c).cast("double")).alias(f"lo{i}") for i, c in enumerate(columns)],
-                *[F.max(F.col(c).cast("double")).alias(f"hi{i}") for i, c in enumerate(columns)],
+                *[F.min(_number(c)).alias(f"lo{i}") for i, c in enumerate(columns)],
+                *[F.max(_number(c)).alias(f"hi{i}") for i, c in enumerate(columns)],
             ).first()
             for i, c in enumerate(columns):
                 lo, hi = row[f"lo{i}"], row[f"hi{i}"]

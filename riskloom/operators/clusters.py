@@ -35,9 +35,9 @@ def davies_bouldin(df: DataFrame, features: str, cluster: str) -> float:
     points = np.array([r["__centre"] for r in rows])
     worst = []
     for i, a in enumerate(keys):
-        ratios = [
-            (spread[a] + spread[b]) / math.dist(points[i], points[j]) for j, b in enumerate(keys) if i != j
-        ]
+        # coincident centres count as infinitely far apart
+        gaps = {b: math.dist(points[i], points[j]) for j, b in enumerate(keys) if i != j}
+        ratios = [(spread[a] + spread[b]) / gap if gap else 0.0 for b, gap in gaps.items()]
         worst.append(max(ratios))
     return float(np.mean(worst))
 

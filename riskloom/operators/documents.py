@@ -52,7 +52,7 @@ def new_documents(
     first = hashed.groupBy(HASH).agg(F.min(key).alias("__first"))
     if store is not None:
         known = with_hash(store, text).select(HASH).distinct()
-        first = first.join(known, HASH, "left_anti")
+        first = first.join(known, first[HASH].eqNullSafe(known[HASH]), "left_anti")
     rows = batch.drop(HASH).withColumn("__key", key)
     return rows.join(first, F.col("__key") == F.col("__first")).drop("__key", "__first").select(*batch.drop(HASH).columns, HASH)
 

@@ -34,7 +34,8 @@ def roc_auc(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> Da
 
 
 def _counts(df: DataFrame, label: str, score: str, thresholds: Sequence[float]) -> DataFrame:
-    """threshold, tp, fp, fn, tn for `score > threshold`; all thresholds in one scan."""
+    """threshold, tp, fp, fn, tn for `score > threshold`; all thresholds in one scan, rows without a score left out."""
+    df = df.where(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
     y = F.col(label).cast("int") == 1
     row = df.agg(
         F.count_if(y).alias("p"),

@@ -142,10 +142,16 @@ def group_quantiles(df: DataFrame, column: str, group: str, probs: Sequence[floa
     return wide.select(group, F.inline(F.array(*cells)))
 
 
+def _number(column: str) -> Column:
+    """The column as double, NaN being missing."""
+    x = F.col(column).cast("double")
+    return F.when(~F.isnan(x), x)
+
+
 def _ranges(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:
     row = df.agg(
-        *[F.min(F.col(c).cast("double")).alias(f"lo{i}") for i, c in enumerate(columns)],
-        *[F.max(F.col(c).cast("double")).alias(f"hi{i}") for i, c in enumerate(columns)],
+        *[F.min(_number(c)).alias(f"lo{i}") for i, c in enumerate(columns)],
+        *[F.max(_number(c)).alias(f"hi{i}") for i, c in enumerate(columns)],
     ).first()
     return {c: (row[f"lo{i}"], row[f"hi{i}"]) for i, c in enumerate(columns) if row[f"lo{i}"] is not None}
 
@@ -153,8 +159,8 @@ def _ranges(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, flo
 def _bin_number(column: str, low: float, high: float, bins: int) -> Column:
     width = (high - low) / bins
     if width == 0:
-        return F.when(F.col(column).isNotNull(), F.lit(0))
-    raw = F.floor((F.col(column).cast("double") - low) / F.lit(width))
+        return F.when(_number(column).isNotNull(), F.lit(0))
+    raw = F.floor((_number(column) - low) / F.lit(width))
     return F.least(raw, F.lit(bins - 1)).cast("int")
 
 

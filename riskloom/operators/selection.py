@@ -179,7 +179,9 @@ class LassoSelector(FitStage):
         target, key, folds = self.setting("target"), self.setting("key"), self.setting("cv")
         columns = list(self.setting("columns") or [c for c in numeric_columns(dataset) if c not in (target, key)])
         fold = fold_of(key, folds, self.setting("seed"), self.setting("hash_method"))
-        dataset = dataset.dropna(subset=[*columns, target])
+        absent = dataset.agg(*[F.count_if(F.col(c).isNull() | F.isnan(F.col(c).cast("double"))).alias(c) for c in [*columns, target]]).first()
+        if any(absent):
+            raise ValueError(f"missing values, impute first: { {c: n for c, n in absent.asDict().items() if n} }")
         row = dataset.agg(
             *[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)],
             *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(columns)],

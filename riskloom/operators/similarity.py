@@ -18,8 +18,6 @@ BROADCAST_NUMBERS = 4_000_000
 QUERY_BLOCK = 2_048
 BASE_BLOCK = 16_384
 STEP = 512
-# Fixed value: the largest result count of one request.
-MAX_RESULTS = 10
 
 
 def _unit(vectors: pd.Series) -> np.ndarray:
@@ -140,7 +138,6 @@ def cosine_top_k(
     Zero vectors have no distance and never match. Whatever the sizes, no task holds more than one
     block of each side and no pair but the k best of a block is ever written.
     """
-    k = min(k, MAX_RESULTS)
     q, b = _named(queries, key, vector, "query_id"), _named(base, key, vector, "id")
     size = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("d")).first()
     if (size["n"] or 0) * (size["d"] or 0) <= broadcast_numbers:
@@ -162,9 +159,12 @@ def cosine_top_k_approximate(
     skip_same: bool = False,
     digits: int = 4,
 ) -> DataFrame:
-    """Top-k among the `probes` k-means cells nearest to the query; exact when probes = cells."""
-    k = min(k, MAX_RESULTS)
-    q, b = _named(queries, key, vector, "query_id"), _named(base, key, vector, "id")
+    """Top-k among the `probes` k-means cells nearest to the query; exact when probes = cells.
+
+    Zero vectors have no direction: they are left out of the cells and never match.
+    """
+    turned = F.exists("vector", lambda x: x != 0)
+    q, b = _named(queries, key, vector, "query_id").where(turned), _named(base, key, vector, "id").where(turned)
     units = written(as_vectors(b.withColumn("unit", _unit_column("vector")), "unit", "features"))
     model = KMeans(featuresCol="features", predictionCol="cell", k=cells, seed=seed).fit(units)
     placed = model.transform(units).select("id", "vector", "cell")

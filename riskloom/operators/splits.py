@@ -35,7 +35,8 @@ def group_split(
     """Train and test without an identifier on both sides.
 
     `exact` puts ceil(test_size * ids) identifiers into test; otherwise a hash threshold gives
-    that share in expectation from the scan alone.
+    that share in expectation from the scan alone. Rows without an identifier are one group, which `exact`
+    leaves in train.
     """
     if not exact:
         top = 2**52 if method == "xxhash" else 2**31 - 1
@@ -43,9 +44,10 @@ def group_split(
         return df.where(~chosen), df.where(chosen)
     ids, order = _hashed(df.select(identifier).where(F.col(identifier).isNotNull()).distinct(), identifier, seed, method)
     row = cuts(ids, order, _share(test_size)).first()
-    rows, _ = _hashed(df.where(F.col(identifier).isNotNull()), identifier, seed, method)
+    rows, _ = _hashed(df, identifier, seed, method)
     in_test = not_after(order, lambda i: F.lit(row[f"__cut{i}"])) if row else F.lit(False)
-    return _part(rows.withColumn("__test", in_test), "__test")
+    known = F.col(identifier).isNotNull() & F.coalesce(in_test, F.lit(False))
+    return _part(rows.withColumn("__test", known), "__test")
 
 
 def random_split(df: DataFrame, key: str, test_size: float = 0.3, seed: int = 100, method: str = "xxhash") -> Pair:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskloom.operators.cleaning import storable
-from riskloom.plans.frames import attach
+from riskloom.plans.frames import attach, same_keys
 from riskloom.plans.ranking import dense_numbers
 
 
@@ -104,9 +104,16 @@ def rows_frame(spark: SparkSession, rows: Sequence[Mapping[str, Any]], schema: T
 
 
 def last_per_key(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """The last row of every key by a unique order column: a narrow maximum, then a semi-join."""
-    winners = df.groupBy(*keys).agg(F.max(order).alias("__last")).select("__last")
-    return df.join(winners, df[order] == winners["__last"], "left_semi")
+    """The last row of every key by an order column: a narrow maximum per key, then a semi-join on key and place.
+
+    Missing order values come first, NULL keys are one key, and of rows with equal key and order the one
+    with the larger row hash is kept.
+    """
+    place = F.struct(F.col(order).isNotNull(), F.col(order), F.xxhash64(*df.columns))
+    placed = df.withColumn("__place", place)
+    winners = placed.groupBy(*keys).agg(F.max("__place").alias("__last")).withColumnsRenamed({k: f"__k_{k}" for k in keys})
+    same = same_keys(placed, winners, [*((k, f"__k_{k}") for k in keys), ("__place", "__last")])
+    return placed.join(winners, same, "left_semi").drop("__place").dropDuplicates(list(keys))
 
 
 def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str], order: str | None = None) -> DataFrame:

@@ -21,6 +21,15 @@ def file_stream(
     )
 
 
+def table_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 1000) -> DataFrame:
+    """A Parquet table as a stream, whether its path is one file or a folder of part files."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory():
+        return file_stream(spark, path, schema, files_per_batch=files_per_batch)
+    folder, _, name = path.rpartition("/")
+    return file_stream(spark, folder, schema, name, files_per_batch)
+
+
 def append_to(stream: DataFrame, path: str, checkpoint: str, timeout: int | None = None) -> DataFrame:
     """Process all available input in append mode and return the sink as a frame."""
     run = (
