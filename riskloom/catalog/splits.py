@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from riskloom.catalog.records import records
 from riskloom.catalog.registry import query
 from riskloom.functions.hashing import MODULUS, MULTIPLIER
+from riskloom.operators.cleaning import NumericImputer
 from riskloom.operators import selection as fs
 from riskloom.operators import splits as sp
 from riskloom.operators.profiling import top_by
@@ -202,7 +203,8 @@ def _(t):
 @query("fs4_lasso_selector")
 def _(t):
     columns = ["limit", "premium", "prior_claims", "years_trading"]
-    df = records(t).select("record_key", *columns, "loss_ratio")
+    df = records(t).select("record_key", *columns, "loss_ratio").where("loss_ratio is not null")
+    df = NumericImputer().fit(df).transform(df)
     model = fs.LassoSelector(target="loss_ratio", columns=columns, key="record_key").fit(df)
     weights = model.fitted("weights")
     rows = [(c, float(w), c in model.fitted("kept")) for c, w in weights.items()]
