@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskloom.llm import oracles
 from riskloom.llm.common import bound_batches
 from riskloom.session import shared_folder
 
@@ -36,7 +37,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-@query("op10_url_templates")
+@query("op10_url_templates", oracles.URLS)
 def op10_url_templates(spark: SparkSession, folder: str) -> DataFrame:
     from riskloom.llm.urls import template_tree
 
@@ -44,7 +45,7 @@ def op10_url_templates(spark: SparkSession, folder: str) -> DataFrame:
     return template_tree(pages).select("page_id", "host", "path", "rule", "verdict", "template", F.round("score", 6).alias("score"))
 
 
-@query("op5_chat_windows")
+@query("op5_chat_windows", oracles.CHAT)
 def op5_chat_windows(spark: SparkSession, folder: str) -> DataFrame:
     from riskloom.llm.chat import chat_windows, read_windows
 
@@ -108,7 +109,7 @@ def op8_arc_to_warc(spark: SparkSession, folder: str) -> DataFrame:
     return convert_pages(pages, path, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-@query("op2_decontaminate")
+@query("op2_decontaminate", oracles.DECONTAMINATE)
 def op2_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     from riskloom.llm.decontaminate import digest, scan
 
@@ -130,21 +131,21 @@ def op4_pii(spark: SparkSession, folder: str) -> DataFrame:
     return digest(find(table(spark, folder, "documents").select("doc_id", "text")))
 
 
-@query("op1_minhash")
+@query("op1_minhash", oracles.MINHASH)
 def op1_minhash(spark: SparkSession, folder: str) -> DataFrame:
     from riskloom.llm.minhash import near_duplicates
 
     return near_duplicates(table(spark, folder, "documents"))
 
 
-@query("op6_embedding_grid")
+@query("op6_embedding_grid", oracles.EMBEDDINGS)
 def op6_embedding_grid(spark: SparkSession, folder: str) -> DataFrame:
     from riskloom.llm.gridjoin import near_duplicates
 
     return near_duplicates(table(spark, folder, "embeddings"))
 
 
-@query("op9_substrings")
+@query("op9_substrings", oracles.SUBSTRINGS)
 def op9_substrings(spark: SparkSession, folder: str) -> DataFrame:
     from riskloom.llm.substrings import remove_repeats
 
