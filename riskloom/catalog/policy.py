@@ -11,6 +11,7 @@ from riskloom.operators import policy as pl
 from riskloom.operators import similarity as sm
 from riskloom.operators import usage as us
 from riskloom.operators.cleaning import quality_flags
+from riskloom.plans.frames import written
 
 _P = "round(((record_key * 7919) % 1009) / 1008.0::DOUBLE, 4)"
 _BASE = f"""{RECORDS}, base AS (SELECT record_key, {_P} AS p, {_P} >= 0.5 AS pred, {FLAGS_SQL} AS flags,
@@ -105,10 +106,12 @@ def _assessed(t):
     """Every record takes the search results of one embedding; some searches are marked as failed."""
     scored = _scored(t).withColumn("retrieval_error", F.when(F.col("record_key") % 7 == 3, F.lit("store offline")))
     n = t.embeddings.agg(F.count(F.lit(1))).scalar()
-    gated = pl.with_decision(pl.with_prediction_stub(scored)).where("retrieve AND retrieval_error IS NULL")
-    wanted = gated.select("record_id", (F.col("record_key") % n).alias("vec"))
-    hits = wanted.join(_hits(t).withColumnRenamed("query_id", "vec"), "vec").select(F.col("record_id").alias("query_id"), "id", "distance", "rank")
-    return pl.assess(scored, hits, _outcomes(t), "record_id", ["record_id", "risk_type", "territory"], max_distance=0.9)
+    decided = written(pl.with_decision(pl.with_prediction_stub(scored)))
+    wanted = decided.where("retrieve AND retrieval_error IS NULL").select("record_id", (F.col("record_key") % n).alias("vec"))
+    searched = t.embeddings.join(wanted.select(F.col("vec").alias("vec_id")).distinct(), "vec_id", "left_semi")
+    found = written(sm.cosine_top_k(searched, t.embeddings, 3, "vec_id", skip_same=True)).withColumnRenamed("query_id", "vec")
+    hits = wanted.join(found, "vec").select(F.col("record_id").alias("query_id"), "id", "distance", "rank")
+    return pl.assess(decided, hits, _outcomes(t), "record_id", ["record_id", "risk_type", "territory"], max_distance=0.9)
 
 
 @query(

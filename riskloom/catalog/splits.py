@@ -52,6 +52,18 @@ def _(t):
     return _tag(train=train, test=test).select("o_orderkey", "part")
 
 
+@query(
+    "sp1_group_split_with_missing",
+    f"""WITH o AS (SELECT o_orderkey, CASE WHEN o_custkey % 5 <> 0 THEN o_custkey END AS c FROM orders),
+        i AS (SELECT c, row_number() OVER (ORDER BY {hash_sql('c', 5)}, c) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT c FROM o WHERE c IS NOT NULL))
+        SELECT o_orderkey, CASE WHEN r <= ceil(0.3::DOUBLE * n) THEN 'test' ELSE 'train' END AS part FROM o LEFT JOIN i USING (c)""",
+)
+def _(t):
+    rows = _orders(t).withColumn("c", F.when(F.col("o_custkey") % 5 != 0, F.col("o_custkey")))
+    train, test = sp.group_split(rows, "c", 0.3, 5, "linear")
+    return _tag(train=train, test=test).select("o_orderkey", "part")
+
+
 @query(
     "sp2_random_split",
     f"""WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY {hash_sql('o_orderkey', 100)}, o_orderkey) AS r, count(*) OVER () AS n FROM orders)

@@ -113,6 +113,16 @@ def _(t):
     return rn.append_to(decided, *_paths(t))
 
 
+@query(
+    "sm5_first_content_rows",
+    """SELECT event_id, props AS text FROM (SELECT event_id, props, row_number() OVER (
+        PARTITION BY sha256(regexp_replace(trim(lower(props)), '[^a-z0-9_ ]', '', 'g')) ORDER BY ts, event_id) AS r FROM events) WHERE r = 1""",
+)
+def _(t):
+    rows = t.events.select("event_id", "ts", F.col("props").alias("text"))
+    return mo.first_content(rows, tie=["event_id"]).select("event_id", "text")
+
+
 @query(
     "sm5_first_content",
     "SELECT count(DISTINCT sha256(regexp_replace(trim(lower(props)), '[^a-z0-9_ ]', '', 'g'))) AS contents FROM events",

@@ -140,6 +140,21 @@ def _(t):
     return out
 
 
+@query(
+    "io10_bulk_insert_text_key",
+    "SELECT CAST(row_number() OVER (ORDER BY c_custkey % 2, c_name) AS BIGINT) AS id, c_name FROM customer",
+)
+def _(t):
+    table, path = _name("customer"), _folder(t)
+    df = t.customer.select("c_custkey", "c_name")
+    first = tb.with_ids(df.where("c_custkey % 2 = 0").select("c_name"), "c_name").select("id", "c_name")
+    tb.write_table(first, table, "fail", path)
+    tb.bulk_insert(df.where("c_custkey % 2 = 1").select("c_name"), table, "c_name")
+    out = t.spark.read.parquet(path)
+    tb.drop_table(t.spark, table)
+    return out
+
+
 @query("io11_drop_table", "SELECT count(*) > 0 AS existed, FALSE AS exists_after FROM nation")
 def _(t):
     table = _name("nation")
@@ -315,6 +330,20 @@ def _(t):
     return tb.upsert(target, source, ["o_orderkey"], "seq")
 
 
+@query(
+    "mg1_upsert_repeated_order",
+    """WITH s AS (SELECT l_orderkey, l_extendedprice, row_number() OVER (PARTITION BY l_orderkey
+                ORDER BY CASE WHEN l_linenumber <> 2 THEN l_linenumber END DESC NULLS LAST) AS r FROM lineitem)
+        SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM s)
+        UNION ALL SELECT l_orderkey, l_extendedprice FROM s WHERE r = 1""",
+)
+def _(t):
+    # line numbers repeat across keys, and the second line of each has none
+    seq = F.when(F.col("l_linenumber") != 2, F.col("l_linenumber"))
+    source = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_extendedprice").alias("o_totalprice"), seq.alias("seq"))
+    return tb.upsert(t.orders.select("o_orderkey", "o_totalprice"), source, ["o_orderkey"], "seq")
+
+
 @query("mg2_insert_row", "SELECT CAST(n_nationkey + 1 AS BIGINT) AS id, n_name FROM nation UNION ALL SELECT CAST((SELECT count(*) FROM nation) + 1 AS BIGINT), 'NEW'")
 def _(t):
     table, path = _name("nation"), _folder(t)

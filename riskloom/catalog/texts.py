@@ -187,6 +187,24 @@ def _(t):
     return sm.recall(near, sm.cosine_top_k(t.embeddings, t.embeddings, 3, "vec_id"))
 
 
+@query(
+    "tx8_many_neighbours",
+    f"""SELECT query_id, id, round(d, 4) AS distance, CAST(r AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS r
+        FROM ({_PAIRS} WHERE a.vec_id <> b.vec_id)) WHERE r <= 25""",
+)
+def _(t):
+    return sm.cosine_top_k(t.embeddings, t.embeddings, 25, "vec_id", skip_same=True)
+
+
+@query(
+    "tx8_cosine_top_k_all_cells",
+    f"""SELECT query_id, id, round(d, 4) AS distance, CAST(r AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS r
+        FROM ({_PAIRS})) WHERE r <= 3""",
+)
+def _(t):
+    return sm.cosine_top_k_approximate(t.embeddings, t.embeddings, 3, "vec_id", cells=8, probes=8)
+
+
 @query("tx9_collections", "SELECT 'docs_other' AS collection, CAST(count(*) AS BIGINT) AS documents FROM documents")
 def _(t):
     database = f"store_{uuid.uuid4().hex}"

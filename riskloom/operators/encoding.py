@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.hashing import fold_of
 from riskloom.operators.binning import CustomDiscretizer, Discretizer, QuantileDiscretizer
-from riskloom.operators.profiling import MAX_CLASSES, classes_of
+from riskloom.operators.profiling import classes_of
 from riskloom.operators.stages import FitStage, FittedStage
 from riskloom.plans.frames import attach, numeric_columns, settle, string_columns, unpivot, written
 
@@ -273,11 +273,8 @@ class CategoricalEncoder(FitStage):
 
 
 def _categories(df: DataFrame, columns: list[str]) -> dict[str, list[str]]:
-    """Sorted values of each column without the first one; refuses columns that are not class-like."""
-    limit = MAX_CLASSES * max(1, len(columns))
-    rows = unpivot(df, columns).where("value IS NOT NULL").distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} categories in {columns}")
+    """Sorted values of each column without the first one: each becomes an output column."""
+    rows = unpivot(df, columns).where("value IS NOT NULL").distinct().collect()
     return {c: sorted(r["value"] for r in rows if r["feature"] == c)[1:] for c in columns}
 
 

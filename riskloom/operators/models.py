@@ -75,6 +75,12 @@ def probability(model: PipelineModel, df: DataFrame, name: str = "probability")
     return scored.withColumn(name, vector_to_array("probability")[1]).drop(*[c for c in extra if c != name])
 
 
+def _class_weight(df: DataFrame, target: str) -> Column:
+    """n_neg / n_pos of these rows for positive ones, 1 for the others."""
+    counts = df.agg(F.count_if(F.col(target) == 1).alias("p"), F.count_if(F.col(target) == 0).alias("q")).first()
+    return F.when(F.col(target) == 1, F.lit(counts["q"] / max(counts["p"], 1))).otherwise(1.0)
+
+
 def train_candidates(
     train: DataFrame,
     features: Sequence[str],
@@ -91,10 +97,8 @@ def train_candidates(
     """
     labelled = written(train.withColumn(target, F.col(target).cast("int")).select(key, target, *features))
     fit_rows, held = stratified_split(labelled, target, key, validation_size, seed)
-    counts = fit_rows.agg(F.count_if(F.col(target) == 1).alias("p"), F.count_if(F.col(target) == 0).alias("q")).first()
-    weight = F.when(F.col(target) == 1, F.lit(counts["q"] / max(counts["p"], 1))).otherwise(1.0)
     pool = candidates or candidate_models(target, "__weight", seed)
-    scores, weighted = [], fit_rows.withColumn("__weight", weight)
+    scores, weighted = [], fit_rows.withColumn("__weight", _class_weight(fit_rows, target))
     for name, estimator in pool.items():
         model = fit_one(weighted, features, estimator)
         row = {"model": name, "val_auc": _auc(model, held, target)}
@@ -103,7 +107,7 @@ def train_candidates(
         scores.append(row)
     scores.sort(key=lambda r: (-r["val_auc"], r["model"]))
     best = scores[0]["model"]
-    final = fit_one(labelled.withColumn("__weight", weight), features, pool[best])
+    final = fit_one(labelled.withColumn("__weight", _class_weight(labelled, target)), features, pool[best])
     return TrainedModel(final, best, list(features), target, {"seed": seed}, scores)
 
 
@@ -172,16 +176,18 @@ def shuffled_partner(df: DataFrame, key: str, columns: Sequence[str], seed: int
 
 
 def permutation_importance(df: DataFrame, trained: TrainedModel, key: str, seed: int = 42) -> DataFrame:
-    """(feature, importance): loss of ROC area when one feature takes the values of other rows."""
+    """(feature, importance): loss of ROC area when one feature takes the values of other rows.
+
+    Every row is scored once as it is (number -1) and once per feature with that feature swapped; one
+    pass ranks the scores of all of them.
+    """
     target, features = trained.target_column, trained.feature_columns
-    paired = written(shuffled_partner(df.withColumn(target, F.col(target).cast("int")), key, features, seed))
-    base = _area(paired, trained, target)
-    rows = []
-    for c in features:
-        swapped = paired.withColumn(c, F.col(f"__other_{c}"))
-        rows.append((c, base - _area(swapped, trained, target)))
+    paired = shuffled_partner(df.withColumn(target, F.col(target).cast("int")), key, features, seed)
+    turns = paired.withColumn("__swap", F.explode(F.sequence(F.lit(-1), F.lit(len(features) - 1))))
+    swapped = turns.select(
+        "__swap", target, *[F.when(F.col("__swap") == i, F.col(f"__other_{c}")).otherwise(F.col(c)).alias(c) for i, c in enumerate(features)]
+    )
+    scores = written(probability(trained.model, swapped, "__p").select("__swap", target, "__p"))
+    areas = {r["__swap"]: r["auc"] for r in roc_auc(scores, target, "__p", ["__swap"]).collect()}
+    rows = [(c, areas[-1] - areas[i]) for i, c in enumerate(features)]
     return df.sparkSession.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
-
-
-def _area(df: DataFrame, trained: TrainedModel, target: str) -> float:
-    return roc_auc(probability(trained.model, df, "__p"), target, "__p").first()["auc"]

@@ -103,11 +103,12 @@ def assess(
 ) -> DataFrame:
     """One assessment row per scored record.
 
-    `scored` has the prediction columns, `prediction_error` and, if known, `retrieval_error`.
+    `scored` has the prediction columns, `prediction_error` and, if known, `retrieval_error`; a frame
+    that went through `with_prediction_stub` and `with_decision` before is taken as it is.
     `hits` holds the search results of the gated records (query_id, id, distance, rank and, if
     wanted, document). Rows outside the gate ignore hits.
     """
-    decided = with_decision(with_prediction_stub(scored))
+    decided = scored if "retrieve" in scored.columns else with_decision(with_prediction_stub(scored))
     shown = [c for c in ("id", "document", "distance") if c in hits.columns]
     found = hits.groupBy("query_id").agg(
         F.transform(

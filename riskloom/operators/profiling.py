@@ -13,15 +13,10 @@ from riskloom.functions.hashing import row_hash
 from riskloom.plans.frames import attach, digest_long, numeric_columns, share, string_columns, unpivot
 from riskloom.plans.ranking import quantiles
 
-MAX_CLASSES = 1000
 
-
-def classes_of(df: DataFrame, column: str, limit: int = MAX_CLASSES) -> list:
-    """Sorted distinct values of a class column; refuses columns that are not class-like."""
-    rows = df.select(column).where(F.col(column).isNotNull()).distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"{column} has more than {limit} distinct values")
-    return sorted(r[0] for r in rows)
+def classes_of(df: DataFrame, column: str) -> list:
+    """Sorted distinct values of a class column: the names of the columns a wide result gets, one per class."""
+    return sorted(r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().collect())
 
 
 def column_profile(df: DataFrame, digits: int = 2) -> DataFrame:
@@ -94,10 +89,17 @@ def top_by(df: DataFrame, measure: str, n: int = 10, tie: Sequence[str] = ()) ->
     return ordered.limit(n) if n else ordered
 
 
+def class_counts(df: DataFrame, target: str, features: Sequence[str] | None = None, missing: str = "NA") -> DataFrame:
+    """(feature, value, class, count) for any number of classes: the cross-tab in long form; missing classes are left out."""
+    features = list(features or [c for c in string_columns(df) if c != target])
+    long = unpivot(df.where(F.col(target).isNotNull()), features, [F.col(target).alias("class")])
+    return long.groupBy("feature", F.coalesce("value", F.lit(missing)).alias("value"), "class").agg(F.count(F.lit(1)).alias("count"))
+
+
 def crosstab(
     df: DataFrame, target: str, features: Sequence[str] | None = None, missing: str = "NA"
 ) -> DataFrame:
-    """Counts per feature value and target class, one column per class."""
+    """Counts per feature value and target class, one column per class; `class_counts` has them as rows."""
     features = list(features or [c for c in string_columns(df) if c != target])
     classes = classes_of(df, target)
     long = unpivot(df, features, [F.col(target).alias("__target")]).withColumn("value", F.coalesce("value", F.lit(missing)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,27 +29,26 @@ def _unit(vectors: pd.Series) -> np.ndarray:
 
 
 def _nearest(qids: np.ndarray, q: np.ndarray, ids: np.ndarray, base: np.ndarray, k: int, skip_same: bool) -> pd.DataFrame:
-    """The k nearest rows of one block for every query; equal distances by id.
-
-    `ids` must be sorted, so a stable sort by distance breaks ties by id.
-    """
+    """The k nearest rows of one block for every query; equal distances by id."""
     take = min(k, len(ids))
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for start in range(0, len(qids), STEP):  # a few hundred queries at a time bound the matrix
+    found: list[pd.DataFrame] = []
+    for start in range(0, len(qids) if take else 0, STEP):  # a few hundred queries at a time bound the matrix
         names = qids[start : start + STEP]
         distance = np.round(1.0 - q[start : start + STEP] @ base.T, 9)
         distance[np.isnan(distance)] = np.inf
         if skip_same:
             distance[names[:, None] == ids[None, :]] = np.inf
-        worst = np.partition(distance, take - 1, axis=1)[:, take - 1]
-        for row, name in enumerate(names):
-            near = np.flatnonzero(distance[row] <= worst[row])
-            near = near[np.argsort(distance[row][near], kind="stable")][:take]
-            near = near[np.isfinite(distance[row][near])]
-            found.append((np.repeat(name, len(near)), ids[near], distance[row][near]))
+        worst = np.partition(distance, take - 1, axis=1)[:, take - 1 : take]
+        rows, columns = np.nonzero((distance <= worst) & np.isfinite(distance))  # all ties of the last place
+        found.append(pd.DataFrame({"query_id": names[rows], "id": ids[columns], "distance": distance[rows, columns]}))
     if not found:
         return pd.DataFrame({"query_id": [], "id": [], "distance": []})
-    return pd.DataFrame({c: np.concatenate([f[i] for f in found]) for i, c in enumerate(("query_id", "id", "distance"))})
+    return _best(pd.concat(found), k)
+
+
+def _best(found: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The first k rows of every query by (distance, id)."""
+    return found.sort_values(["query_id", "distance", "id"], kind="stable").groupby("query_id", sort=False).head(k)
 
 
 def _merge(candidates: DataFrame, k: int) -> DataFrame:
@@ -73,16 +73,9 @@ def _by_broadcast(queries: DataFrame, base: DataFrame, k: int, skip_same: bool)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         qids, q = shared.value
-        best = None
         for pdf in batches:
-            if pdf.empty:
-                continue
-            pdf = pdf.sort_values("id", kind="stable")
-            found = _nearest(qids, q, pdf["id"].to_numpy(), _unit(pdf["vector"]), k, skip_same)
-            best = found if best is None else pd.concat([best, found])
-            best = best.sort_values(["query_id", "distance", "id"]).groupby("query_id", sort=False).head(k)
-        if best is not None:
-            yield best
+            if not pdf.empty:
+                yield _nearest(qids, q, pdf["id"].to_numpy(), _unit(pdf["vector"]), k, skip_same)
 
     return base.select("id", "vector").mapInPandas(run, _schema(queries, base))
 
@@ -112,7 +105,6 @@ def _by_blocks(queries: DataFrame, base: DataFrame, k: int, skip_same: bool) ->
     def run(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if q.empty or b.empty:
             return pd.DataFrame({"query_id": [], "id": [], "distance": []})
-        b = b.sort_values("id", kind="stable")
         return _nearest(q["query_id"].to_numpy(), _unit(q["vector"]), b["id"].to_numpy(), _unit(b["vector"]), k, skip_same)
 
     return left.cogroup(right).applyInPandas(run, _schema(queries, base))
@@ -153,36 +145,46 @@ def cosine_top_k_approximate(
     k: int = 3,
     key: str = "id",
     vector: str = "embedding",
-    cells: int = 16,
-    probes: int = 4,
+    cells: int | None = None,
+    probes: int = 8,
     seed: int = 42,
     skip_same: bool = False,
     digits: int = 4,
+    fit_rows: int = 200_000,
+    rounds: int = 20,
 ) -> DataFrame:
-    """Top-k among the `probes` k-means cells nearest to the query; exact when probes = cells.
+    """Top-k among the `probes` k-means cells nearest to the query; exact when probes >= cells.
 
-    Zero vectors have no direction: they are left out of the cells and never match.
+    `cells` is the square root of the base rows unless given. The cells are fitted in `rounds` rounds on
+    about `fit_rows` rows chosen by a hash of the key; every row is then placed in a cell, and big cells are cut
+    into blocks. Zero vectors have no direction: they are left out of the cells and never match.
     """
     turned = F.exists("vector", lambda x: x != 0)
     q, b = _named(queries, key, vector, "query_id").where(turned), _named(base, key, vector, "id").where(turned)
     units = written(as_vectors(b.withColumn("unit", _unit_column("vector")), "unit", "features"))
-    model = KMeans(featuresCol="features", predictionCol="cell", k=cells, seed=seed).fit(units)
+    n = units.count()
+    if not n:
+        return _by_broadcast(q.limit(0), b, k, skip_same).withColumn("rank", F.lit(1))
+    cells = cells or max(1, math.isqrt(n))
+    share = max(1, n // max(fit_rows, cells))
+    sample = units.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(share)) == 0) if share > 1 else units
+    model = KMeans(featuresCol="features", predictionCol="cell", k=cells, seed=seed, maxIter=rounds).fit(sample)
     placed = model.transform(units).select("id", "vector", "cell")
-    centres = [[float(x) for x in c] for c in model.clusterCenters()]  # cells x dimensions numbers
-    gaps = F.array(
-        *[
-            F.struct(
-                F.aggregate(
-                    F.zip_with("unit", F.array(*[F.lit(x) for x in c]), lambda a, y: (a - y) * (a - y)), F.lit(0.0), lambda s, x: s + x
-                ).alias("gap"),
-                F.lit(i).alias("cell"),
-            )
-            for i, c in enumerate(centres)
-        ]
-    )
-    nearest = F.slice(F.array_sort(gaps), 1, probes)
-    probed = q.withColumn("unit", _unit_column("vector")).select("query_id", "vector", F.explode(nearest["cell"]).alias("cell"))
-    found = _by_blocks(probed, placed, k, skip_same)
+    # cells x dimensions numbers: the square root of the base
+    centres = q.sparkSession.sparkContext.broadcast(np.array(model.clusterCenters()))
+    near = T.StructType([*_schema(q, b).fields[:1], T.StructField("vector", q.schema["vector"].dataType), T.StructField("cell", T.IntegerType())])
+
+    def nearest_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c = centres.value
+        for pdf in batches:
+            for start in range(0, len(pdf), STEP):
+                rows = pdf.iloc[start : start + STEP]
+                gap = (c * c).sum(axis=1) - 2.0 * (_unit(rows["vector"]) @ c.T)  # |x| is the same for all cells
+                nearest = np.argsort(gap, axis=1, kind="stable")[:, :probes]
+                wide = rows.loc[rows.index.repeat(nearest.shape[1])]
+                yield wide.assign(cell=nearest.ravel().astype(np.int32))
+
+    found = _by_blocks(q.select("query_id", "vector").mapInPandas(nearest_cells, near), placed, k, skip_same)
     return _merge(found, k).select("query_id", "id", F.round("distance", digits).alias("distance"), "rank")
 
 

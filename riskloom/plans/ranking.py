@@ -16,7 +16,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.plans.frames import SMALL_ROWS, attach, settle
+from riskloom.plans.frames import SMALL_ROWS, attach, settle, written
 
 
 def bucket_count(df: DataFrame) -> int:
@@ -220,11 +220,20 @@ def first_rows_flag(
 
 
 def dense_numbers(df: DataFrame, key: str, name: str, start: int = 0) -> DataFrame:
-    """Consecutive numbers in key order, from per-bucket counts and offsets. `key` is unique."""
-    ranks = value_ranks(df.select(key), key).select(
-        F.col("value").alias(key), (F.col("before_n") + start).cast("long").alias(name)
-    )
-    return df.join(ranks, key)
+    """`df` with consecutive numbers in the order of `key`, a unique column of any orderable type.
+
+    Rows are range-partitioned by the key and written once; numbers are the place inside the partition
+    plus the rows of the partitions before it, so no task sorts more than one partition.
+    """
+    parts = written(df.repartitionByRange(bucket_count(df), key).withColumn("__part", F.spark_partition_id()))
+    sizes = parts.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    # one row per partition
+    lower = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("__part", F.coalesce(F.sum("__n").over(lower), F.lit(0)).alias("__offset"))
+    place = F.row_number().over(Window.partitionBy("__part").orderBy(key))
+    numbered = parts.withColumn("__place", place).join(F.broadcast(offsets), "__part")
+    number = (F.col("__offset") + F.col("__place") + (start - 1)).cast("long")
+    return numbered.withColumn(name, number).drop("__part", "__place", "__offset")
 
 
 __all__ = [

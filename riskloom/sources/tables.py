@@ -81,10 +81,9 @@ def bulk_insert(df: DataFrame, table: str, order: str, id_column: str = "id") ->
     """Append rows with generated ids; returns the first and last new id."""
     spark = df.sparkSession
     last = spark.table(table).agg(F.max(id_column)).first()[0] or 0
-    n = df.count()
     rows = with_ids(df, order, id_column, last).select(*spark.table(table).columns)
     storable(rows).write.mode("append").insertInto(table)
-    return last + 1, last + n
+    return last + 1, last + rows.count()
 
 
 def insert_row(spark: SparkSession, row: Mapping[str, Any], table: str, id_column: str = "id") -> int:

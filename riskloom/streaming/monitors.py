@@ -148,9 +148,10 @@ def stream_decisions(df: DataFrame) -> DataFrame:
     )
 
 
-def first_content(df: DataFrame, text: str = "text", ts: str = "ts", delay: str = "24 hours") -> DataFrame:
-    """One row per content hash within the watermark delay (all time on batch frames)."""
+def first_content(df: DataFrame, text: str = "text", ts: str = "ts", delay: str = "24 hours", tie: Sequence[str] = ()) -> DataFrame:
+    """One row per content hash within the watermark delay; on batch frames the earliest of all time, by `ts` and `tie`."""
     hashed = df.withColumn("content_hash", content_hash(text))
     if df.isStreaming:
         return hashed.withWatermark(ts, delay).dropDuplicatesWithinWatermark(["content_hash"])
-    return hashed.dropDuplicates(["content_hash"])
+    first = hashed.groupBy("content_hash").agg(F.min_by(F.struct(*df.columns), F.struct(ts, *tie)).alias("__row"))
+    return first.select("__row.*", "content_hash")
