@@ -240,9 +240,9 @@ _PY_ROUND_1 = "format('{:.1f}', \"limit\" / 1000000)"
 
 @query(
     "cl17_record_sentence",
-    f"""WITH {RECORDS} SELECT record_key, concat('This is a ', lower({TRIM.format(c='risk_type')}), ' record covering ',
-        lower({TRIM.format(c='risk_type')}), ', submitted by ', {TRIM.format(c='broker')}, ' for a ',
-        coalesce({TRIM.format(c='industry')}, 'an undisclosed industry'), ' account ', {TRIM.format(c='territory')},
+    f"""WITH {RECORDS} SELECT record_key, concat('This is a ', coalesce(lower({TRIM.format(c='risk_type')}), 'nan'), ' record covering ',
+        coalesce(lower({TRIM.format(c='risk_type')}), 'nan'), ', submitted by ', coalesce({TRIM.format(c='broker')}, 'nan'), ' for a ',
+        coalesce({TRIM.format(c='industry')}, 'an undisclosed industry'), ' account ', coalesce({TRIM.format(c='territory')}, 'nan'),
         '. The insured is ', CASE WHEN years_trading IS NULL THEN 'an entity with unknown trading history'
             WHEN years_trading < 5 THEN 'a recently established entity'
             ELSE concat('a business with ', CAST(CAST(years_trading AS INT) AS VARCHAR), ' years of trading history') END,
@@ -252,14 +252,12 @@ _PY_ROUND_1 = "format('{:.1f}', \"limit\" / 1000000)"
             WHEN prior_claims = 3 THEN 'three prior claims on record'
             ELSE concat(CAST(CAST(prior_claims AS INT) AS VARCHAR), ' prior claims on record') END,
         '. The policy limit is $', CASE WHEN "limit" >= 1000000 THEN concat({_PY_ROUND_1}, 'm')
-            ELSE format('{{:,}}', CAST("limit" AS BIGINT)) END,
-        ' and the quoted premium is $', format('{{:.0f}}', premium / 1000), 'k, placed with Acme Underwriting.') AS sentence
-        FROM records WHERE risk_type IS NOT NULL AND territory IS NOT NULL AND broker IS NOT NULL
-            AND "limit" IS NOT NULL AND premium IS NOT NULL""",
+            ELSE coalesce(format('{{:,}}', CAST("limit" AS BIGINT)), 'nan') END,
+        ' and the quoted premium is $', coalesce(format('{{:.0f}}', premium / 1000), 'nan'), 'k, placed with Acme Underwriting.') AS sentence
+        FROM records""",
 )
 def _(t):
-    df = records(t).dropna(subset=["risk_type", "territory", "broker", "limit", "premium"])
-    return df.select("record_key", tx.record_sentence("Acme Underwriting").alias("sentence"))
+    return records(t).select("record_key", tx.record_sentence("Acme Underwriting").alias("sentence"))
 
 
 RETRIEVAL_SQL = """coalesce(nullif(concat_ws(' ', nullif(risk_type, ''), CASE WHEN industry <> '' THEN concat(industry, ' company') END,

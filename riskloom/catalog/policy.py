@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from riskloom.catalog.cleaning import FLAGS_SQL
+from riskloom.catalog.cleaning import FLAGS_SQL, RETRIEVAL_SQL
 from riskloom.catalog.records import RECORDS, records
 from riskloom.catalog.registry import query
+from riskloom.catalog.texts import STORED, letter_store, letters_sql
 from riskloom.operators import policy as pl
 from riskloom.operators import similarity as sm
 from riskloom.operators import usage as us
+from riskloom.operators.assessment import assess_requests
 from riskloom.operators.cleaning import quality_flags
 from riskloom.plans.frames import written
+from riskloom.schemas import REQUEST
+from riskloom.sources.files import record_struct
 
 _P = "round(((record_key * 7919) % 1009) / 1008.0::DOUBLE, 4)"
 _BASE = f"""{RECORDS}, base AS (SELECT record_key, {_P} AS p, {_P} >= 0.5 AS pred, {FLAGS_SQL} AS flags,
@@ -129,6 +133,52 @@ def _(t):
     )
 
 
+_RISK = "round(least(1, greatest(0, 0.5D + 0.05D * (coalesce(prior_claims, 0) - 5) - 0.004D * (coalesce(years_trading, 0) - 25))), 4)"
+
+
+@query(
+    "pl6_assess_requests",
+    f"""WITH {RECORDS}, {STORED}, base AS (SELECT record_id, {FLAGS_SQL} AS flags, {_RISK.replace("D ", "::DOUBLE ")} AS p, {RETRIEVAL_SQL} AS q FROM records),
+        conf AS (SELECT *, p >= 0.5 AS pred, abs(p - 0.5) AS m, len(list_filter(flags, lambda f: f LIKE 'optional%')) > 0 AS opt,
+            len(list_filter(flags, lambda f: f LIKE 'required%' OR f LIKE 'invalid%')) > 0 AS forced FROM base),
+        decided AS (SELECT *, CASE WHEN forced THEN 'low' WHEN m >= 0.3::DOUBLE THEN CASE WHEN opt THEN 'medium' ELSE 'high' END
+            WHEN m >= 0.15::DOUBLE THEN CASE WHEN opt THEN 'low' ELSE 'medium' END ELSE 'low' END AS confidence FROM conf),
+        top AS (SELECT q, doc_id, d, r FROM (SELECT q, doc_id, d, row_number() OVER (PARTITION BY q ORDER BY d, place) AS r FROM (
+            SELECT q, doc_id, place, round(1 - list_cosine_similarity({letters_sql('q')}, v), 9) AS d FROM (SELECT DISTINCT q FROM decided WHERE confidence = 'low'), stored)) WHERE r <= 3),
+        near AS (SELECT q, string_agg(doc_id, '|' ORDER BY r) AS found, count(*) FILTER (round(d, 4) <= 0.5::DOUBLE) AS n,
+            count(*) FILTER (round(d, 4) <= 0.5::DOUBLE AND doc_id % 3 = 0) AS losses FROM top GROUP BY q),
+        joined AS (SELECT d.*, found, confidence = 'low' AS searched, confidence = 'low' AND coalesce(n > 0 AND (losses > n / 2.0::DOUBLE) <> pred, FALSE) AS conflict
+            FROM decided d LEFT JOIN near ON near.q = d.q AND confidence = 'low')
+        SELECT record_id, CASE WHEN confidence = 'low' THEN 'unclear' WHEN pred THEN 'likely_loss' ELSE 'unlikely_loss' END AS risk_assessment, confidence AS confidence_level,
+            conflict OR confidence = 'low' AS second_opinion_recommended, conflict AS conflict_detected, found,
+            array_to_string(list_concat(flags, CASE WHEN conflict THEN ['{pl.CONFLICT_WARNING}'] ELSE []::VARCHAR[] END), '|') AS warnings,
+            CASE WHEN searched THEN 'predict_loss|retrieve_similar_records' ELSE 'predict_loss' END AS tools_used FROM joined""",
+)
+def _(t):
+    """JSON requests, a fixed linear score, a text search on a document store."""
+    names = [f.name for f in REQUEST.fields]
+    payload = records(t).select(F.to_json(F.struct(*names)).alias("payload"))
+    requests = payload.select(record_struct("payload").alias("r")).select("r.*")
+
+    def predict(df):
+        p = F.expr(_RISK)
+        return df.withColumns(
+            {
+                "probability_of_loss": p, "is_loss_making_prediction": p >= 0.5,
+                "top_features": F.array(F.lit("prior_claims"), F.lit("years_trading")), "model_warnings": F.array().cast("array<string>"),
+            }
+        )
+
+    store, embed = letter_store(t)
+    outcomes = t.documents.select(F.col("doc_id").cast("string").alias("record_id"), (F.col("doc_id") % 3 == 0).alias("is_loss_making"))
+    out = assess_requests(requests, predict, lambda texts: store.search(texts, embed), outcomes, record_fields=names)
+    shown = F.from_json(F.get_json_object("evidence", "$.retrieved_records"), "array<struct<record_id:string>>")
+    return out.select(
+        "record_id", "risk_assessment", "confidence_level", "second_opinion_recommended", "conflict_detected",
+        F.array_join(shown["record_id"], "|").alias("found"), F.array_join("warnings", "|").alias("warnings"), F.array_join("tools_used", "|").alias("tools_used"),
+    )
+
+
 @query(
     "pl7_fixed_response",
     f"""WITH {_ASSESSED} SELECT concat('REC_', record_key) AS record_id, '{pl.RECOMMENDATION}' AS recommendation,

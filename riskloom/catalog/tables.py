@@ -53,6 +53,22 @@ def _(t):
     return parsed.select("o_orderkey", "r.record_id", "r.limit", F.col("r").isNull().alias("quarantined"))
 
 
+@query(
+    "io2_record_json_files",
+    """SELECT CASE WHEN s_suppkey % 3 < 2 THEN concat('R', s_suppkey) END AS record_id, CASE WHEN s_suppkey % 3 < 2 THEN CAST(s_suppkey * 10 AS DOUBLE) END AS "limit",
+        CASE WHEN s_suppkey % 3 = 2 THEN concat('[', s_suppkey, ']') END AS text FROM supplier""",
+)
+def _(t):
+    path, n = _folder(t), F.col("s_suppkey") % 3
+    body = F.concat(F.lit('{"record_id": "R'), F.col("s_suppkey"), F.lit('", "limit": '), F.col("s_suppkey") * 10, F.lit("}"))
+    text = F.when(n == 0, body).when(n == 1, F.concat(F.lit('{"record": '), body, F.lit("}"))).otherwise(F.concat(F.lit("["), F.col("s_suppkey"), F.lit("]")))
+    fl.write_documents(t.supplier.select("s_suppkey", text.alias("text")), "s_suppkey", "text", path, one_file_each=True)
+    good, bad = fl.read_record_json(t.spark, path)
+    return good.select("record_id", F.col("limit").cast("double").alias("limit"), F.lit(None).cast("string").alias("text")).unionByName(
+        bad.select(F.lit(None).cast("string").alias("record_id"), F.lit(None).cast("double").alias("limit"), F.trim(F.regexp_replace("text", r"\s", "")).alias("text"))
+    )
+
+
 @query("io3_text_folder", "SELECT concat('S', s_suppkey) AS id, concat(s_name, chr(10), s_nationkey) AS text FROM supplier")
 def _(t):
     path = _folder(t)
@@ -239,6 +255,18 @@ def _(t):
     return fl.read_eval_items(t.spark, path, array=False).select("record_id", "ground_truth.*")
 
 
+@query(
+    "io17_eval_items_array",
+    "SELECT concat('R', s_suppkey) AS record_id, CAST(s_suppkey / 8 AS DOUBLE) AS loss_ratio, s_suppkey % 2 = 0 AS is_loss_making, 'borderline' AS case_type FROM supplier",
+)
+def _(t):
+    path = _folder(t)
+    truth = F.struct((F.col("s_suppkey") % 2 == 0).alias("is_loss_making"), (F.col("s_suppkey") / 8).alias("loss_ratio"), F.lit("borderline").alias("case_type"))
+    item = F.struct(F.concat(F.lit("R"), F.col("s_suppkey")).alias("record_id"), truth.alias("ground_truth"))
+    t.supplier.groupBy().agg(F.to_json(F.collect_list(item)).alias("value")).write.text(path)  # one array is one value by its format
+    return fl.read_eval_items(t.spark, path).select("record_id", "ground_truth.*")
+
+
 @query("io18_documents_by_row", "SELECT doc_id AS id, length(text) AS characters FROM documents")
 def _(t):
     path = _folder(t)
@@ -332,15 +360,17 @@ def _(t):
 
 @query(
     "mg1_upsert_repeated_order",
-    """WITH s AS (SELECT l_orderkey, l_extendedprice, row_number() OVER (PARTITION BY l_orderkey
-                ORDER BY CASE WHEN l_linenumber <> 2 THEN l_linenumber END DESC NULLS LAST) AS r FROM lineitem)
+    """WITH l AS (SELECT l_orderkey, l_linenumber, max(l_extendedprice) AS l_extendedprice FROM lineitem GROUP BY 1, 2),
+        s AS (SELECT l_orderkey, l_extendedprice, row_number() OVER (PARTITION BY l_orderkey
+                ORDER BY CASE WHEN l_linenumber <> 2 THEN l_linenumber END DESC NULLS LAST) AS r FROM l)
         SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM s)
         UNION ALL SELECT l_orderkey, l_extendedprice FROM s WHERE r = 1""",
 )
 def _(t):
     # line numbers repeat across keys, and the second line of each has none
     seq = F.when(F.col("l_linenumber") != 2, F.col("l_linenumber"))
-    source = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_extendedprice").alias("o_totalprice"), seq.alias("seq"))
+    lines = t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.max("l_extendedprice").alias("o_totalprice"))
+    source = lines.select(F.col("l_orderkey").alias("o_orderkey"), "o_totalprice", seq.alias("seq"))
     return tb.upsert(t.orders.select("o_orderkey", "o_totalprice"), source, ["o_orderkey"], "seq")
 
 

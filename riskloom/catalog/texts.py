@@ -141,7 +141,10 @@ def _(t):
     return store.read().select("doc_id", "content_hash")
 
 
-@query("tx7_default_embedding")
+@query(
+    "tx7_default_embedding",
+    r"SELECT doc_id, CAST(128 AS INT) AS dimensions, CASE WHEN regexp_matches(text, '[\pL\pN_]') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm FROM documents",
+)
 def _(t):
     embedder = dc.TextEmbedder(128)
     docs = t.documents.select("doc_id", "text")
@@ -150,6 +153,57 @@ def _(t):
     return out.select("doc_id", F.size("embedding").alias("dimensions"), F.round(F.sqrt(norm), 4).alias("norm"))
 
 
+def letters(texts):
+    """A plain embedding: length and four letter counts."""
+    return [[len(s), *(s.count(c) for c in "aein")] for s in texts]
+
+
+def letters_sql(column: str) -> str:
+    counts = ", ".join(f"length({column}) - length(replace({column}, '{c}', ''))" for c in "aein")
+    return f"[length({column}), {counts}]::DOUBLE[]"
+
+
+STORED = f"""{_HASHED}, stored AS (SELECT concat(doc_id, ':', content_hash) AS place, doc_id, {letters_sql('text')} AS v FROM documents JOIN h USING (doc_id)
+    WHERE doc_id IN (SELECT min(doc_id) FROM h GROUP BY content_hash))"""
+
+
+def letter_store(t):
+    """A store of all documents with the plain embedding, filled in two updates."""
+    store = dc.DocumentStore(t.spark, _folder(t), ["doc_id"])
+    embed = lambda df: dc.embed_with(df, letters)
+    docs = t.documents.select("doc_id", "text")
+    half = docs.agg((F.max("doc_id") / 2).cast("long")).first()[0]
+    for batch in (docs.where(F.col("doc_id") <= half), docs.where(F.col("doc_id") > half)):
+        store.update(batch, embed=embed)
+    return store, embed
+
+
+@query(
+    "tx6_text_search",
+    f"""WITH {STORED} SELECT query_id, id, round(d, 4) AS distance, CAST(r AS INT) AS rank FROM (
+            SELECT query_id, id, d, row_number() OVER (PARTITION BY query_id ORDER BY d, place) AS r FROM (
+                SELECT p_partkey AS query_id, CAST(doc_id AS VARCHAR) AS id, place, round(1 - list_cosine_similarity({letters_sql('p_name')}, v), 9) AS d FROM part, stored))
+        WHERE r <= 3""",
+)
+def _(t):
+    store, embed = letter_store(t)
+    return store.search(t.part.select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("text")), embed).drop("document")
+
+
+@query(
+    "tx6_missing_texts",
+    """SELECT n_nationkey AS doc_id, CASE WHEN n_nationkey % 3 <> 0 THEN n_name END AS text FROM nation
+        WHERE n_nationkey % 3 <> 0 OR n_nationkey = 0""",
+)
+def _(t):
+    store = dc.DocumentStore(t.spark, _folder(t), ["doc_id"])
+    docs = t.nation.select(F.col("n_nationkey").alias("doc_id"), F.when(F.col("n_nationkey") % 3 != 0, F.col("n_name")).alias("text"))
+    store.update(docs)
+    if store.update(docs) is not None:
+        raise AssertionError("nothing new may publish no version")
+    return store.read().select("doc_id", "text")
+
+
 @query(
     "tx7_embedding_function",
     "SELECT doc_id, length(text)::FLOAT AS characters, (length(text) - length(replace(text, 'e', '')))::FLOAT AS e FROM documents",

@@ -42,14 +42,17 @@ def half_even(value: Column, digits: int) -> Column:
     return F.format_number(value.cast("double"), digits)
 
 
-def record_sentence(underwriter: str) -> Column:
-    """The three-sentence summary of a record row."""
+def record_sentence(underwriter: str, missing: str = "nan") -> Column:
+    """The three-sentence summary of a record row; fields without a phrase for it show `missing` where they have no value."""
+    blank = F.lit(missing)
     limit, premium = F.col("limit").cast("double"), F.col("premium").cast("double")
     limit_text = F.when(
         limit / 1e6 >= 1, F.concat(F.lit("$"), F.regexp_replace(half_even(limit / 1e6, 1), ",", ""), F.lit("m"))
     ).otherwise(F.concat(F.lit("$"), half_even(limit, 0)))
-    premium_text = F.concat(F.lit("$"), F.regexp_replace(half_even(premium / 1e3, 0), ",", ""), F.lit("k"))
-    risk, territory = F.lower(strip("risk_type")), strip("territory")
+    limit_text = F.when(limit.isNull() | F.isnan(limit), F.concat(F.lit("$"), blank)).otherwise(limit_text)
+    thousands = F.when(~F.isnan(premium), F.regexp_replace(half_even(premium / 1e3, 0), ",", ""))
+    premium_text = F.concat(F.lit("$"), F.coalesce(thousands, blank), F.lit("k"))
+    risk, territory = F.coalesce(F.lower(strip("risk_type")), blank), F.coalesce(strip("territory"), blank)
     claims = F.col("prior_claims").cast("int")
     years = F.col("years_trading")
     claims_text = F.when(claims.isNull(), F.lit("unknown prior claims history")).otherwise(
@@ -64,7 +67,7 @@ def record_sentence(underwriter: str) -> Column:
     )
     return F.concat(
         F.lit("This is a "), risk, F.lit(" record covering "), _lookup(risk, RISK_PHRASES, risk),
-        F.lit(", submitted by "), strip("broker"), F.lit(" for a "),
+        F.lit(", submitted by "), F.coalesce(strip("broker"), blank), F.lit(" for a "),
         F.coalesce(strip("industry"), F.lit("an undisclosed industry")), F.lit(" account "),
         _lookup(territory, TERRITORY_PHRASES, territory), F.lit(". The insured is "), trading,
         F.lit(", with "), claims_text, F.lit(". The policy limit is "), limit_text,
@@ -90,10 +93,14 @@ def retrieval_query() -> Column:
     return F.coalesce(F.nullif(F.concat_ws(" ", *parts), F.lit("")), F.lit("insurance record"))
 
 
+# Fixed value: the pattern of a fenced JSON block.
+FENCED_JSON = r"(?s)```(?:json)?\s*(\{.*?\})\s*```"
+
+
 def json_object(column: str | Column) -> Column:
     """The JSON object inside free text: a fenced block first, else first `{` to last `}`."""
     text = F.col(column) if isinstance(column, str) else column
-    fenced = F.nullif(F.regexp_extract(text, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1), F.lit(""))
+    fenced = F.nullif(F.regexp_extract(text, FENCED_JSON, 1), F.lit(""))
     bare = F.nullif(F.regexp_extract(text, r"(?s)(\{.*\})", 1), F.lit(""))
     found = F.coalesce(fenced, bare)
     return F.when(F.try_parse_json(found).isNotNull(), found)

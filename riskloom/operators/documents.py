@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskloom.functions.text import content_hash, split_characters, split_sentences
+from riskloom.operators.similarity import cosine_top_k
+from riskloom.plans.frames import written
 from riskloom.sources.tables import upsert
 from riskloom.sources.versions import VersionedTable
 
@@ -70,25 +72,45 @@ class DocumentStore:
     def update(
         self,
         batch: DataFrame,
-        reindex_threshold: int = 1000,
+        reindex_threshold: int | None = None,
         deduplicate: bool = True,
         embed: Callable[[DataFrame], DataFrame] | None = None,
     ) -> int | None:
-        """Publish a version with the batch's new documents; None when there is nothing new.
+        """Publish one version with the batch's new documents; None when there is nothing new.
 
-        Past `reindex_threshold` distinct documents the latest version is rewritten as one set of
-        files and, with `embed`, all texts are embedded anew.
+        An update costs the batch. With `reindex_threshold`, a set of more distinct documents is
+        written as one set of files instead and, with `embed`, all its texts are embedded anew.
         """
         store = self.table.read()
         fresh = new_documents(batch, store, self.order, self.text) if deduplicate else with_hash(batch, self.text)
+        fresh = written(fresh)
         if not fresh.limit(1).collect():
             return None
-        version = self.table.append(embed(fresh) if embed else fresh)
-        documents = self.table.read().select(self.order[0]).distinct().limit(reindex_threshold + 1).count()
-        if store is not None and documents > reindex_threshold:
-            current = self.table.read()
-            version = self.table.write(embed(current) if embed else current)
-        return version
+        if reindex_threshold is not None and store is not None:
+            ids = store.select(self.order[0]).unionByName(fresh.select(self.order[0])).distinct()
+            if ids.limit(reindex_threshold + 1).count() > reindex_threshold:
+                whole = store.select(*fresh.columns).unionByName(fresh)
+                return self.table.write(embed(whole) if embed else whole)
+        return self.table.append(embed(fresh) if embed else fresh)
+
+    def search(
+        self, texts: DataFrame, embed: Callable[[DataFrame], DataFrame], k: int = 3, key: str = "query_id", vector: str = "embedding"
+    ) -> DataFrame:
+        """(query_id, id, distance, rank, document): the k documents of the latest version nearest to each text.
+
+        `texts` has `key` and the store's text column; `embed` is the function the store was filled with. `id` is the
+        text of the first order column; equal distances go by all order columns and the content hash, as text.
+        Without a version there are no hits.
+        """
+        store = self.table.read()
+        if store is None:
+            return texts.sparkSession.createDataFrame([], "query_id string, id string, distance double, rank int, document string")
+        place = F.concat_ws(":", *[F.col(c).cast("string") for c in (*self.order, HASH)])
+        base = store.select(place.alias("__place"), F.col(self.order[0]).cast("string").alias("id"), F.col(self.text).alias("document"), vector)
+        asked = embed(texts.select(F.col(key).alias("__place"), self.text))
+        hits = cosine_top_k(asked, base, k, "__place", vector).withColumnRenamed("id", "__place")
+        named = base.select("__place", "id", "document").distinct()
+        return hits.join(named, "__place").select("query_id", "id", "distance", "rank", "document")
 
 
 class TextEmbedder:
@@ -233,11 +255,11 @@ class Collections:
         self.create(new, self.read(old))
 
     def rename(self, old: str, new: str) -> None:
-        self.spark.sql(f"ALTER TABLE {self._full(old)} RENAME TO {self._full(new)}")
+        self.spark.sql("ALTER TABLE IDENTIFIER(:old) RENAME TO IDENTIFIER(:new)", args={"old": self._full(old), "new": self._full(new)})
 
     def delete(self, name: str) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {self._full(name)}")
+        self.spark.sql("DROP TABLE IF EXISTS IDENTIFIER(:name)", args={"name": self._full(name)})
 
     def list(self) -> DataFrame:
-        tables = self.spark.sql(f"SHOW TABLES IN {self.database}").where(~F.col("isTemporary"))
+        tables = self.spark.sql("SHOW TABLES IN IDENTIFIER(:name)", args={"name": self.database}).where(~F.col("isTemporary"))
         return tables.select(F.col("tableName").alias("collection"))

@@ -10,8 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SMALL_ROWS = 20_000
-
 
 def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
@@ -65,15 +63,11 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def settle(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
+def settle(df: DataFrame) -> DataFrame:
     """Fix the rows of a fitted table so that later jobs all see the same values.
 
-    Up to `max_rows` rows become a local relation with a broadcast hint: its size is then
-    proven. Anything larger is written to the shared folder and joined by shuffle.
+    The table is computed once and written; its measured size then decides between broadcast and shuffle.
     """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) <= max_rows:
-        return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
     return written(df)
 
 

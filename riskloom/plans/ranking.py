@@ -16,7 +16,10 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.plans.frames import SMALL_ROWS, attach, settle, written
+from riskloom.plans.frames import attach, settle, written
+
+#: A group with at most this many distinct values is ranked without buckets: its counted rows fit in any task.
+SMALL_ROWS = 20_000
 
 
 def bucket_count(df: DataFrame) -> int:
