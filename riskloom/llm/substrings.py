@@ -23,6 +23,8 @@ MOST_BITS = 27
 BUCKET_WORDS, SHARD_WORDS = 1_500_000, 100_000
 #: Anchors or windows a task gathers before it adds equal ones up and sends them on.
 GATHERED = 2_000_000
+#: An anchor chosen at so many places or more is split: its windows are dealt one by one, by their own hash.
+HOT_PLACES = 500_000
 _LAST = np.iinfo(np.int64).max
 
 
@@ -91,11 +93,21 @@ def anchor_filter(repeated: DataFrame, most_bits: int = MOST_BITS) -> tuple[np.n
     return table, bits
 
 
-def candidate_windows(docs: DataFrame, shared, bits: int, buckets: int, window: int = WINDOW) -> DataFrame:
-    """(b, anchor, doc, start, n, hashes): stretches of windows over one repeated anchor.
+def _listed(anchors: np.ndarray, table: np.ndarray, bits: int) -> np.ndarray:
+    """True for anchors that a bit table may hold."""
+    place = anchors >> np.uint64(64 - bits)
+    return (table[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
-    A stretch holds the hashes of the windows from `start` on that share the anchor. Equal stretches of one
-    bucket that a task gathers are one row with their number n and their first place.
+
+def candidate_windows(docs: DataFrame, shared, buckets: int, window: int = WINDOW) -> DataFrame:
+    """(b, deal, doc, start, n, hashes): stretches of windows over one repeated anchor.
+
+    A stretch holds the hashes of the windows from `start` on that share the anchor; `deal`, by which stretches
+    are spread over tasks, is the anchor. Windows over a hot anchor are stretches of one with their own
+    hash as `deal`: a phrase that a third of all documents embed in different words fills no single task.
+    Equal windows have equal anchors and so one `deal`. Equal stretches of one bucket that a task
+    gathers are one row with their number n and their first place. `shared` holds the filters of the repeated and of
+    the hot anchors; a full filter takes more anchors for repeated or hot and changes no result.
     """
 
     def added_up(parts: list[tuple], flat: list[np.ndarray]) -> pa.RecordBatch:
@@ -110,29 +122,29 @@ def candidate_windows(docs: DataFrame, shared, bits: int, buckets: int, window:
         values = np.concatenate(flat)[np.arange(offsets[-1]) + np.repeat(at[pick] - offsets[:-1], length[pick])]
         lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values.view(np.int64)))
         columns = (k[pick].astype(np.int32), a[pick].view(np.int64), d[pick], s[pick].astype(np.int32), n.astype(np.int32))
-        return pa.RecordBatch.from_arrays([*map(pa.array, columns), lists], ["b", "anchor", "doc", "start", "n", "hashes"])
+        return pa.RecordBatch.from_arrays([*map(pa.array, columns), lists], ["b", "deal", "doc", "start", "n", "hashes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, shift = shared.value, np.uint64(64 - bits)
+        repeated, hot = shared.value
         parts, flat, size = [], [], 0
         for batch in batches:
             ids = batch.column("doc").to_numpy()
             bucket = batch.column("b").to_numpy()
             for b in blocks(batch.column("text"), "space"):
                 least, inside, _ = _anchors(b, window)
-                place = least >> shift
-                known = (table[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1
-                at = np.flatnonzero(inside & (known == 1))
+                at = np.flatnonzero(inside & _listed(least, *repeated))
                 if not len(at):
                     continue
                 hashes = b.windows(window)[0][at]
-                cut = np.append(0, np.flatnonzero((np.diff(at) != 1) | (np.diff(least[at].view(np.int64)) != 0)) + 1)
+                alone = _listed(least[at], *hot)
+                cut = np.append(0, np.flatnonzero((np.diff(at) != 1) | (np.diff(least[at].view(np.int64)) != 0) | alone[1:]) + 1)
                 length = np.diff(np.append(cut, len(at)))
                 steps = (np.arange(len(at)) - np.repeat(cut, length)).astype(np.uint64)
                 whole = np.add.reduceat(mix(hashes + steps * np.uint64(0x9E3779B97F4A7C15)), cut)
                 doc = np.searchsorted(b.bounds, at[cut], "right") - 1
                 start = at[cut] - b.bounds[doc]
-                parts.append((bucket[b.first + doc], least[at[cut]], whole, ids[b.first + doc], start, length, cut + size))
+                deal = np.where(alone[cut], hashes[cut], least[at[cut]])
+                parts.append((bucket[b.first + doc], deal, whole, ids[b.first + doc], start, length, cut + size))
                 flat.append(hashes)
                 size += len(hashes)
             if size >= GATHERED:
@@ -141,7 +153,7 @@ def candidate_windows(docs: DataFrame, shared, bits: int, buckets: int, window:
         if parts:
             yield added_up(parts, flat)
 
-    schema = "b int, anchor bigint, doc bigint, start int, n int, hashes array<bigint>"
+    schema = "b int, deal bigint, doc bigint, start int, n int, hashes array<bigint>"
     return _bucketed(docs, buckets).mapInArrow(run, schema)
 
 
@@ -280,7 +292,9 @@ def _clean(texts: pa.Table, rows: pa.Table, window: int) -> pa.Table:
     )
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, most_bits: int = MOST_BITS, bucket_words: int = BUCKET_WORDS) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, window: int = WINDOW, most_bits: int = MOST_BITS, bucket_words: int = BUCKET_WORDS, hot_places: int = HOT_PLACES
+) -> DataFrame:
     """doc_id, n_words, n_removed, spans (removed words) and kept (the other words, one space between).
 
     A word goes when some window of `window` words over it also starts earlier, in a smaller doc_id or before in the
@@ -296,13 +310,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, most_bits: int = MOST_
     repeated = written(repeated_anchors(docs, window))
     words = (repeated.where("anchor is null").select("words").first() or [0])[0]
     buckets = max(1, -(-words // bucket_words))
-    table, bits = anchor_filter(repeated, most_bits)
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    filters = (anchor_filter(repeated, most_bits), anchor_filter(repeated.where(F.col("n") >= hot_places), most_bits))
+    shared = docs.sparkSession.sparkContext.broadcast(filters)
     # equal windows have equal anchors: stretches are dealt by anchor and taken apart there
-    rows = candidate_windows(docs, shared, bits, buckets, window).repartition("anchor")
-    rows = rows.select("b", "anchor", "doc", "n", "start", F.posexplode("hashes").alias("at", "wh"))
-    rows = rows.select("b", "anchor", "wh", "n", F.struct("doc", (F.col("start") + F.col("at")).alias("start")).alias("place"))
-    same = W.partitionBy("anchor", "wh")
+    rows = candidate_windows(docs, shared, buckets, window).repartition("deal")
+    rows = rows.select("b", "deal", "doc", "n", "start", F.posexplode("hashes").alias("at", "wh"))
+    rows = rows.select("b", "deal", "wh", "n", F.struct("doc", (F.col("start") + F.col("at")).alias("start")).alias("place"))
+    same = W.partitionBy("deal", "wh")
     rows = rows.withColumns({"total": F.sum("n").over(same), "first": F.min("place").over(same)})
     # a row that is the first place and nothing else removes no word
     rows = rows.where((F.col("total") > 1) & ((F.col("n") > 1) | (F.col("place") != F.col("first"))))

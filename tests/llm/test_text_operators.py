@@ -124,8 +124,8 @@ def test_decontaminate_empty(spark, docs):
     assert decontaminate.scan(empty(spark), none).count() == 0
 
 
-@pytest.mark.parametrize("most_bits", [27, 4])
-def test_substrings_equal_brute_force(spark, docs, texts, most_bits):
+@pytest.mark.parametrize(("most_bits", "hot_places"), [(27, 500_000), (4, 500_000), (27, 3), (4, 1)])
+def test_substrings_equal_brute_force(spark, docs, texts, most_bits, hot_places):
     seen, want = set(), {}
     for i, t in sorted(texts):
         w = BLANK.findall(t or "")
@@ -136,7 +136,7 @@ def test_substrings_equal_brute_force(spark, docs, texts, most_bits):
                 gone[k : k + 20] = b"\1" * 20
             seen.add(g)
         want[i] = (len(w), sum(gone), " ".join(x for x, g in zip(w, gone, strict=True) if not g))
-    done = substrings.remove_repeats(docs, most_bits=most_bits, bucket_words=3000).collect()
+    done = substrings.remove_repeats(docs, most_bits=most_bits, bucket_words=3000, hot_places=hot_places).collect()
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in done} == want
     assert all(sum(s.end - s.start for s in r.spans) == r.n_removed for r in done)
     assert sum(x[1] for x in want.values()) > 3000
