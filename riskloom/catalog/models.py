@@ -214,3 +214,44 @@ def _(t):
 def _(t):
     value = km.silhouette(_vectors(t).select("features", "label"), "features", "label")
     return t.spark.createDataFrame([(round(value, 6),)], "silhouette double")
+
+
+_CUTS = (2, 3, 5)
+
+
+def _choice(t, metric):
+    """Scores of label columns with 2, 3 and 5 values, and the count they choose."""
+    df, score = _vectors(t), km.davies_bouldin if metric == "davies_bouldin" else km.silhouette
+    scores = [(k, score(df.select("features", F.pmod("vec_id", F.lit(k)).alias("cut")), "features", "cut")) for k in _CUTS]
+    rows = [(k, round(v, 6), best) for k, v, best in km.best_score(scores, metric)]
+    return t.spark.createDataFrame(rows, "clusters int, score double, best boolean")
+
+
+_CUT_ROWS = f"cut AS (SELECT k, vec_id, vec_id % k AS label, embedding FROM embeddings, (VALUES {', '.join(f'({k})' for k in _CUTS)}) AS v(k))"
+
+
+@query(
+    "km1_choice_of_labels",
+    f"""WITH {_CUT_ROWS}, x AS (SELECT k, vec_id, label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS d FROM cut),
+        c AS (SELECT k, label, d, avg(v) AS m FROM x GROUP BY 1, 2, 3),
+        s AS (SELECT k, label, avg(dist) AS s FROM (SELECT k, vec_id, label, sqrt(sum((v - m) * (v - m))) AS dist FROM x JOIN c USING (k, label, d) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+        e AS (SELECT a.k, a.label AS i, b.label AS j, sqrt(sum((a.m - b.m) * (a.m - b.m))) AS dist FROM c a JOIN c b ON a.k = b.k AND a.d = b.d AND a.label <> b.label GROUP BY 1, 2, 3),
+        r AS (SELECT e.k, i, max((a.s + b.s) / dist) AS worst FROM e JOIN s a ON a.k = e.k AND a.label = i JOIN s b ON b.k = e.k AND b.label = j GROUP BY 1, 2),
+        f AS (SELECT CAST(k AS INT) AS clusters, avg(worst) AS score FROM r GROUP BY 1)
+        SELECT clusters, round(score, 6) AS score, score = min(score) OVER () AS best FROM f""",
+)
+def _(t):
+    return _choice(t, "davies_bouldin")
+
+
+@query(
+    "km2_choice_of_labels",
+    f"""WITH {_CUT_ROWS}, pairs AS (SELECT a.vec_id AS p, b.vec_id AS q, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) ** 2 AS d FROM embeddings a, embeddings b),
+        t AS (SELECT k, p, p % k AS own, q % k AS other, sum(d) AS total, count(*) AS n FROM pairs, (SELECT DISTINCT k FROM cut) GROUP BY 1, 2, 3, 4),
+        o AS (SELECT k, p, total / nullif(n - 1, 0) AS a FROM t WHERE own = other),
+        b AS (SELECT k, p, min(total / n) AS b FROM t WHERE own <> other GROUP BY 1, 2),
+        f AS (SELECT CAST(k AS INT) AS clusters, avg((b - a) / greatest(a, b)) AS score FROM o JOIN b USING (k, p) GROUP BY 1)
+        SELECT clusters, round(score, 6) AS score, score = max(score) OVER () AS best FROM f""",
+)
+def _(t):
+    return _choice(t, "silhouette")

@@ -221,3 +221,25 @@ def _(t):
     weights = model.fitted("weights")
     rows = [(c, float(w), c in model.fitted("kept")) for c, w in weights.items()]
     return t.spark.createDataFrame(rows, "feature string, weight double, kept boolean")
+
+
+#: Penalty of the entry with a closed form: in the range of the covariance of price and quantity.
+_PENALTY = 5000.0
+
+
+@query(
+    "fs4_lasso_closed_form",
+    f"""WITH m AS (
+            SELECT covar_pop(l_quantity::DOUBLE, l_extendedprice::DOUBLE) / stddev_pop(l_quantity::DOUBLE) AS a,
+                covar_pop(l_discount::DOUBLE, l_extendedprice::DOUBLE) / stddev_pop(l_discount::DOUBLE) AS b,
+                corr(l_quantity::DOUBLE, l_discount::DOUBLE) AS r FROM lineitem)
+        SELECT 'no penalty' AS setting, 'l_quantity' AS feature, round((a - r * b) / (1 - r * r), 3) AS weight FROM m
+        UNION ALL SELECT 'no penalty', 'l_discount', round((b - r * a) / (1 - r * r), 3) FROM m
+        UNION ALL SELECT 'penalty', 'l_quantity', round(sign(a) * greatest(abs(a) - {_PENALTY}::DOUBLE, 0), 3) FROM m""",
+)
+def _(t):
+    # two columns without penalty are least squares; one column with a penalty is a soft threshold
+    both = fs.LassoSelector(target="l_extendedprice", columns=["l_quantity", "l_discount"], key="l_orderkey", alphas=[0.0]).fit(t.lineitem)
+    one = fs.LassoSelector(target="l_extendedprice", columns=["l_quantity"], key="l_orderkey", alphas=[_PENALTY]).fit(t.lineitem)
+    rows = [(s, c, round(w, 3)) for s, m in (("no penalty", both), ("penalty", one)) for c, w in m.fitted("weights").items()]
+    return t.spark.createDataFrame(rows, "setting string, feature string, weight double")

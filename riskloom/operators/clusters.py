@@ -61,9 +61,14 @@ def cluster_scores(
             scores.append((k, float(value)))
     finally:
         data.unpersist()
+    return df.sparkSession.createDataFrame(best_score(scores, metric), "clusters int, score double, best boolean")
+
+
+def best_score(scores: list[tuple[int, float]], metric: str) -> list[tuple[int, float, bool]]:
+    """(clusters, score, best): the lowest Davies-Bouldin or the highest silhouette; of equals the first."""
     pick = min if metric == "davies_bouldin" else max
     best = pick(scores, key=lambda s: s[1])[0]
-    return df.sparkSession.createDataFrame([(k, v, k == best) for k, v in scores], "clusters int, score double, best boolean")
+    return [(k, v, k == best) for k, v in scores]
 
 
 def find_optimal_clusters_db(df: DataFrame, features: str, min_clusters: int = 2, max_clusters: int = 10, seed: int = 42) -> int:

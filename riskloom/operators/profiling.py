@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
-from itertools import combinations
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -110,26 +111,41 @@ def crosstab(
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """(row_feature, column_feature, correlation) over pairwise complete rows, in one job."""
+    """(row_feature, column_feature, correlation) over pairwise complete rows; NaN is missing.
+
+    One pass takes the means, one the sums of products around them: a task keeps six columns x columns
+    matrices, so the plan does not grow with the pairs. NULL where fewer than two rows hold both
+    columns or one of them is constant there.
+    """
     columns = sorted(columns or numeric_columns(df))
-    numbers = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    pairs = list(combinations(columns, 2))
-    row = numbers.agg(
-        *[F.corr(a, b).alias(f"__p{i}") for i, (a, b) in enumerate(pairs)],
-        *[F.corr(c, c).alias(f"__c{i}") for i, c in enumerate(columns)],
-    )
-    cells = [(c, c, F.col(f"__c{i}")) for i, c in enumerate(columns)]
-    for i, (a, b) in enumerate(pairs):
-        cells += [(a, b, F.col(f"__p{i}")), (b, a, F.col(f"__p{i}"))]
-    return row.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(F.lit(a).alias("row_feature"), F.lit(b).alias("column_feature"), v.alias("correlation"))
-                    for a, b, v in cells
-                ]
-            )
-        )
+    d = len(columns)
+    numbers = df.select(*[_number(c).alias(f"c{i}") for i, c in enumerate(columns)])
+    means = numbers.agg(*[F.avg(f"c{i}") for i in range(d)]).first()
+    centre = np.array([m if m is not None and math.isfinite(m) else 0.0 for m in means])
+    at = {"i": np.repeat(np.arange(d), d), "j": np.tile(np.arange(d), d)}
+
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((4, d, d))
+        for pdf in batches:
+            x = pdf.to_numpy(float) - centre
+            known = (~np.isnan(x)).astype(float)
+            x = np.where(known > 0, x, 0.0)
+            total += np.stack([known.T @ known, x.T @ known, (x * x).T @ known, x.T @ x])
+        n, s, squares, xy = total
+        cells = {"n": n, "sx": s, "sy": s.T, "sxx": squares, "syy": squares.T, "sxy": xy}
+        yield pd.DataFrame(at | {name: m.ravel() for name, m in cells.items()})
+
+    names = ("n", "sx", "sy", "sxx", "syy", "sxy")
+    parts = numbers.mapInPandas(products, "i int, j int, " + ", ".join(f"{c} double" for c in names))
+    n, sx, sy, sxx, syy, sxy = map(F.col, names)
+    vx, vy = n * sxx - sx * sx, n * syy - sy * sy
+    # what rounding leaves of a constant column is no variance
+    varies = (n > 1) & (vx > n * sxx * 1e-12) & (vy > n * syy * 1e-12)
+    named = F.array(*map(F.lit, columns))
+    return parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in names]).select(
+        F.element_at(named, F.col("i") + 1).alias("row_feature"),
+        F.element_at(named, F.col("j") + 1).alias("column_feature"),
+        F.when(varies, (n * sxy - sx * sy) / (F.sqrt(vx) * F.sqrt(vy))).alias("correlation"),
     )
 
 

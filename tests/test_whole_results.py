@@ -3,6 +3,8 @@
 import math
 import os
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,3 +72,24 @@ def test_stream_of_a_folder_and_of_a_file(spark, tmp_path):
     for n, path in enumerate((tmp_path / "folder.parquet", tmp_path / "one" / file)):
         stream = runs.table_stream(spark, str(path), spark.range(1).schema)
         assert runs.append_to(stream, str(tmp_path / f"out{n}"), str(tmp_path / f"ck{n}")).count() == 10
+
+
+def test_correlations_of_pairwise_complete_rows(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 4)) + 1e6
+    x[:, 1] += 0.7 * (x[:, 0] - 1e6)
+    x[:, 3] = 0.1
+    x[rng.random(x.shape) < 0.2] = np.nan
+    x[5] = np.nan
+    pdf = pd.DataFrame(x, columns=list("abcd"))
+    cells = [[None] * 4 if i == 5 else row for i, row in enumerate(x.tolist())]
+    df = spark.createDataFrame([tuple(row) for row in cells], "a double, b double, c double, d double")
+    got = {(r.row_feature, r.column_feature): r.correlation for r in profiling.correlation_matrix(df).collect()}
+    want = pdf.corr()
+    assert len(got) == 16
+    for (a, b), value in got.items():
+        if "d" in (a, b):
+            assert value is None
+        else:
+            assert value == pytest.approx(want.loc[a, b], abs=1e-9)
+    assert all(r.correlation is None for r in profiling.correlation_matrix(df.limit(0)).collect())
