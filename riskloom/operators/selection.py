@@ -171,7 +171,7 @@ class LassoSelector(FitStage):
     """
 
     defaults = {
-        "target": "TARGET", "columns": None, "cv": 5, "alphas": None, "n_alphas": 50, "eps": 1e-3,
+        "target": "TARGET", "columns": None, "cv": 5, "alphas": None, "n_alphas": 100, "eps": 1e-3,
         "max_iter": 20_000, "seed": 42, "key": "record_id", "hash_method": "xxhash",
     }
 
