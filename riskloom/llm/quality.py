@@ -95,10 +95,11 @@ def statistics(b: Block) -> np.ndarray:
     line_kinds, _ = _distinct(line_doc, line_hash, n)
     longest = np.zeros(n)
     np.maximum.at(longest, line_doc, line_words)
-    # words between stops
+    # words between stops, the first of a text counted from its own first word
     ends = np.flatnonzero(stop)
     gap_doc = doc[ends]
-    gap = np.diff(np.concatenate([[-1], ends])).astype(float)
+    before = np.maximum(np.concatenate([[-1], ends[:-1]]) if len(ends) else ends, b.bounds[gap_doc] - 1)
+    gap = (ends - before).astype(float)
     gaps = np.maximum(np.bincount(gap_doc, minlength=n), 1)
     gap_mean = np.bincount(gap_doc, weights=np.log1p(gap), minlength=n) / gaps
     gap_var = np.bincount(gap_doc, weights=np.log1p(gap) ** 2, minlength=n) / gaps - gap_mean**2

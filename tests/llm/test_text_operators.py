@@ -245,6 +245,25 @@ def test_statistics_do_not_depend_on_batches(texts):
     assert np.allclose(whole, parts) and np.isfinite(whole).all()
 
 
+def test_statistics_of_a_text_alone_and_behind_others():
+    import numpy as np
+    import pyarrow as pa
+
+    from riskloom.llm.words import blocks
+
+    def measure(column):
+        return np.concatenate([quality.statistics(b) for b in blocks(pa.array(column, pa.string()), "space")])
+
+    text, other = "One two. Three four five. Six seven eight nine", "Ten. Eleven twelve!"
+    junk = "no stop here " * 500
+    alone = measure([text])[0]
+    # gaps of two and three words, by hand
+    assert np.isclose(alone[-1], np.std(np.log1p([2, 3])))
+    for front in ([junk], [junk, "", None], [other], [text], [other, junk, junk]):
+        assert np.array_equal(measure([*front, text, junk])[len(front)], alone)
+    assert np.array_equal(measure([junk, other])[1], measure([other])[0]) and measure([junk])[0][-1] == 0
+
+
 def test_words_equal_patterns(texts):
     import pyarrow as pa
 
