@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,13 +21,11 @@ _SLACK = 1e-9
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v): distinct rows with an id and a finite, non-zero vector without nulls, of the commonest length."""
+    """(vec_id, v): distinct rows with an id and a finite, non-zero vector without nulls, of any length."""
     v = F.col("embedding")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.where(F.col("vec_id").isNotNull() & v.isNotNull() & F.coalesce(fine, F.lit(False)))
-    top = rows.groupBy(F.size(v).alias("d")).count().orderBy(F.desc("count"), "d").limit(1).select("d")
-    length = (top.first() or [0])[0]
-    return rows.where(F.size(v) == length).select("vec_id", v.alias("v")).distinct()
+    return rows.select("vec_id", v.alias("v")).distinct()
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -41,7 +41,10 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def principal_axes(classes: DataFrame, leading: int = LEADING) -> np.ndarray:
-    """The leading eigenvectors of the unit vectors' covariance; only sums of products reach the driver."""
+    """The leading eigenvectors of the unit vectors' covariance; only sums of products reach the driver.
+
+    All vectors of `classes` have one length.
+    """
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -64,37 +67,55 @@ def principal_axes(classes: DataFrame, leading: int = LEADING) -> np.ndarray:
     return np.ascontiguousarray(vectors[:, ::-1][:, :leading])
 
 
-def sequence_blocks(classes: DataFrame, axes: np.ndarray, epsilon: float, block: int = BLOCK) -> DataFrame:
+def axes_by_length(classes: DataFrame, lengths: dict[int, int], leading: int = LEADING, block: int = BLOCK) -> dict[int, np.ndarray]:
+    """Orthonormal axes per vector length: principal ones where a length fills more than a block.
+
+    Distances shrink in any projection, so shorter lengths, one block each, take their first coordinates.
+    """
+    return {d: principal_axes(classes.where(F.size("v") == d), leading) if n > block else np.eye(d)[:, :leading] for d, n in lengths.items()}
+
+
+def sequence_blocks(classes: DataFrame, axes: dict[int, np.ndarray], rows: int, epsilon: float, block: int = BLOCK) -> DataFrame:
     """Blocks of `block` vectors that follow each other in grid order, with the box of their leading coordinates.
 
-    Grid order compares the cells of side `epsilon` dimension by dimension. Ties go by the first
-    coordinate and the id, so a cell with a third of all vectors is cut like any other stretch.
+    Grid order compares the length, then the cells of side `epsilon` dimension by dimension. Ties go by the first
+    coordinate and the id, so a cell with a third of all vectors is cut like any other stretch. A block
+    holds vectors of one length `d`.
     """
     kind = np.float32 if isinstance(classes.schema["v"].dataType.elementType, T.FloatType) else np.float64
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = _unit(_matrix(batch.column("v"))) @ axes if len(batch) else np.zeros((0, axes.shape[1]))
-            cells = np.floor(p / epsilon).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("rep"), batch.column("n"), batch.column("v"), pa.array(list(p), pa.list_(pa.float64())), pa.array(list(cells), pa.list_(pa.int32()))],
-                ["rep", "n", "v", "p", "cell"],
-            )
-
-    schema = f"rep bigint, n bigint, v {classes.schema['v'].dataType.simpleString()}, p array<double>, cell array<int>"
+            sizes = batch.column("v").value_lengths().to_numpy(zero_copy_only=False)
+            for d in np.unique(sizes).tolist():
+                part = batch.take(pa.array(np.flatnonzero(sizes == d)))
+                p = _unit(_matrix(part.column("v"))) @ axes[d]
+                cells = np.floor(p / epsilon).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("rep"), part.column("n"), part.column("v"), pa.array(np.full(len(part), d, np.int32)),
+                        pa.array(list(p), pa.list_(pa.float64())), pa.array(list(cells), pa.list_(pa.int32())),
+                    ],
+                    ["rep", "n", "v", "d", "p", "cell"],
+                )
+
+    schema = f"rep bigint, n bigint, v {classes.schema['v'].dataType.simpleString()}, d int, p array<double>, cell array<int>"
     placed = classes.mapInArrow(place, schema)
-    parts = max(1, classes.count() // (4 * block))
-    ordered = placed.withColumn("first", F.element_at("p", 1)).repartitionByRange(parts, "cell", "first", "rep").sortWithinPartitions("cell", "first", "rep")
+    parts = max(1, rows // (4 * block))
+    order = ["d", "cell", "first", "rep"]
+    ordered = placed.withColumn("first", F.element_at("p", 1)).repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        # numbered by partition: rows of two lengths, or two vectors, may share an id
+        numbers = itertools.count(TaskContext.get().partitionId() << 32)
 
         def pack(t: pa.Table) -> pa.RecordBatch:
             p, cells = _matrix(t.column("p").combine_chunks()), _matrix(t.column("cell").combine_chunks())
             corner = np.unique(cells[:, :3], axis=0)
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array([t.column("rep")[0].as_py()], pa.int64()),
+                    pa.array([next(numbers)], pa.int64()), pa.array([t.column("d")[0].as_py()], pa.int32()),
                     pa.array([p.min(axis=0)]), pa.array([p.max(axis=0)]),
                     pa.array([[row.tolist() for row in corner]], pa.list_(pa.list_(pa.int32()))),
                     pa.array([t.column("rep").to_numpy().astype(np.int64).tobytes()], pa.binary()),
@@ -102,34 +123,41 @@ def sequence_blocks(classes: DataFrame, axes: np.ndarray, epsilon: float, block:
                     pa.array([np.ascontiguousarray(p).tobytes()], pa.binary()),
                     pa.array([_matrix(t.column("v").combine_chunks()).astype(kind).tobytes()], pa.binary()),
                 ],
-                ["block", "low", "high", "corners", "reps", "counts", "points", "vectors"],
+                ["block", "d", "low", "high", "corners", "reps", "counts", "points", "vectors"],
             )
 
         for batch in batches:
-            held.append(batch)
-            while sum(map(len, held)) >= block:
-                t = pa.Table.from_batches(held)
-                yield pack(t.slice(0, block))
-                held = t.slice(block).to_batches()
-        if sum(map(len, held)):
+            lengths = batch.column("d").to_numpy()
+            for part in np.split(np.arange(len(batch)), np.flatnonzero(np.diff(lengths)) + 1):
+                if not len(part):
+                    continue
+                if held and held[0].column("d")[0].as_py() != lengths[part[0]]:
+                    yield pack(pa.Table.from_batches(held))
+                    held = []
+                held.append(batch.slice(part[0], len(part)))
+                while sum(map(len, held)) >= block:
+                    t = pa.Table.from_batches(held)
+                    yield pack(t.slice(0, block))
+                    held = t.slice(block).to_batches()
+        if held:
             yield pack(pa.Table.from_batches(held))
 
-    out = "block bigint, low array<double>, high array<double>, corners array<array<int>>, reps binary, counts binary, points binary, vectors binary"
+    out = "block bigint, d int, low array<double>, high array<double>, corners array<array<int>>, reps binary, counts binary, points binary, vectors binary"
     return ordered.drop("first").mapInArrow(cut, out)
 
 
 def near_blocks(grid: DataFrame, epsilon: float) -> DataFrame:
-    """(i, j), i <= j: blocks that share or neighbour a cell of the first three dimensions and whose boxes are near.
+    """(i, j), i <= j: blocks of one length that share or neighbour a cell of the first three dimensions and whose boxes are near.
 
     Blocks meet by equality on the cell, never all with all; boxes further apart than `epsilon` are left out.
     """
-    boxes = grid.select("block", "low", "high", F.explode("corners").alias("c"))
+    boxes = grid.select("block", "d", "low", "high", F.explode("corners").alias("c"))
     steps = F.array(*[F.array(*map(F.lit, (x, y, z))) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1)])
     around = boxes.select(
-        F.col("block").alias("i"), F.col("low").alias("a"), F.col("high").alias("b"),
+        F.col("block").alias("i"), "d", F.col("low").alias("a"), F.col("high").alias("b"),
         F.explode(F.transform(steps, lambda s: F.zip_with("c", F.slice(s, 1, F.size("c")), lambda x, y: x + y))).alias("c"),
     )
-    met = around.distinct().join(boxes.select(F.col("block").alias("j"), F.col("low"), F.col("high"), "c"), "c").where("i <= j")
+    met = around.distinct().join(boxes.select(F.col("block").alias("j"), "d", F.col("low"), F.col("high"), "c"), ["d", "c"]).where("i <= j")
     gaps = F.zip_with(
         F.zip_with("a", "high", lambda x, y: x - y), F.zip_with("low", "b", lambda x, y: x - y), lambda x, y: F.pow(F.greatest(x, y, F.lit(0.0)), 2)
     )
@@ -193,15 +221,15 @@ def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def join_blocks(grid: DataFrame, pairs: DataFrame, width: int, epsilon: float, least: float) -> DataFrame:
-    """Rows (a, b, n): with b, edges of a spanning forest per pair of blocks; without, n links of a."""
-    left = grid.select(F.col("block").alias("i"), *[F.col(c).alias(f"{c}_i") for c in ("reps", "counts", "points", "vectors")])
+def join_blocks(grid: DataFrame, pairs: DataFrame, epsilon: float, least: float) -> DataFrame:
+    """Rows (d, a, b, n): with b, edges of a spanning forest per pair of blocks; without, n links of a among the vectors of length d."""
+    left = grid.select(F.col("block").alias("i"), "d", *[F.col(c).alias(f"{c}_i") for c in ("reps", "counts", "points", "vectors")])
     right = grid.select(F.col("block").alias("j"), *[F.col(c).alias(f"{c}_j") for c in ("reps", "counts", "points", "vectors")])
     rows = pairs.join(left, "i").join(right, "j")
 
     def side(batch: pa.RecordBatch, k: int, s: str) -> tuple:
         reps = np.frombuffer(batch.column(f"reps_{s}")[k].as_py(), np.int64)
-        raw = batch.column(f"vectors_{s}")[k].as_py()
+        raw, width = batch.column(f"vectors_{s}")[k].as_py(), batch.column("d")[k].as_py()
         dtype = np.float32 if len(raw) == 4 * width * len(reps) else np.float64
         unit = _unit(np.frombuffer(raw, dtype).reshape(len(reps), width))
         points = np.frombuffer(batch.column(f"points_{s}")[k].as_py(), np.float64).reshape(len(reps), -1)
@@ -224,9 +252,10 @@ def join_blocks(grid: DataFrame, pairs: DataFrame, width: int, epsilon: float, l
                 first = [*(e[0] for e in edges), *reps_a[some_a].tolist(), *reps_b[some_b].tolist()]
                 second = [*(e[1] for e in edges), *[None] * (len(some_a) + len(some_b))]
                 n = [*[None] * len(edges), *sums_a[some_a].astype(int).tolist(), *sums_b[some_b].astype(int).tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (first, second, n)], ["a", "b", "n"])
+                width = pa.array(np.full(len(n), batch.column("d")[k].as_py(), np.int32))
+                yield pa.RecordBatch.from_arrays([width, *(pa.array(c, pa.int64()) for c in (first, second, n))], ["d", "a", "b", "n"])
 
-    return rows.mapInArrow(run, "a bigint, b bigint, n bigint")
+    return rows.mapInArrow(run, "d int, a bigint, b bigint, n bigint")
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.9, leading: int = LEADING, block: int = BLOCK) -> DataFrame:
@@ -236,26 +265,25 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, leading: int = LEADI
     are at most sqrt(2 - 2 least) apart, and not more in any projection, so pruning by leading principal
     coordinates loses nothing. Equal vectors are one class with a count.
 
-    Null, zero and non-finite vectors, vectors with null components, vectors of another length than the commonest
+    Vectors of each length are joined among themselves. Null, zero and non-finite vectors, vectors with null components
     and rows without vec_id link with nothing. A repeated row counts once and is returned as often as it comes.
     Other columns are ignored; an empty table gives no rows.
     """
     rows = vectors.select("vec_id", "embedding")
     fine = usable(rows)
     classes = written(fine.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")).select("rep", "n", "v"))
-    head = classes.select(F.size("v")).first()
-    width = head[0] if head else 0
+    lengths = {r.d: r["count"] for r in classes.groupBy(F.size("v").alias("d")).count().collect()}
     epsilon = float(np.sqrt(2 - 2 * least))
-    if width:
-        axes = principal_axes(classes, leading)
-        grid = written(sequence_blocks(classes, axes, epsilon, block))
+    if lengths:
+        axes = axes_by_length(classes, lengths, leading, block)
+        grid = written(sequence_blocks(classes, axes, sum(lengths.values()), epsilon, block))
         pairs = written(near_blocks(grid, epsilon))
-        found = written(join_blocks(grid, pairs, width, epsilon, least))
+        found = written(join_blocks(grid, pairs, epsilon, least))
     else:
-        found = rows.sparkSession.createDataFrame([], "a bigint, b bigint, n bigint")
+        found = rows.sparkSession.createDataFrame([], "d int, a bigint, b bigint, n bigint")
     roots = components(found.where("b is not null").select("a", "b"))
-    degrees = found.where("b is null").groupBy("a").agg(F.sum("n").alias("others"))
-    known = classes.join(degrees, F.col("rep") == F.col("a"), "left").join(roots, F.col("rep") == F.col("node"), "left")
+    degrees = found.where("b is null").groupBy("d", "a").agg(F.sum("n").alias("others"))
+    known = classes.join(degrees, (F.col("rep") == F.col("a")) & (F.size("v") == F.col("d")), "left").join(roots, F.col("rep") == F.col("node"), "left")
     known = known.select("v", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("root", "rep").alias("low"))
     joined = rows.join(known, (rows["embedding"] == known["v"]) & rows["vec_id"].isNotNull(), "left")
     return joined.select(

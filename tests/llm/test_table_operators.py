@@ -178,6 +178,36 @@ def test_grid_join_equals_brute_force(spark):
     assert gridjoin.near_duplicates(frame.where("vec_id between 900 and 904")).count() == 5
 
 
+def test_grid_join_of_several_lengths(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for d, n in ((6, 150), (9, 120), (2, 40), (1, 3)):
+        centers = rng.normal(size=(8, d))
+        x = (centers[rng.integers(0, 8, n)] + 0.2 * rng.normal(size=(n, d))).astype(np.float32)
+        x[5 : n // 4] = x[0]
+        rows += [v.tolist() for v in x]
+    ids = rng.permutation(len(rows)).tolist()
+    frame = spark.createDataFrame(list(zip(ids, rows, strict=True)), "vec_id bigint, embedding array<float>").repartition(3)
+    units = {i: np.array(v) / np.linalg.norm(v) for i, v in zip(ids, rows, strict=True)}
+    near = {i: [j for j in units if len(units[j]) == len(units[i]) and units[i] @ units[j] >= 0.9] for i in units}
+    low = {i: i for i in units}
+    while True:
+        new = {i: min(low[j] for j in near[i]) for i in units}
+        if new == low:
+            break
+        low = new
+    want = {i: (len(near[i]) - 1, low[i], low[i] == i) for i in units}
+    # the second commonest length has links of its own
+    assert sum(want[i][0] > 0 for i in units if len(units[i]) == 9) > 100
+    for block in (2048, 32):
+        got = gridjoin.near_duplicates(frame, block=block).collect()
+        assert len(got) == len(rows) and {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got} == want
+    # one id with vectors of two lengths is one node; each row counts the links of its own vector
+    two = [(1, [1.0, 0.0]), (1, [1.0, 0.0, 0.0]), (2, [1.0, 0.1]), (3, [1.0, 0.1, 0.0]), (4, [1.0, 0.0, 0.1])]
+    got = gridjoin.near_duplicates(spark.createDataFrame(two, "vec_id bigint, embedding array<float>")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(1, 1, 1), (1, 2, 1), (2, 1, 1), (3, 2, 1), (4, 2, 1)]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 120, 2)] + [(i + 1, i + 2) for i in range(0, 60, 2)] + [(500, 500), (9, 8), (9, 8), (700, 3)]
     up = {}
