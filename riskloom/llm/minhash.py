@@ -139,7 +139,7 @@ def _links(table: pa.Table, match: int) -> pa.Table:
 
 
 def links(docs: DataFrame, classes: DataFrame, match: int = MATCH, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(a, b): links between representatives that connect what is linked, each confirmed on the full sets.
+    """(a, b): links between classes (`rep`, their numbers) that connect what is linked, each confirmed on the full sets.
 
     Sets of members are built anew from their texts, which are shuffled once. A large family is dealt to
     blocks by hash; every pair of blocks is a task of its own with bounded memory. Links inside a group are not
@@ -150,7 +150,7 @@ def links(docs: DataFrame, classes: DataFrame, match: int = MATCH, block_rows: i
     parts = F.greatest(F.ceil(F.col("rows") / block_rows), F.ceil(F.col("total") / BLOCK_SHINGLES), F.lit(1)).cast("int")
     places = members.join(sizes.select("leader", parts.alias("parts")), "leader")
     places = places.groupBy("rep").agg(F.collect_list(F.struct("leader", "parts")).alias("places"))
-    places = written(places.join(classes.select("rep", "digest"), "rep"))
+    places = written(places.join(classes.select("rep", "doc", "digest"), "rep"))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fields = [("leader", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("side", pa.int32()), ("rep", pa.int64()), ("signature", pa.binary()), ("shingles", pa.binary())]
@@ -177,7 +177,7 @@ def links(docs: DataFrame, classes: DataFrame, match: int = MATCH, block_rows: i
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)], [n for n, _ in fields])
 
     # merged at every size: members grow with the documents, so they are never broadcast
-    texts = docs.select("doc_id", "text").join(places.hint("merge"), docs["doc_id"] == places["rep"]).select("rep", "digest", "places", "text")
+    texts = docs.select("doc_id", "text").join(places.hint("merge"), docs["doc_id"] == places["doc"]).select("rep", "digest", "places", "text")
     dealt = texts.mapInArrow(deal, "leader bigint, i int, j int, side int, rep bigint, signature binary, shingles binary")
     return dealt.groupBy("leader", "i", "j").applyInArrow(lambda t: _links(t, match), "a bigint, b bigint")
 
@@ -190,15 +190,29 @@ def near_duplicates(docs: DataFrame, match: int = MATCH, block_rows: int = BLOCK
     similarity of 0.75 or more; component_id is the smallest doc_id reachable.
 
     Null and blank texts have an empty set and link with nothing. A row without doc_id has a null component
-    and is kept. Rows repeating a doc_id are one node of the graph, each judged by its own text. Other
+    and is kept. Rows repeating a doc_id are one node of the graph, each judged by its own text: what any of them
+    links with is in one component. Other
     columns are ignored; an empty table gives no rows.
     """
     signed = written(sign(docs))
     full = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
-    classes = written(classes)
-    roots = components(links(docs, classes, match, block_rows))
-    named = classes.select("digest", "rep").join(roots, F.col("rep") == F.col("node"), "left")
+    classes = full.groupBy("digest").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
+    # numbered, as classes of different texts may have the same smallest doc_id
+    classes = written(classes.withColumn("rep", F.monotonically_increasing_id()))
+    key = F.xxhash64("digest")
+    repeated = full.groupBy("doc_id").agg(F.count("*").alias("rows"), F.min(key).alias("low"), F.max(key).alias("high")).where("rows > 1")
+    repeated = written(repeated)
+    texts = docs.select("doc_id", "text")
+    if repeated.head(1):
+        # repeats of a row would all be dealt to the same groups
+        texts = texts.distinct()
+    found = links(texts, classes, match, block_rows)
+    number = classes.select("rep", "doc")
+    found = found.join(number.select(F.col("rep").alias("a"), F.col("doc").alias("x")), "a").join(number.select(F.col("rep").alias("b"), F.col("doc").alias("y")), "b")
+    several = full.join(repeated.where("low <> high").select("doc_id"), "doc_id").select("doc_id", "digest").distinct()
+    several = several.join(classes.select("digest", "doc"), "digest").select(F.col("doc_id").alias("a"), F.col("doc").alias("b"))
+    roots = components(found.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(several))
+    named = classes.select("digest", F.col("doc").alias("rep")).join(roots, F.col("rep") == F.col("node"), "left")
     named = named.select("digest", F.coalesce("root", "rep").alias("low"))
     low = F.when(F.col("doc_id").isNotNull(), F.coalesce("low", "doc_id"))
     joined = signed.select("doc_id", "n_shingles", "digest").join(named, "digest", "left").withColumn("component_id", low)

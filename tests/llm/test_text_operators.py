@@ -87,6 +87,19 @@ def test_minhash_odd_rows(spark):
     assert minhash.drop_near_duplicates(odd_rows(spark)).count() == 4
 
 
+def test_minhash_repeated_ids(spark):
+    first, second, third = (" ".join(f"{c}{i}" for i in range(60)) for c in "abc")
+    near = [t + " end" for t in (first, second, third)]
+    # id 1 holds two texts, each with a near copy; id 9 holds two texts and is the smallest of neither class
+    rows = [(1, first), (1, second), (5, near[0]), (6, near[1]), (7, third), (9, third), (8, "one of four words"), (9, "one of four words"), (10, near[2])]
+    want = {1: 1, 5: 1, 6: 1, 7: 7, 8: 7, 9: 7, 10: 7}
+    for order in (rows, rows[::-1], rows + [(1, first)] * 40):
+        docs = spark.createDataFrame(order, "doc_id bigint, text string").repartition(3)
+        got = minhash.near_duplicates(docs).collect()
+        assert len(got) == len(order) and {(r.doc_id, r.component_id) for r in got} == set(want.items())
+        assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+
+
 @pytest.mark.parametrize("most_windows", [500_000, 7])
 def test_decontaminate_equals_brute_force(spark, docs, texts, most_windows):
     source = dict(texts)
