@@ -199,3 +199,97 @@ URLS = """
            template, round(score, 6) AS score
     FROM shaped JOIN scored USING (host, shape)
 """
+
+#: Table `crc_table` (v): the 256 steps of the CRC-32 with the reflected polynomial 0xEDB88320, a fixed value.
+_CRC_TABLE = """
+    crc_bits(i, k, c) AS (
+      SELECT i, 0, CAST(i AS BIGINT) FROM range(256) t(i)
+      UNION ALL
+      SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END FROM crc_bits WHERE k < 8
+    ), crc_table AS (SELECT list(c ORDER BY i) AS v FROM crc_bits WHERE k = 8)"""
+
+
+def _crc32(text: str) -> str:
+    """The unsigned CRC-32 of a text's UTF-8 bytes; `crc_table` must be joined."""
+    octets = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: CAST('0x' || x AS BIGINT))"
+    return f"xor(4294967295, list_reduce({octets}, lambda a, b: xor(a >> 8, crc_table.v[(xor(a, b) & 255) + 1]), CAST(4294967295 AS BIGINT)))"
+
+
+NEGATIVES = """
+    WITH told AS (
+      SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+             list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(256 * x)) AS v
+      FROM embeddings
+      WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), pairs AS (
+      SELECT a.vec_id AS anchor_id, a.label AS anchor_label, b.vec_id AS id, b.label AS label,
+             CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+      FROM told a JOIN told b ON a.vec_id % 100 = 0 AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id
+    ), positives AS (
+      SELECT anchor_id, id AS positive_id, score AS positive_score FROM pairs WHERE label = anchor_label
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+    ), ranked AS (
+      SELECT anchor_id, positive_id, positive_score, p.id AS negative_id, p.score AS negative_score,
+             row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY p.score DESC, p.id) AS rank
+      FROM positives JOIN pairs p USING (anchor_id)
+      WHERE p.label <> p.anchor_label AND 30 * positive_score <= 100 * p.score AND 100 * p.score <= 90 * positive_score
+    )
+    SELECT anchor_id, positive_id, CAST(rank AS INT) AS rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 10
+"""
+
+SHARDS = f"""
+    WITH RECURSIVE {_CRC_TABLE}, rows AS (
+      SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) + 16 AS BIGINT) AS size,
+             {_crc32("coalesce(text, '')")} AS text_crc32
+      FROM documents, crc_table
+    ), walk(doc_id, number, before, place, next) AS (
+      SELECT DISTINCT doc_id, CAST(coalesce(doc_id, 0) AS HUGEINT) + CASE WHEN doc_id < 0 THEN 18446744073709551616 ELSE 0 END,
+             CAST(-1 AS BIGINT), CAST(-1 AS BIGINT), CAST(0 AS BIGINT) FROM documents
+      UNION ALL
+      SELECT doc_id, number, place, next,
+             CAST(floor((next + 1) * (CAST(2147483648 AS DOUBLE) / CAST(number // 8589934592 + 1 AS DOUBLE))) AS BIGINT)
+      FROM (SELECT doc_id, (number * 2862933555777941757 + 1) % 18446744073709551616 AS number, place, next FROM walk WHERE next < 41)
+    ), placed AS (
+      SELECT doc_id, CAST(CASE WHEN place = 40 THEN before ELSE place END AS INT) AS shard, CAST(place AS INT) AS grown_shard FROM walk WHERE next >= 41
+    )
+    SELECT r.doc_id, size, text_crc32, 'key' AS law, shard,
+           row_number() OVER (PARTITION BY shard ORDER BY r.doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, grown_shard
+    FROM rows r JOIN placed p ON r.doc_id IS NOT DISTINCT FROM p.doc_id
+"""
+
+SPELLING = f"""
+    WITH RECURSIVE {_CRC_TABLE}, runs AS (
+      SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all({_LOWER}, '[A-Za-zÀ-ÿ]+')) AS run FROM documents
+    ), told AS (
+      SELECT run, n, {_crc32("id || ':' || run")} AS h
+      FROM (SELECT id, run, count(*) AS n FROM runs GROUP BY id, run), crc_table
+    ), found AS (
+      SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word, n
+      FROM told
+    ), words AS (
+      SELECT word, CAST(sum(n) AS BIGINT) AS n FROM found WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2
+    ), cuts AS (
+      SELECT word, n, k, substr(word, 1, k - 1) || substr(word, k + 1) AS rest FROM (SELECT *, unnest(range(1, length(word) + 1)) AS k FROM words)
+    ), longer AS (
+      SELECT DISTINCT w.word AS a, c.word AS b FROM words w JOIN cuts c ON c.rest = w.word
+    ), near AS (
+      SELECT a.word, b.word AS other FROM cuts a JOIN cuts b ON a.k = b.k AND a.rest = b.rest AND length(a.word) = length(b.word) AND a.word <> b.word
+      UNION ALL SELECT a, b FROM longer
+      UNION ALL SELECT b, a FROM longer
+    ), best AS (
+      SELECT e.word, count(*) OVER (PARTITION BY e.word) AS n_near, e.other, o.n AS other_n,
+             row_number() OVER (PARTITION BY e.word ORDER BY o.n DESC, e.other) AS r
+      FROM near e JOIN words o ON o.word = e.other
+    ), formed AS (
+      SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 10 * w.n THEN other END AS form, CASE WHEN other_n >= 10 * w.n THEN other_n END AS form_n
+      FROM words w LEFT JOIN best b ON b.word = w.word AND r = 1
+    ), follow(word, last, step) AS (
+      SELECT word, word, 0 FROM formed
+      UNION ALL
+      SELECT f.word, g.form, step + 1 FROM follow f JOIN formed g ON g.word = f.last WHERE g.form IS NOT NULL
+    ), ends AS (
+      SELECT word, arg_max(last, step) AS root FROM follow GROUP BY word
+    )
+    SELECT word, form, root, n, n_near, form_n FROM formed JOIN ends USING (word)
+"""

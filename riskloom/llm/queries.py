@@ -151,3 +151,26 @@ def op9_substrings(spark: SparkSession, folder: str) -> DataFrame:
 
     done = remove_repeats(table(spark, folder, "documents"))
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op11_bond_negatives", oracles.NEGATIVES)
+def op11_bond_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    from riskloom.llm.bond import hard_negatives
+
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding", moved.alias("label"))
+    return hard_negatives(vectors, lambda key: key % 100 == 0)
+
+
+@query("op12_jump_shards", oracles.SHARDS)
+def op12_jump_shards(spark: SparkSession, folder: str) -> DataFrame:
+    from riskloom.llm.shards import shard
+
+    return shard(table(spark, folder, "documents").select("doc_id", "text"), 40)
+
+
+@query("op13_spelling_trie", oracles.SPELLING)
+def op13_spelling_trie(spark: SparkSession, folder: str) -> DataFrame:
+    from riskloom.llm.variants import group_variants, vocabulary
+
+    return group_variants(vocabulary(table(spark, folder, "documents").select("doc_id", "text"), noisy=True))
