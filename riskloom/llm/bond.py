@@ -114,14 +114,16 @@ class _Block:
         self.low, self.high = self.columns.min(axis=1, initial=np.inf), self.columns.max(axis=1, initial=-np.inf)
 
     def whole_scores(self, anchor: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        """Scores as Python's whole numbers, for components so large that doubles would round their sums."""
+        """Scores as Python's whole numbers, for components so large that doubles would round their sums; none beyond a long."""
         a = [int(x) for x in anchor]
-        return np.array([sum(x * int(y) for x, y in zip(a, self.columns[:, r], strict=True)) for r in rows], dtype=object)
+        sums = (sum(x * int(y) for x, y in zip(a, self.columns[:, r], strict=True)) for r in rows)
+        return np.array([max(-_LONG - 1, min(_LONG, s)) for s in sums], dtype=object)
 
 
 def _scan(block: _Block, anchor: np.ndarray, rows: np.ndarray, alive) -> tuple[np.ndarray, np.ndarray]:
     """(rows, scores) of those that `alive(low, high)` lets through to the end, given their bounds after each stride."""
-    reach = np.abs(anchor) @ np.maximum(np.abs(block.low), np.abs(block.high)) if block.d else 0.0
+    with np.errstate(over="ignore"):
+        reach = np.abs(anchor) @ np.maximum(np.abs(block.low), np.abs(block.high)) if block.d else 0.0
     if not reach < EXACT:
         scores = block.whole_scores(anchor, rows)
         kept = alive(scores, scores)
@@ -219,10 +221,6 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[_Block, dict]]:
             yield last, row
 
 
-def _long(score) -> int:
-    return max(-_LONG - 1, min(_LONG, int(score)))
-
-
 def _out(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
@@ -249,8 +247,8 @@ def hard_negatives(
 
     Rows without key, label or vector, or with a component that is null or not finite (times `scale`), take no part.
     Vectors are compared with those of their own length. Repeated rows count one by one, and a row with the anchor's
-    key is never its positive; an anchor row repeated as a whole asks once. Scores beyond 64 bits are compared as they
-    are and reported as the nearest long. An empty table or anchors without positives give no rows; other columns are
+    key is never its positive; an anchor row repeated as a whole asks once. A score beyond 64 bits counts as the
+    nearest long. An empty table or anchors without positives give no rows; other columns are
     ignored, whatever their names.
     """
     told = usable(rows, key, label, vector, scale)
@@ -261,7 +259,7 @@ def hard_negatives(
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def told_of(best: dict[int, _Best]) -> pa.RecordBatch:
-            found = [(n, int(v), _long(s)) for n, b in best.items() for s, v in zip(b.scores, b.ids, strict=True)]
+            found = [(n, int(v), int(s)) for n, b in best.items() for s, v in zip(b.scores, b.ids, strict=True)]
             return _out(found, ["number", "id", "score"])
 
         best: dict[int, _Best] = {}
@@ -288,7 +286,7 @@ def hard_negatives(
 
     def windowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def told_of(best: dict[int, dict[int, tuple[int, int, _Best]]]) -> pa.RecordBatch:
-            found = [(n, p, int(v), _long(s)) for n, held in best.items() for p, (_, _, b) in held.items() for s, v in zip(b.scores, b.ids, strict=True)]
+            found = [(n, p, int(v), int(s)) for n, held in best.items() for p, (_, _, b) in held.items() for s, v in zip(b.scores, b.ids, strict=True)]
             return _out(found, ["number", "positive_score", "negative_id", "negative_score"])
 
         best: dict[int, dict[int, tuple[int, int, _Best]]] = {}
