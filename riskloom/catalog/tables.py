@@ -12,7 +12,9 @@ from riskloom.operators import encoding as en
 from riskloom.schemas import RECORD
 from riskloom.session import shared_folder
 from riskloom.sources import files as fl
+from riskloom.plans.frames import written
 from riskloom.sources import tables as tb
+from riskloom.sources.keyed import KeyedTable
 from riskloom.sources.versions import VersionedTable
 
 
@@ -128,15 +130,32 @@ def _(t):
 
 @query(
     "io9_write_table",
-    """SELECT c_custkey, c_name FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, c_name FROM customer WHERE c_custkey % 3 = 0""",
+    "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN concat(c_name, '+') ELSE c_name END AS c_name FROM customer",
 )
 def _(t):
     table, path = _name("customer"), _folder(t)
     df = t.customer.select("c_custkey", "c_name")
-    tb.write_table(df, table, "fail", path)
+    tb.write_table(df, table, "fail", path, keys=["c_custkey"])
     tb.write_table(df.where("c_custkey % 2 = 0"), table, "replace", path)
-    tb.write_table(df.where("c_custkey % 3 = 0"), table, "append", path)
-    out = t.spark.read.parquet(path)
+    # the odd keys are new, the even multiples of three are known
+    again = df.withColumn("c_name", F.when(F.col("c_custkey") % 3 == 0, F.concat("c_name", F.lit("+"))).otherwise(F.col("c_name")))
+    tb.write_table(again.where("c_custkey % 2 = 1 OR c_custkey % 3 = 0"), table, "append")
+    out = written(t.spark.table(table))
+    tb.drop_table(t.spark, table)
+    return out
+
+
+@query(
+    "io9_append_some_columns",
+    """SELECT o_orderkey, o_totalprice, CASE WHEN n > 4 THEN 'long' ELSE o_orderstatus END AS o_orderstatus
+        FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey""",
+)
+def _(t):
+    table, path = _name("orders"), _folder(t)
+    tb.write_table(t.orders.select("o_orderkey", "o_totalprice", "o_orderstatus"), table, "fail", path, keys=["o_orderkey"])
+    long = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("n")).where("n > 4")
+    tb.write_table(long.select("o_orderkey", F.lit("long").alias("o_orderstatus")), table, "append")
+    out = written(t.spark.table(table))
     tb.drop_table(t.spark, table)
     return out
 
@@ -201,6 +220,36 @@ def _(t):
     return store.read()
 
 
+@query("io13_many_appends", "SELECT o_orderkey, o_totalprice FROM orders")
+def _(t):
+    store = VersionedTable(t.spark, _folder(t))
+    df = t.orders.select("o_orderkey", "o_totalprice")
+    for i in range(12):  # more batches than one size class holds
+        store.append(df.where(F.col("o_orderkey") % 12 == i))
+    if len(store.ready.latest()["segments"]) > 8:
+        raise AssertionError("segments of one size are merged")
+    return store.read()
+
+
+@query("io13_two_writers", "SELECT o_orderkey, o_totalprice FROM orders")
+def _(t):
+    path = _folder(t)
+    first, second = VersionedTable(t.spark, path), VersionedTable(t.spark, path)
+    df = t.orders.select("o_orderkey", "o_totalprice")
+    parts = [df.where(F.col("o_orderkey") % 3 == i) for i in range(3)]
+    first.append(parts[0])
+    publish = first.ready.publish
+
+    def overtaken(marker):
+        if marker["version"] == 2:
+            second.append(parts[2])  # takes version 2 after the first writer has looked
+        return publish(marker)
+
+    first.ready.publish = overtaken
+    first.append(parts[1])
+    return first.read()
+
+
 @query("io14_ready_marker", "SELECT 1 AS version, CAST(count(*) AS BIGINT) AS document_count, CAST(count(*) AS BIGINT) AS rows_read FROM documents")
 def _(t):
     store = VersionedTable(t.spark, _folder(t))
@@ -262,8 +311,8 @@ def _(t):
 def _(t):
     path = _folder(t)
     truth = F.struct((F.col("s_suppkey") % 2 == 0).alias("is_loss_making"), (F.col("s_suppkey") / 8).alias("loss_ratio"), F.lit("borderline").alias("case_type"))
-    item = F.struct(F.concat(F.lit("R"), F.col("s_suppkey")).alias("record_id"), truth.alias("ground_truth"))
-    t.supplier.groupBy().agg(F.to_json(F.collect_list(item)).alias("value")).write.text(path)  # one array is one value by its format
+    items = t.supplier.select(F.concat(F.lit("R"), F.col("s_suppkey")).alias("record_id"), truth.alias("ground_truth"))
+    fl.write_json_arrays(items, path, "record_id", rows=64)
     return fl.read_eval_items(t.spark, path).select("record_id", "ground_truth.*")
 
 
@@ -344,18 +393,54 @@ def _(t):
 
 @query(
     "mg1_upsert",
-    """WITH s AS (SELECT l_orderkey FROM lineitem WHERE l_orderkey % 2 = 0)
-        SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey NOT IN (SELECT l_orderkey FROM s)
-        UNION ALL SELECT l_orderkey, max(l_extendedprice) FROM lineitem WHERE l_orderkey % 2 = 0 GROUP BY 1""",
+    """WITH s AS (SELECT CASE WHEN l_orderkey % 5 = 0 THEN l_orderkey + 1000000000 ELSE l_orderkey END AS k, max(l_extendedprice) AS p FROM lineitem GROUP BY 1)
+        SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey NOT IN (SELECT k FROM s) UNION ALL SELECT k, p FROM s""",
 )
 def _(t):
-    target = t.orders.where("o_orderkey % 3 = 0").select("o_orderkey", "o_totalprice")
-    source = t.lineitem.where("l_orderkey % 2 = 0").select(
-        F.col("l_orderkey").alias("o_orderkey"), F.col("l_extendedprice").alias("o_totalprice")
-    )
+    # every fifth order's lines come under a key that is new
+    key = F.when(F.col("l_orderkey") % 5 == 0, F.col("l_orderkey") + 1_000_000_000).otherwise(F.col("l_orderkey"))
+    source = t.lineitem.select(key.alias("o_orderkey"), F.col("l_extendedprice").alias("o_totalprice"))
     # the order value is unique; within a key the highest price comes last
     source = source.distinct().withColumn("seq", F.struct("o_totalprice", "o_orderkey"))
-    return tb.upsert(target, source, ["o_orderkey"], "seq")
+    return tb.upsert(t.orders.select("o_orderkey", "o_totalprice"), source, ["o_orderkey"], "seq")
+
+
+@query(
+    "mg1_upsert_missing_keys",
+    """WITH s AS (SELECT CASE WHEN c_custkey % 7 <> 0 THEN c_nationkey END AS k, c_custkey, c_name FROM customer),
+        l AS (SELECT k, c_name FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY c_custkey DESC) AS r FROM s) WHERE r = 1)
+        SELECT k, c_name AS v FROM l UNION ALL
+        SELECT k, v FROM (SELECT CASE WHEN n_nationkey <> 3 THEN n_nationkey + 10 END AS k, n_name AS v FROM nation) n WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.k IS NOT DISTINCT FROM n.k)""",
+)
+def _(t):
+    target = t.nation.select(F.when(F.col("n_nationkey") != 3, F.col("n_nationkey") + 10).alias("k"), F.col("n_name").alias("v"))
+    source = t.customer.select(F.when(F.col("c_custkey") % 7 != 0, F.col("c_nationkey")).alias("k"), F.col("c_name").alias("v"), F.col("c_custkey").alias("seq"))
+    return tb.upsert(target, source, ["k"], "seq")
+
+
+@query(
+    "mg1_keyed_table",
+    """WITH s AS (SELECT CASE WHEN l_orderkey % 5 = 0 THEN l_orderkey + 1000000000 ELSE l_orderkey END AS k, max(l_extendedprice) AS p FROM lineitem GROUP BY 1)
+        SELECT coalesce(o_orderkey, k) AS o_orderkey, coalesce(p, o_totalprice) AS o_totalprice, o_orderstatus FROM orders FULL JOIN s ON k = o_orderkey""",
+)
+def _(t):
+    table = KeyedTable(t.spark, _folder(t), ["o_orderkey"], bucket_rows=5000)
+    table.upsert(t.orders.select("o_orderkey", "o_totalprice", "o_orderstatus"))
+    key = F.when(F.col("l_orderkey") % 5 == 0, F.col("l_orderkey") + 1_000_000_000).otherwise(F.col("l_orderkey"))
+    lines = t.lineitem.groupBy(key.alias("o_orderkey")).agg(F.max("l_extendedprice").alias("o_totalprice"))
+    table.upsert(lines)  # the status stays
+    return table.read()
+
+
+@query(
+    "mg4_keyed_table_update",
+    """SELECT o_orderkey, CASE WHEN o_totalprice > 400000 THEN 'big' WHEN o_totalprice > 200000 THEN 'mid' ELSE o_orderstatus END AS o_orderstatus, o_totalprice FROM orders""",
+)
+def _(t):
+    table = KeyedTable(t.spark, _folder(t), ["o_orderkey"], bucket_rows=5000)
+    table.upsert(t.orders.select("o_orderkey", "o_orderstatus", "o_totalprice"))
+    table.update("o_orderstatus", ["big", "mid"], ["o_totalprice > 400000", "o_totalprice > 200000"])
+    return table.read()
 
 
 @query(

@@ -336,13 +336,47 @@ def _(t):
 @query(
     "tx12_biggest_table_sample",
     f"""WITH {_DOCS}, p AS (SELECT region, table_id, row_number() OVER (PARTITION BY region ORDER BY count(*) DESC, table_id) AS k FROM docs WHERE type = 'table_row' GROUP BY 1, 2),
-        r AS (SELECT d.uid, row_number() OVER (PARTITION BY d.table_id ORDER BY row_index) AS r FROM docs d JOIN p ON p.table_id = d.table_id AND k = 1 WHERE type = 'table_row')
+        r AS (SELECT d.uid, row_number() OVER (PARTITION BY d.region, d.table_id ORDER BY row_index) AS r FROM docs d JOIN p ON p.region = d.region AND p.table_id = d.table_id AND k = 1 WHERE type = 'table_row')
         SELECT uid, CAST(r AS INT) AS position FROM r WHERE r <= 3""",
 )
 def _(t):
     return dc.biggest_table_sample(_stamped(t)).select("uid", "position")
 
 
+_SHARED = """docs AS (SELECT concat('d', n_regionkey) AS doc_id, c_mktsegment AS table_id, 'table_row' AS type, CAST(c_custkey AS INT) AS row_index,
+        concat('d', n_regionkey, '::tbl::', c_mktsegment, '::row::', c_custkey) AS uid FROM customer JOIN nation ON c_nationkey = n_nationkey),
+    sized AS (SELECT doc_id, table_id, count(*) AS n FROM docs GROUP BY 1, 2)"""
+
+
+def _shared_ids(t):
+    """Market segments as tables of customers, one document per region: all documents have the same table ids."""
+    places = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = places.select(
+        F.concat(F.lit("d"), "n_regionkey").alias("doc_id"), F.col("c_mktsegment").alias("table_id"), F.lit("table_row").alias("type"),
+        F.col("c_custkey").cast("int").alias("row_index"), F.lit(None).cast("string").alias("columns"),
+    )
+    return dc.table_documents(rows)
+
+
+@query(
+    "tx12_shared_table_ids",
+    f"""WITH {_SHARED}, big AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, table_id) AS k FROM sized),
+        r AS (SELECT doc_id, table_id, uid, row_number() OVER (PARTITION BY doc_id, table_id ORDER BY row_index) AS r FROM docs JOIN big USING (doc_id, table_id) WHERE k = 1)
+        SELECT doc_id, table_id, uid, CAST(r AS INT) AS position FROM r WHERE r <= 3""",
+)
+def _(t):
+    return dc.biggest_table_sample(_shared_ids(t)).select("doc_id", "table_id", "uid", "position")
+
+
+@query(
+    "tx11_shared_table_ids",
+    f"""WITH {_SHARED}, r AS (SELECT doc_id, table_id, uid, row_number() OVER (PARTITION BY doc_id, table_id ORDER BY row_index) AS r FROM docs)
+        SELECT doc_id, table_id, uid, CAST(r AS INT) AS position FROM r WHERE r <= 5""",
+)
+def _(t):
+    return dc.fetch_table_family(_shared_ids(t), row_limit=5).select("doc_id", "table_id", "uid", "position")
+
+
 @query(
     "tx13_request_lines",
     """SELECT concat('{"custom_id":"', conv_id, '-', turn, '","method":"POST","url":"/v1/responses","body":{"role":"', role, '","input":', to_json(text), '}}') AS value FROM conversations""",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -16,7 +17,7 @@ from riskloom.functions.text import content_hash, split_characters, split_senten
 from riskloom.operators.similarity import cosine_top_k
 from riskloom.plans.frames import written
 from riskloom.sources.tables import upsert
-from riskloom.sources.versions import VersionedTable
+from riskloom.sources.versions import Side, VersionedTable
 
 HASH = "content_hash"
 
@@ -59,16 +60,46 @@ def new_documents(
     return rows.join(first, F.col("__key") == F.col("__first")).drop("__key", "__first").select(*batch.drop(HASH).columns, HASH)
 
 
+#: Content hashes of one folder of the index, and the most hex digits that name a folder.
+FOLDER_HASHES, MOST_DIGITS = 100_000, 4
+
+
+def hash_prefix(digits: int) -> Column:
+    """The folder of a content hash: its first hex digits behind a letter, so that no reader takes them for a number."""
+    return F.coalesce(F.concat(F.lit("h"), F.substring(HASH, 1, digits)), F.lit("none"))
+
+
+def hash_index(rows: DataFrame, n: int) -> DataFrame:
+    """(content_hash, prefix) of a segment; the more rows, the more digits, so that a folder holds about as many at any size."""
+    digits = min(MOST_DIGITS, math.ceil(math.log(max(1.0, n / FOLDER_HASHES), 16)))
+    return rows.select(HASH, hash_prefix(digits).alias("prefix"))
+
+
 class DocumentStore:
-    """A versioned set of documents with incremental, deduplicated updates."""
+    """A versioned set of documents with incremental, deduplicated updates.
+
+    Beside the rows of every segment lie their content hashes, in folders by their first hex digits. An update joins
+    its batch with the folders of its own digits only: a small batch never reads the hashes of the whole store.
+    """
 
     def __init__(self, spark: SparkSession, path: str, order: Sequence[str] = ("doc_id", "chunk_no"), text: str = "text"):
-        self.table = VersionedTable(spark, path)
+        self.table = VersionedTable(spark, path, {"hashes": Side(hash_index, ["prefix"])})
         self.order, self.text = tuple(order), text
 
     def read(self) -> DataFrame | None:
         return self.table.read()
 
+    def known_hashes(self, batch: DataFrame) -> DataFrame | None:
+        """Hashes of the store in the folders that the batch's hashes fall into; None without a version."""
+        hashes = self.table.read(side="hashes")
+        if hashes is None:
+            return None
+        longest = with_hash(batch, self.text).select(hash_prefix(MOST_DIGITS).alias("p")).distinct()
+        # at most 16 ** 4 prefixes of the most digits, and what they begin with
+        found = [r["p"] for r in longest.collect()]
+        folders = {p if p == "none" else p[: 1 + d] for p in found for d in range(MOST_DIGITS + 1)}
+        return hashes.where(F.col("prefix").isin(sorted(folders))).select(HASH)
+
     def update(
         self,
         batch: DataFrame,
@@ -81,12 +112,12 @@ class DocumentStore:
         An update costs the batch. With `reindex_threshold`, a set of more distinct documents is
         written as one set of files instead and, with `embed`, all its texts are embedded anew.
         """
-        store = self.table.read()
-        fresh = new_documents(batch, store, self.order, self.text) if deduplicate else with_hash(batch, self.text)
+        fresh = new_documents(batch, self.known_hashes(batch), self.order, self.text) if deduplicate else with_hash(batch, self.text)
         fresh = written(fresh)
         if not fresh.limit(1).collect():
             return None
-        if reindex_threshold is not None and store is not None:
+        store = self.table.read() if reindex_threshold is not None else None
+        if store is not None:
             ids = store.select(self.order[0]).unionByName(fresh.select(self.order[0])).distinct()
             if ids.limit(reindex_threshold + 1).count() > reindex_threshold:
                 whole = store.select(*fresh.columns).unionByName(fresh)
@@ -174,13 +205,19 @@ def upsert_table_documents(store: DataFrame, batch: DataFrame, order: str | None
 def fetch_table_family(
     df: DataFrame, table_ids: DataFrame | None = None, include_parent: bool = True, row_limit: int = 1000
 ) -> DataFrame:
-    """Parent and first rows (by `row_index`) of every wanted table, numbered by `position`."""
+    """Parent and first rows (by `row_index`) of every wanted table, numbered by `position`.
+
+    Where the rows have a `doc_id`, documents may share table ids: a table is a (doc_id, table_id), and `table_ids` that
+    names documents too wants the tables of those documents only.
+    """
     kinds = [PARENT, ROW] if include_parent else [ROW]
     kept = df.where(F.col("type").isin(kinds))
+    owner = [c for c in ("doc_id", "table_id") if c in df.columns]
     if table_ids is not None:
-        kept = kept.join(table_ids.select("table_id").distinct(), "table_id", "left_semi")
+        on = [c for c in owner if c in table_ids.columns]
+        kept = kept.join(table_ids.select(*on).distinct(), on, "left_semi")
     index = F.coalesce("row_index", F.lit(0))
-    rank = F.row_number().over(Window.partitionBy("table_id", "type").orderBy(index, "uid"))
+    rank = F.row_number().over(Window.partitionBy(*owner, "type").orderBy(index, "uid"))
     limit = F.when(F.col("type") == PARENT, F.lit(1)).otherwise(F.lit(row_limit))
     # the first condition lets the scan side keep at most row_limit rows per table and type
     first = kept.withColumn("__r", rank).where(F.col("__r") <= max(row_limit, 1)).where(F.col("__r") <= limit)
@@ -203,7 +240,7 @@ def inspect_tables(df: DataFrame, top: int = 5) -> DataFrame:
 
 def biggest_table_sample(df: DataFrame, sample: int = 3) -> DataFrame:
     """First rows of the biggest table of every document."""
-    biggest = inspect_tables(df, 1).select("table_id")
+    biggest = inspect_tables(df, 1).select("doc_id", "table_id")
     return fetch_table_family(df, biggest, include_parent=False, row_limit=sample)
 
 

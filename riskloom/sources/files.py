@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -104,6 +106,17 @@ def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("ignoreNullFields", False).json(path)
 
 
+def write_json_arrays(df: DataFrame, path: str, key: str, rows: int = 10_000) -> None:
+    """Rows as JSON arrays of about `rows` items, one array a file, dealt by a hash of the whole row.
+
+    An array is one value by its format, so each is made and read by one task: their number grows with the rows.
+    """
+    arrays = max(1, math.ceil(df.select(key).count() / rows))
+    bucket = F.pmod(F.xxhash64(*df.columns), F.lit(arrays)).alias("part")
+    items = df.groupBy(bucket).agg(F.to_json(F.collect_list(F.struct(*df.columns))).alias("value"))
+    items.write.partitionBy("part").text(path)
+
+
 def append_usage_log(df: DataFrame, path: str) -> None:
     """Append usage rows as CSV; the tool-call map is written as JSON text."""
     usage_rows(df).write.mode("append").option("header", True).option("escape", '"').csv(path)

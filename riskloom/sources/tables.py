@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Mapping, Sequence
 from typing import Any
 
@@ -11,8 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskloom.operators.cleaning import storable
-from riskloom.plans.frames import attach, same_keys
+from riskloom.plans.frames import attach, written
 from riskloom.plans.ranking import dense_numbers
+from riskloom.sources.keyed import conformed, merge, one_row_per_key
+from riskloom.sources.publication import remove_folder
 
 
 def query_frame(spark: SparkSession, sql: str, args: Mapping[str, Any] | None = None, coerce_float: bool = False) -> DataFrame:
@@ -55,17 +58,98 @@ def table_columns(spark: SparkSession, table: str) -> DataFrame:
     return spark.createDataFrame(rows, "position int, name string, type string")
 
 
-_MODES = {"replace": "overwrite", "fail": "errorifexists", "append": "append"}
+_MODES = ("replace", "fail", "append")
+_KEYS, _BEFORE = "riskloom.keys", "riskloom.rows_before"
 
 
-def write_table(df: DataFrame, table: str, if_exists: str = "fail", path: str | None = None) -> None:
-    """Store a frame as a catalog table, values made storable first; a failed write raises."""
+def _described(spark: SparkSession, table: str) -> dict[str, str]:
+    """Location and key properties of a catalog table."""
+    told = spark.sql("DESCRIBE TABLE EXTENDED IDENTIFIER(:t)", args={"t": table}).where(F.col("col_name") == "Location").first()
+    properties = {r["key"]: r["value"] for r in spark.sql("SHOW TBLPROPERTIES IDENTIFIER(:t)", args={"t": table}).collect()}
+    return {"location": told["data_type"], "keys": properties.get(_KEYS, ""), "before": properties.get(_BEFORE, "")}
+
+
+def _literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _set(spark: SparkSession, table: str, name: str, value: str) -> None:
+    spark.sql(f"ALTER TABLE IDENTIFIER(:t) SET TBLPROPERTIES ({_literal(name)} = {_literal(value)})", args={"t": table})
+
+
+def _switch(spark: SparkSession, table: str, folder: str, old: dict[str, str]) -> None:
+    """The table reads another folder from now on: one change in the catalog. The folder before the last one goes."""
+    spark.sql(f"ALTER TABLE IDENTIFIER(:t) SET LOCATION {_literal(folder)}", args={"t": table})
+    _set(spark, table, _BEFORE, old["location"])
+    spark.catalog.refreshTable(table)
+    if "__rows-" in old["before"]:  # only what a publication made; a query that still runs reads the last one
+        remove_folder(spark, old["before"])
+
+
+def _staged(location: str) -> str:
+    return f"{location.rstrip('/').split('__rows-')[0]}__rows-{uuid.uuid4().hex}"
+
+
+def write_table(
+    df: DataFrame, table: str, if_exists: str = "fail", path: str | None = None, keys: Sequence[str] | None = None, order: str | None = None
+) -> None:
+    """Store a frame as a catalog table, values made storable first; a failed write raises and leaves the table as it was.
+
+    `keys` given when the table is made are kept with it. `append` merges by them (or by `keys`): rows with a known key
+    are updated in the columns the frame has, others are added, NULL being one key; with `order` the last row of a
+    key wins, without it a key that comes twice is an error. `keys=[]` adds rows as they are. An empty frame changes
+    nothing. What replaces a table's rows is written to a folder beside them, and the catalog is switched to it when it is
+    whole; if another writer switched meanwhile, the merge is done again on its rows.
+    """
     if if_exists not in _MODES:
         raise ValueError(f"if_exists must be one of {sorted(_MODES)}")
-    writer = storable(df).write.mode(_MODES[if_exists])
-    if path:
-        writer = writer.option("path", path)
-    writer.saveAsTable(table)
+    spark, rows = df.sparkSession, storable(df)
+    exists = spark.catalog.tableExists(table)
+    if if_exists == "append":
+        if not exists:
+            raise ValueError(f"table {table} does not exist")
+        _append(rows, table, keys, order)
+        return
+    if exists and if_exists == "replace":
+        old = _described(spark, table)
+        folder = _staged(path or old["location"])
+        rows.write.parquet(folder)
+        if [(f.name, f.dataType) for f in spark.table(table).schema] == [(f.name, f.dataType) for f in rows.schema]:
+            _switch(spark, table, folder, old)
+        else:  # other columns: a new entry of the catalog over rows that are already written
+            drop_table(spark, table)
+            spark.catalog.createTable(table, path=folder, source="parquet", schema=rows.schema)
+    else:
+        writer = rows.write.mode("errorifexists")
+        (writer.option("path", path) if path else writer).saveAsTable(table)
+    if keys is not None:
+        _set(spark, table, _KEYS, ",".join(keys))
+
+
+def _append(rows: DataFrame, table: str, keys: Sequence[str] | None, order: str | None) -> None:
+    spark = rows.sparkSession
+    declared = _described(spark, table)["keys"]
+    if keys is None and not declared:
+        raise ValueError(f"{table} has no declared keys: give keys, or keys=[] to add rows as they are")
+    names = list(keys) if keys is not None else declared.split(",")
+    schema = spark.table(table).schema
+    if not names:
+        conformed(rows, schema).select(*[c if c in rows.columns else F.lit(None).cast(schema[c].dataType).alias(c) for c in schema.fieldNames()]).write.mode(
+            "append"
+        ).insertInto(table)
+        return
+    latest = one_row_per_key(conformed(rows, schema, [order] if order else []), names, order)
+    latest = written(latest.drop(order) if order and order not in schema.fieldNames() else latest)
+    if not latest.limit(1).collect():
+        return
+    while True:
+        old = _described(spark, table)
+        folder = _staged(old["location"])
+        merge(spark.table(table), latest, names, keep_absent=True).select(*schema.fieldNames()).write.parquet(folder)
+        if _described(spark, table)["location"] == old["location"]:
+            _switch(spark, table, folder, old)
+            return
+        remove_folder(spark, folder)
 
 
 def drop_table(spark: SparkSession, table: str) -> None:
@@ -102,30 +186,17 @@ def rows_frame(spark: SparkSession, rows: Sequence[Mapping[str, Any]], schema: T
     return spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], kept)
 
 
-def last_per_key(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """The last row of every key by an order column: a narrow maximum per key, then a semi-join on key and place.
-
-    Missing order values come first, NULL keys are one key, and of rows with equal key and order the one
-    with the larger row hash is kept.
-    """
-    place = F.struct(F.col(order).isNotNull(), F.col(order), F.xxhash64(*df.columns))
-    placed = df.withColumn("__place", place)
-    winners = placed.groupBy(*keys).agg(F.max("__place").alias("__last")).withColumnsRenamed({k: f"__k_{k}" for k in keys})
-    same = same_keys(placed, winners, [*((k, f"__k_{k}") for k in keys), ("__place", "__last")])
-    return placed.join(winners, same, "left_semi").drop("__place").dropDuplicates(list(keys))
-
-
 def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str], order: str | None = None) -> DataFrame:
     """Rows of `source` replace rows of `target` with the same key; the rest is kept or added.
 
-    With `order`, the last source row of a key wins. The result is a new frame, to be published as
-    a new version; nothing is changed in place. Columns absent from the source become missing.
+    With `order`, the last source row of a key wins; without it a key that comes twice is an error. NULL keys are one
+    key on both sides. The result is a new frame, to be published as a new version (`write_table`, `KeyedTable`);
+    nothing is changed in place. Columns absent from the source become missing.
     """
-    latest = last_per_key(source, keys, order) if order else source
+    latest = one_row_per_key(source, keys, order)
     if order and order not in target.columns:
         latest = latest.drop(order)
-    keep = target.join(latest.select(*keys).distinct(), list(keys), "left_anti").select(*target.columns)
-    return keep.unionByName(latest, allowMissingColumns=True)
+    return merge(target, latest, keys)
 
 
 def update_fields(df: DataFrame, fields: Mapping[str, Any], condition: str | Column) -> DataFrame:
