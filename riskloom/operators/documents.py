@@ -69,10 +69,14 @@ def hash_prefix(digits: int) -> Column:
     return F.coalesce(F.concat(F.lit("h"), F.substring(HASH, 1, digits)), F.lit("none"))
 
 
+def folder_digits(n: int) -> int:
+    """Digits that name the hash folders of a segment of n rows: a folder holds about as many hashes at any size."""
+    return min(MOST_DIGITS, math.ceil(math.log(max(1.0, n / FOLDER_HASHES), 16)))
+
+
 def hash_index(rows: DataFrame, n: int) -> DataFrame:
-    """(content_hash, prefix) of a segment; the more rows, the more digits, so that a folder holds about as many at any size."""
-    digits = min(MOST_DIGITS, math.ceil(math.log(max(1.0, n / FOLDER_HASHES), 16)))
-    return rows.select(HASH, hash_prefix(digits).alias("prefix"))
+    """(content_hash, prefix) of a segment."""
+    return rows.select(HASH, hash_prefix(folder_digits(n)).alias("prefix"))
 
 
 class DocumentStore:
@@ -91,14 +95,15 @@ class DocumentStore:
 
     def known_hashes(self, batch: DataFrame) -> DataFrame | None:
         """Hashes of the store in the folders that the batch's hashes fall into; None without a version."""
-        hashes = self.table.read(side="hashes")
-        if hashes is None:
+        marker = self.table.ready.latest()
+        if marker is None:
             return None
-        longest = with_hash(batch, self.text).select(hash_prefix(MOST_DIGITS).alias("p")).distinct()
-        # at most 16 ** 4 prefixes of the most digits, and what they begin with
-        found = [r["p"] for r in longest.collect()]
-        folders = {p if p == "none" else p[: 1 + d] for p in found for d in range(MOST_DIGITS + 1)}
-        return hashes.where(F.col("prefix").isin(sorted(folders))).select(HASH)
+        digits = {folder_digits(s["rows"]) for s in marker["segments"]}
+        longest = with_hash(batch, self.text).select(hash_prefix(max(digits)).alias("p")).distinct()
+        found = [r["p"] for r in longest.collect()]  # at most 16 ** 4
+        folders = {p if p == "none" else p[: 1 + d] for p in found for d in digits}
+        named = ", ".join(f"'{f}'" for f in sorted(folders)) or "''"
+        return self.table.read(marker["version"], "hashes").where(F.expr(f"prefix IN ({named})")).select(HASH)
 
     def update(
         self,

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from riskloom.operators.cleaning import storable
 from riskloom.plans.frames import attach, written
 from riskloom.plans.ranking import dense_numbers
-from riskloom.sources.keyed import conformed, merge, one_row_per_key
+from riskloom.sources.keyed import conformed, last_per_key, merge, one_row_per_key
 from riskloom.sources.publication import remove_folder
 
 
