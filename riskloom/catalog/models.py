@@ -45,6 +45,30 @@ def _(t):
     return md.score(y, trained).select(_KEY, "probability_of_loss", "is_loss_making_prediction")
 
 
+_GIVEN = {"l_quantity": 0.04, "l_discount": -12.0, "l_tax": 5.0}
+
+
+@query(
+    "md2_given_model",
+    """WITH p AS (SELECT l_orderkey, l_linenumber, 1 / (1 + exp(-(0.04::DOUBLE * l_quantity - 12.0::DOUBLE * l_discount + 5.0::DOUBLE * l_tax - 0.7::DOUBLE))) AS p FROM lineitem)
+        SELECT l_orderkey, l_linenumber, round(p, 4) AS probability_of_loss, p >= 0.5 AS is_loss_making_prediction FROM p""",
+)
+def _(t):
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", *_GIVEN)
+    out = md.score(rows, md.given_model(_GIVEN, -0.7, _TARGET))
+    return out.select("l_orderkey", "l_linenumber", "probability_of_loss", "is_loss_making_prediction")
+
+
+@query(
+    "md4_given_model",
+    " UNION ALL ".join(f"SELECT '{c}' AS feature, round(avg({c}), 6) AS importance FROM lineitem" for c in _GIVEN),
+)
+def _(t):
+    means = t.lineitem.agg(*[F.avg(c).alias(c) for c in _GIVEN]).first().asDict()
+    ranked = md.top_features(md.given_model(means, 0.0, _TARGET), 3)
+    return t.spark.createDataFrame(ranked, "feature string, importance double").select("feature", F.round("importance", 6).alias("importance"))
+
+
 _SCORE = "((o_orderkey * 7919) % 1009) / 1008.0::DOUBLE"
 _LABEL = "(((o_orderkey * 7919) % 1009) + o_orderkey % 500 > 750)"
 _SCORED = f"s AS (SELECT o_orderkey, {_SCORE} AS score, CAST({_LABEL} AS INT) AS y FROM orders)"
@@ -216,6 +240,19 @@ def _(t):
     return t.spark.createDataFrame([(round(value, 6),)], "silhouette double")
 
 
+@query(
+    "km2_euclidean_silhouette_of_labels",
+    """WITH p AS (SELECT a.vec_id, a.label AS own, b.label AS other, sum(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS total, count(*) AS n
+            FROM embeddings a, embeddings b GROUP BY 1, 2, 3),
+        o AS (SELECT vec_id, total / nullif(n - 1, 0) AS a FROM p WHERE own = other),
+        q AS (SELECT vec_id, min(total / n) AS b FROM p WHERE own <> other GROUP BY 1)
+        SELECT round(avg((b - a) / greatest(a, b)), 6) AS silhouette FROM o JOIN q USING (vec_id)""",
+)
+def _(t):
+    value = km.euclidean_silhouette(_vectors(t).select("features", "label"), "features", "label")
+    return t.spark.createDataFrame([(round(value, 6),)], "silhouette double")
+
+
 _CUTS = (2, 3, 5)
 
 

@@ -131,3 +131,62 @@ def _(t):
     rows = _stream(t).select("event_id", "ts", F.col("props").alias("text"))
     kept = mo.first_content(rows, delay="60 days").select("event_id", "content_hash")
     return rn.append_to(kept, *_paths(t)).agg(F.count(F.lit(1)).alias("contents"))
+
+
+_LATE = 11  # every eleventh event comes a part later
+_ARRIVED = f"""span AS (SELECT min(epoch(ts)) AS t0, (max(epoch(ts)) - min(epoch(ts)) + 1) / 4.0::DOUBLE AS w FROM events),
+    arrived AS (SELECT e.*, least(3, CAST(floor((epoch(ts) - t0) / w) AS INT) + CASE WHEN event_id % {_LATE} = 0 THEN 1 ELSE 0 END) AS part FROM events e, span),
+    marks AS (SELECT part, max(max(epoch(ts))) OVER (ORDER BY part) - 7200 AS mark FROM arrived GROUP BY part),
+    cells AS (SELECT a.event_id, event_type, user_id, CAST(epoch(date_trunc('hour', ts)) AS BIGINT) - i * 3600 AS window_start,
+            CAST(epoch(date_trunc('hour', ts)) AS BIGINT) - i * 3600 + 86400 <= coalesce(m.mark, 0) AS late
+        FROM arrived a LEFT JOIN marks m ON m.part = a.part - 1, range(24) AS r(i)),
+    ends AS (SELECT max(mark) AS mark FROM marks)"""
+
+
+def _arrivals(t, monitor, rows):
+    """Events written in four parts, some a part too late; after each part the stream runs on from its checkpoint."""
+    path, checkpoint = _paths(t)
+    events = t.events.withColumn("ts", F.col("ts").cast("timestamp"))
+    at = F.unix_micros("ts") / 1_000_000
+    ends = events.agg(F.min(at).alias("low"), F.max(at).alias("high")).first()
+    quarter = F.floor((at - ends["low"]) / ((ends["high"] - ends["low"] + 1) / 4)) + F.when(F.col("event_id") % _LATE == 0, 1).otherwise(0)
+    parts = events.withColumn("part", F.least(F.lit(3), quarter))
+    for i in range(4):
+        parts.where(F.col("part") == i).drop("part").write.mode("append").parquet(f"{path}/in")
+        out = rn.append_to(monitor(rows(rn.file_stream(t.spark, f"{path}/in", events.schema))), f"{path}/out", checkpoint)
+    return out
+
+
+@query(
+    "sm1_closed_windows",
+    f"""WITH {_ARRIVED}, w AS (SELECT window_start, {_CONF} AS c, {_ESC} AS e FROM cells WHERE NOT late)
+        SELECT window_start, CAST(count(*) AS BIGINT) AS assessments, round(count(*) FILTER (c = 'high') / count(*)::DOUBLE, 6) AS high_share,
+            round(count(*) FILTER (e) / count(*)::DOUBLE, 6) AS escalation_share FROM w, ends WHERE window_start + 86400 <= mark GROUP BY 1""",
+)
+def _(t):
+    out = _arrivals(t, mo.decision_shares, _decided)
+    return out.select(_start(out), "assessments", *[F.round(c, 6).alias(c) for c in ("high_share", "escalation_share")])
+
+
+@query("sm1_late_rows", f"WITH {_ARRIVED} SELECT window_start, CAST(count(*) AS BIGINT) AS late FROM cells WHERE late GROUP BY 1")
+def _(t):
+    out = _arrivals(t, mo.late_rows, lambda df: df.select("ts"))
+    return out.groupBy(_start(out)).agg(F.sum("late").alias("late"))
+
+
+@query(
+    "sm4_open_scores",
+    f"""WITH s AS (SELECT {_CONF} AS c, ts, event_id % 5 <> 4 AS closed, (value > 15) = (event_id % 3 = 0) AS hit FROM events),
+        m AS (SELECT max(epoch(ts)) - 3600 AS mark FROM events)
+        SELECT c AS confidence_level, CAST(count(*) FILTER (closed) AS BIGINT) AS closed, CAST(count(*) FILTER (closed AND hit) AS BIGINT) AS "right",
+            CAST(count(*) FILTER (NOT closed) AS BIGINT) AS open, round(count(*) FILTER (closed AND hit) / nullif(count(*) FILTER (closed), 0)::DOUBLE, 6) AS accuracy
+        FROM s, m WHERE closed OR epoch(ts) + 172800 < mark GROUP BY 1""",
+)
+def _(t):
+    scores = _stream(t).select("event_id", "ts", F.expr(_CONF).alias("confidence_level"), (F.col("value") > 15).alias("is_loss_making_prediction"))
+    # every fifth outcome comes a day after the bound; a score is open once the watermark of both streams is past it
+    late = F.when(F.col("event_id") % 5 == 4, F.expr("INTERVAL 3 DAYS")).otherwise(F.expr("INTERVAL 1 HOUR"))
+    outcomes = _stream(t).select("event_id", (F.col("ts") + late).alias("outcome_ts"), (F.col("event_id") % 3 == 0).alias("is_loss_making"))
+    matched = mo.matched_outcomes(scores, outcomes, "event_id", "2 DAYS", keep_open=True)
+    out = mo.calibration_with_open(rn.append_to(matched, *_paths(t)))
+    return out.select("confidence_level", "closed", "right", "open", F.round("accuracy", 6).alias("accuracy"))

@@ -110,6 +110,28 @@ def _(t):
     return tb.read_table(t.spark, view, "s_suppkey").select("s_suppkey", "s_name", "s_acctbal")
 
 
+@query(
+    "io6_ordered_chunks",
+    """SELECT chunk, min(o_orderdate) AS low, max(o_orderdate) AS high, CAST(count(*) AS BIGINT) AS rows, CAST(sum(o_orderkey) AS BIGINT) AS keys
+        FROM (SELECT *, CAST((row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1) // 1000 AS BIGINT) AS chunk FROM orders) GROUP BY 1""",
+)
+def _(t):
+    chunks = tb.ordered_chunks(t.orders.select("o_orderdate", "o_orderkey"), "o_orderdate", 1000, ["o_orderkey"])
+    return chunks.groupBy("chunk").agg(
+        F.min("o_orderdate").alias("low"), F.max("o_orderdate").alias("high"), F.count(F.lit(1)).alias("rows"), F.sum("o_orderkey").alias("keys")
+    )
+
+
+@query(
+    "io6_key_ranges",
+    """WITH k AS (SELECT o_orderdate, count(*) AS n FROM orders WHERE o_orderdate IS NOT NULL GROUP BY 1),
+        s AS (SELECT *, (sum(n) OVER (ORDER BY o_orderdate) - n) // 500 AS slot FROM k)
+        SELECT CAST(row_number() OVER (ORDER BY slot) - 1 AS BIGINT) AS chunk, min(o_orderdate) AS low, max(o_orderdate) AS high, CAST(sum(n) AS BIGINT) AS rows FROM s GROUP BY slot""",
+)
+def _(t):
+    return tb.chunk_bounds(t.orders, "o_orderdate", 500)
+
+
 @query("io7_count_records", "SELECT CAST(count(*) AS BIGINT) AS records FROM lineitem")
 def _(t):
     view = _name("lineitem")

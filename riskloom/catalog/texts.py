@@ -10,6 +10,7 @@ from riskloom.catalog.registry import query
 from riskloom.functions import text as tx
 from riskloom.operators import documents as dc
 from riskloom.operators import similarity as sm
+from riskloom.plans.frames import written
 from riskloom.session import shared_folder
 
 
@@ -235,10 +236,33 @@ def _(t):
     return sm.cosine_top_k(t.embeddings, t.embeddings, 5, "vec_id", broadcast_numbers=0)
 
 
-@query("tx8_cosine_top_k_approximate")
+@query(
+    "tx8_cosine_top_k_approximate",
+    "SELECT count(*) FILTER (vec_id % 50 = 0) * 10 AS asked, TRUE AS enough FROM embeddings",
+)
+def _(t):
+    # the default setting, each vector's own row left out
+    queries = t.embeddings.where("vec_id % 50 = 0")
+    near = sm.cosine_top_k_approximate(queries, t.embeddings, 10, "vec_id", skip_same=True)
+    exact = written(sm.cosine_top_k(queries, t.embeddings, 10, "vec_id", skip_same=True))
+    enough = sm.recall(near, exact).first()["recall"] >= 0.9
+    return exact.agg(F.count(F.lit(1)).alias("asked"), F.lit(enough).alias("enough"))
+
+
+@query(
+    "tx8_kept_index",
+    "SELECT count(*) FILTER (vec_id % 50 = 25) * 10 AS asked, TRUE AS enough, count(*) AS indexed FROM embeddings",
+)
 def _(t):
-    near = sm.cosine_top_k_approximate(t.embeddings, t.embeddings, 3, "vec_id", cells=8, probes=4)
-    return sm.recall(near, sm.cosine_top_k(t.embeddings, t.embeddings, 3, "vec_id"))
+    # built on one half, the other half added, opened again, asked by rows that the probes were not chosen with
+    path = _folder(t)
+    sm.CosineIndex.build(t.embeddings.where("vec_id % 2 = 0"), path, "vec_id").add(t.embeddings.where("vec_id % 2 = 1"), "vec_id")
+    index = sm.CosineIndex(t.spark, path)
+    index.calibrate()
+    queries = t.embeddings.where("vec_id % 50 = 25")
+    exact = written(sm.cosine_top_k(queries, t.embeddings, 10, "vec_id", skip_same=True))
+    enough = sm.recall(index.search(queries, 10, "vec_id", skip_same=True), exact).first()["recall"] >= 0.9
+    return exact.agg(F.count(F.lit(1)).alias("asked"), F.lit(enough).alias("enough"), F.lit(index.rows.read().count()).alias("indexed"))
 
 
 @query(

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -12,6 +13,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.plans.frames import written
+
 
 def as_vectors(df: DataFrame, column: str, out: str = "features") -> DataFrame:
     return df.withColumn(out, array_to_vector(F.col(column).cast("array<double>")))
@@ -47,18 +50,66 @@ def silhouette(df: DataFrame, features: str, cluster: str, distance: str = "squa
     return evaluator.evaluate(df.withColumn(cluster, F.col(cluster).cast("double")))
 
 
+SILHOUETTE_BLOCK = 2_048
+
+
+def euclidean_silhouette(df: DataFrame, features: str, cluster: str, most_rows: int | None = None, seed: int = 42) -> float:
+    """Mean silhouette with plain distances: (b - a) / max(a, b) per row, 0 in a cluster of one row.
+
+    Blocks of rows meet blocks of rows, each pair in a group of bounded size that leaves one sum per row and cluster;
+    sums are added up before they are shuffled. All pairs are compared, so the cost grows with the square of the rows:
+    `most_rows` takes about that many by a hash of the row's number instead, and the result is theirs.
+    """
+    rows = df.select(vector_to_array(features).alias("v"), F.col(cluster).cast("string").alias("c")).where("v IS NOT NULL AND c IS NOT NULL")
+    rows = written(rows.withColumn("id", F.monotonically_increasing_id()))
+    n = rows.count()
+    if most_rows and n > most_rows:
+        rows = written(rows.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(math.ceil(n / most_rows))) == 0))
+        n = rows.count()
+    sizes = rows.groupBy(F.col("c").alias("other")).agg(F.count(F.lit(1)).alias("n"))
+    if len(sizes.limit(2).collect()) < 2:
+        raise ValueError("needs at least two clusters")
+    blocks = math.ceil(n / SILHOUETTE_BLOCK)
+    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame({"id": [], "c": [], "other": [], "s": []})
+        x, y = np.vstack(a["v"].to_numpy()), np.vstack(b["v"].to_numpy())
+        names, codes = np.unique(b["c"].to_numpy().astype(str), return_inverse=True)
+        sums = np.zeros((len(x), len(names)))
+        for i in range(0, len(x), 64):  # differences, not squares of products: no digits are lost between near rows
+            gap = np.sqrt(((x[i : i + 64, None, :] - y[None, :, :]) ** 2).sum(axis=2))
+            for k in range(len(names)):
+                sums[i : i + 64, k] = gap[:, codes == k].sum(axis=1)
+        return pd.DataFrame(
+            {"id": np.repeat(a["id"].to_numpy(), len(names)), "c": np.repeat(a["c"].to_numpy(), len(names)), "other": np.tile(names, len(x)), "s": sums.ravel()}
+        )
+
+    left = rows.select("id", "c", "v", own.alias("p"), every.alias("q")).groupBy("p", "q")
+    right = rows.select("id", "c", "v", own.alias("q"), every.alias("p")).groupBy("p", "q")
+    sums = left.cogroup(right).applyInPandas(run, "id long, c string, other string, s double")
+    means = sums.groupBy("id", "c", "other").agg(F.sum("s").alias("s")).join(F.broadcast(sizes), "other")  # a row per cluster
+    inside = F.max(F.when(F.col("other") == F.col("c"), F.col("s") / F.nullif(F.col("n") - 1, F.lit(0))))
+    outside = F.min(F.when(F.col("other") != F.col("c"), F.col("s") / F.col("n")))
+    rated = means.groupBy("id").agg(inside.alias("a"), outside.alias("b"))
+    value = F.when(F.col("a").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0)))
+    return float(rated.agg(F.avg(F.coalesce(value, F.lit(0.0)))).first()[0])
+
+
 def cluster_scores(
     df: DataFrame, features: str, min_clusters: int = 2, max_clusters: int = 10, metric: str = "davies_bouldin", seed: int = 42
 ) -> DataFrame:
-    """(clusters, score, best) for every cluster count in the range."""
+    """(clusters, score, best) for every cluster count in the range, by one of `METRICS`."""
+    measure = METRICS[metric]
     data = df.select(features).persist()
     scores = []
     try:
         for k in range(min_clusters, max_clusters + 1):
             model = KMeans(featuresCol=features, predictionCol="__cluster", k=k, seed=seed).fit(data)
             out = model.transform(data)
-            value = davies_bouldin(out, features, "__cluster") if metric == "davies_bouldin" else silhouette(out, features, "__cluster")
-            scores.append((k, float(value)))
+            scores.append((k, float(measure(out, features, "__cluster"))))
     finally:
         data.unpersist()
     return df.sparkSession.createDataFrame(best_score(scores, metric), "clusters int, score double, best boolean")
@@ -75,5 +126,11 @@ def find_optimal_clusters_db(df: DataFrame, features: str, min_clusters: int = 2
     return cluster_scores(df, features, min_clusters, max_clusters, "davies_bouldin", seed).where("best").first()["clusters"]
 
 
-def find_optimal_clusters_silhouette(df: DataFrame, features: str, min_clusters: int = 2, max_clusters: int = 10, seed: int = 42) -> int:
-    return cluster_scores(df, features, min_clusters, max_clusters, "silhouette", seed).where("best").first()["clusters"]
+def find_optimal_clusters_silhouette(
+    df: DataFrame, features: str, min_clusters: int = 2, max_clusters: int = 10, seed: int = 42, metric: str = "silhouette"
+) -> int:
+    """By squared distances in one pass, or with `metric="silhouette_euclidean"` by plain ones over all pairs."""
+    return cluster_scores(df, features, min_clusters, max_clusters, metric, seed).where("best").first()["clusters"]
+
+
+METRICS = {"davies_bouldin": davies_bouldin, "silhouette": silhouette, "silhouette_euclidean": euclidean_silhouette}

@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskloom.operators.clusters import as_vectors
 from riskloom.plans.frames import settle, written
+from riskloom.session import shared_folder
+from riskloom.sources.versions import VersionedTable
 
 BROADCAST_NUMBERS = 4_000_000
 QUERY_BLOCK = 2_048
@@ -139,6 +142,135 @@ def cosine_top_k(
     return _merge(found, k).select("query_id", "id", F.round("distance", digits).alias("distance"), "rank")
 
 
+#: Bounds of what an index is fitted on: rows for the centres, most cells, queries for the probes.
+FIT_ROWS, MOST_CELLS, FIT_QUERIES = 200_000, 4_096, 2_000
+#: The recall that probes are chosen for; a little above the 0.9 that a search has to reach on other queries.
+TARGET_RECALL = 0.95
+
+
+class CosineIndex:
+    """A kept approximate index: k-means centres, rows in folders by cell, and probes chosen by measured recall.
+
+    `<path>/rows` is a versioned table of (id, vector, cell) partitioned by cell, `<path>/about` holds the centres and the
+    calibration. Centres are fitted on about `fit_rows` rows chosen by a hash of the key (all rows when fewer), probes on
+    rows that serve as queries; every row is indexed. `add` places new rows in the cells there are; `calibrate`
+    measures again. A search reads the folders of the probed cells only. Zero vectors have no direction: they are
+    left out and never match.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.rows = VersionedTable(spark, f"{self.path}/rows")
+        about = spark.read.parquet(f"{self.path}/about").first()
+        self.cells, self.probes = about["cells"], about["probes"]
+        self.recall, self.k = about["recall"], about["k"]
+        self._centres = np.array(about["centres"], dtype=np.float64).reshape(self.cells, -1)  # at most 4,096 rows
+
+    @classmethod
+    def build(
+        cls, base: DataFrame, path: str, key: str = "id", vector: str = "embedding", cells: int | None = None, k: int = 10,
+        target: float | None = TARGET_RECALL, seed: int = 42, fit_rows: int = FIT_ROWS, rounds: int = 20,
+    ) -> CosineIndex:
+        """Fit, place and calibrate; `cells` is the square root of the rows up to 4,096 unless given.
+
+        Without a `target` nothing is measured and all cells are probed.
+        """
+        spark = base.sparkSession
+        b = _named(base, key, vector, "id").where(_turned())
+        units = written(as_vectors(b.withColumn("unit", _unit_column("vector")), "unit", "features"))
+        n = units.count()
+        if not n:
+            raise ValueError("no rows with a direction to index")
+        cells = min(cells, n) if cells else min(MOST_CELLS, math.isqrt(n))
+        share = max(1, n // max(fit_rows, cells))
+        sample = units.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(share)) == 0) if share > 1 else units
+        model = KMeans(featuresCol="features", predictionCol="cell", k=cells, seed=seed, maxIter=rounds).fit(sample)
+        centres = np.array(model.clusterCenters())
+        placed = model.transform(units).select("id", "vector", "cell").repartition("cell")
+        VersionedTable(spark, f"{path.rstrip('/')}/rows").write(placed, ["cell"])
+        _about(spark, path, centres, len(centres), 1.0, k)
+        index = cls(spark, path)
+        if target is not None:
+            index.calibrate(k, target)
+        return index
+
+    def nearest_cells(self, queries: DataFrame, probes: int, rank: bool = False) -> DataFrame:
+        """(query_id, vector, cell) for the cells nearest to each query, with `place` from 0 if `rank`."""
+        centres = self.spark.sparkContext.broadcast(self._centres)
+        fields = [queries.schema["query_id"], queries.schema["vector"], T.StructField("cell", T.IntegerType())]
+        fields += [T.StructField("place", T.IntegerType())] if rank else []
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            c = centres.value
+            for pdf in batches:
+                for start in range(0, len(pdf), STEP):
+                    rows = pdf.iloc[start : start + STEP]
+                    gap = (c * c).sum(axis=1) - 2.0 * (_unit(rows["vector"]) @ c.T)  # |x| is the same for all cells
+                    nearest = np.argsort(gap, axis=1, kind="stable")[:, :probes]
+                    wide = rows.loc[rows.index.repeat(nearest.shape[1])].assign(cell=nearest.ravel().astype(np.int32))
+                    yield wide.assign(place=np.tile(np.arange(nearest.shape[1], dtype=np.int32), len(rows))) if rank else wide
+
+        return queries.select("query_id", "vector").mapInPandas(run, T.StructType(fields))
+
+    def calibrate(self, k: int | None = None, target: float = TARGET_RECALL) -> int:
+        """Choose the probes: the fewest nearest cells that hold `target` of the exact `k` nearest rows of the queries.
+
+        Queries are the rows whose id (or, for other keys, its hash) is divisible by 50, at most about 2,000 of them by
+        hash; each is compared with all rows, itself left out. One pass tells for every neighbour how many cells a
+        search has to look into, so all settings are measured at once.
+        """
+        k = k or self.k
+        rows = self.rows.read()
+        number = F.col("id") if isinstance(rows.schema["id"].dataType, T.IntegralType) else F.xxhash64("id")
+        asked = rows.where(F.pmod(number, F.lit(50)) == 0)
+        n = asked.count()
+        if not n:
+            asked, n = rows, rows.count()
+        share = max(1, n // FIT_QUERIES)
+        asked = asked.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(share)) == 0) if share > 1 else asked
+        queries = written(asked.select(F.col("id").alias("query_id"), "vector"))
+        exact = _merge(_by_broadcast(queries, rows.select("id", "vector"), k, True), k).select("query_id", "id")
+        ranked = self.nearest_cells(queries, self.cells, rank=True).select("query_id", "cell", "place")
+        needed = exact.join(rows.select("id", "cell"), "id").join(ranked, ["query_id", "cell"])
+        counts = sorted((r["place"], r["n"]) for r in needed.groupBy("place").agg(F.count(F.lit(1)).alias("n")).collect())  # one row per cell
+        total, found, probes = sum(c for _, c in counts), 0, self.cells
+        for place, c in counts:
+            found += c
+            if found >= target * total:
+                probes = place + 1
+                break
+        self.probes, self.k, self.recall = probes, k, found / total if total else 1.0
+        _about(self.spark, self.path, self._centres, probes, self.recall, k)
+        return probes
+
+    def add(self, rows: DataFrame, key: str = "id", vector: str = "embedding") -> int:
+        """Publish the index with more rows, each in its nearest cell."""
+        new = _named(rows, key, vector, "query_id").where(_turned())
+        placed = self.nearest_cells(new, 1).withColumnRenamed("query_id", "id")
+        return self.rows.append(placed.repartition("cell"), ["cell"])
+
+    def search(
+        self, queries: DataFrame, k: int = 3, key: str = "id", vector: str = "embedding", probes: int | None = None, skip_same: bool = False, digits: int = 4
+    ) -> DataFrame:
+        """(query_id, id, distance, rank) among the rows of the probed cells; with `probes` of all cells it is exact."""
+        q = _named(queries, key, vector, "query_id").where(_turned())
+        near = written(self.nearest_cells(q, min(probes or self.probes, self.cells)))
+        asked = [r["cell"] for r in near.select("cell").distinct().collect()]  # at most 4,096
+        rows = self.rows.read().where(F.col("cell").isin(asked) if asked else F.lit(False))
+        found = _by_blocks(near, rows, k, skip_same)
+        return _merge(found, k).select("query_id", "id", F.round("distance", digits).alias("distance"), "rank")
+
+
+def _turned() -> Column:
+    return F.exists("vector", lambda x: x != 0)
+
+
+def _about(spark: SparkSession, path: str, centres: np.ndarray, probes: int, measured: float, k: int) -> None:
+    row = [(len(centres), int(probes), float(measured), int(k), centres.ravel().tolist())]
+    about = spark.createDataFrame(row, "cells int, probes int, recall double, k int, centres array<double>")
+    about.coalesce(1).write.mode("overwrite").parquet(f"{path.rstrip('/')}/about")
+
+
 def cosine_top_k_approximate(
     queries: DataFrame,
     base: DataFrame,
@@ -146,46 +278,25 @@ def cosine_top_k_approximate(
     key: str = "id",
     vector: str = "embedding",
     cells: int | None = None,
-    probes: int = 8,
+    probes: int | None = None,
     seed: int = 42,
     skip_same: bool = False,
     digits: int = 4,
-    fit_rows: int = 200_000,
+    fit_rows: int = FIT_ROWS,
     rounds: int = 20,
 ) -> DataFrame:
-    """Top-k among the `probes` k-means cells nearest to the query; exact when probes >= cells.
+    """Top-k among the k-means cells nearest to the query; exact when probes >= cells.
 
-    `cells` is the square root of the base rows unless given. The cells are fitted in `rounds` rounds on
-    about `fit_rows` rows chosen by a hash of the key; every row is then placed in a cell, and big cells are cut
-    into blocks. Zero vectors have no direction: they are left out of the cells and never match.
+    Builds a `CosineIndex` in the shared folder and searches it once. Unless given, `cells` is the square root of the
+    base rows up to 4,096, and `probes` is chosen by recall measured on rows of the base, so it grows with the cells.
     """
-    turned = F.exists("vector", lambda x: x != 0)
-    q, b = _named(queries, key, vector, "query_id").where(turned), _named(base, key, vector, "id").where(turned)
-    units = written(as_vectors(b.withColumn("unit", _unit_column("vector")), "unit", "features"))
-    n = units.count()
-    if not n:
-        return _by_broadcast(q.limit(0), b, k, skip_same).withColumn("rank", F.lit(1))
-    cells = cells or max(1, math.isqrt(n))
-    share = max(1, n // max(fit_rows, cells))
-    sample = units.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(share)) == 0) if share > 1 else units
-    model = KMeans(featuresCol="features", predictionCol="cell", k=cells, seed=seed, maxIter=rounds).fit(sample)
-    placed = model.transform(units).select("id", "vector", "cell")
-    # cells x dimensions numbers: the square root of the base
-    centres = q.sparkSession.sparkContext.broadcast(np.array(model.clusterCenters()))
-    near = T.StructType([*_schema(q, b).fields[:1], T.StructField("vector", q.schema["vector"].dataType), T.StructField("cell", T.IntegerType())])
-
-    def nearest_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = centres.value
-        for pdf in batches:
-            for start in range(0, len(pdf), STEP):
-                rows = pdf.iloc[start : start + STEP]
-                gap = (c * c).sum(axis=1) - 2.0 * (_unit(rows["vector"]) @ c.T)  # |x| is the same for all cells
-                nearest = np.argsort(gap, axis=1, kind="stable")[:, :probes]
-                wide = rows.loc[rows.index.repeat(nearest.shape[1])]
-                yield wide.assign(cell=nearest.ravel().astype(np.int32))
-
-    found = _by_blocks(q.select("query_id", "vector").mapInPandas(nearest_cells, near), placed, k, skip_same)
-    return _merge(found, k).select("query_id", "id", F.round("distance", digits).alias("distance"), "rank")
+    turned = _named(base, key, vector, "id").where(_turned())
+    if not turned.limit(1).collect():
+        empty = _by_broadcast(_named(queries, key, vector, "query_id").limit(0), turned, k, skip_same)
+        return empty.withColumn("rank", F.lit(1))
+    path = shared_folder(base.sparkSession, "indexes", uuid.uuid4().hex)
+    index = CosineIndex.build(base, path, key, vector, cells, max(k, 10), None if probes else TARGET_RECALL, seed, fit_rows, rounds)
+    return index.search(queries, k, key, vector, probes, skip_same, digits)
 
 
 def _unit_column(name: str):

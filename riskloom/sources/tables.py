@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,6 +48,53 @@ def read_table(
     return df.orderBy(order_by) if order_by else df
 
 
+def ordered_chunks(df: DataFrame, order_by: str, chunk_size: int = 1000, ties: Sequence[str] = ()) -> DataFrame:
+    """`df` with `chunk` and `place`, both from 0: chunks of `chunk_size` rows in the order of any numeric, date or text key.
+
+    Rows are range-partitioned by the key and numbered range by range, so nothing is sorted whole and no offset is
+    paged over. `ties` order rows of one key, then a hash of the row does; missing keys come first.
+    """
+    if chunk_size < 1:
+        raise ValueError("a chunk holds at least one row")
+    order = F.struct(order_by, *ties, F.xxhash64(*df.columns).alias("__hash"))
+    numbered = dense_numbers(df.withColumn("__order", order), "__order", "place").drop("__order")
+    return numbered.withColumn("chunk", F.floor(F.col("place") / chunk_size))
+
+
+def chunk_bounds(df: DataFrame, order_by: str, chunk_size: int = 1000) -> DataFrame:
+    """(chunk, low, high, rows): key ranges of about `chunk_size` rows that hold every row with a key once.
+
+    A key with more rows than a chunk is a range of its own with all of them. Only keys and their counts are ranked.
+    """
+    keys = df.where(F.col(order_by).isNotNull()).groupBy(order_by).agg(F.count(F.lit(1)).alias("n"))
+    numbered = ordered_chunks(keys, order_by, 1).withColumnRenamed("place", "at").drop("chunk")
+    lanes = numbered.withColumn("lane", F.floor(F.col("at") / LANE_KEYS))
+    inside = Window.partitionBy("lane").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = lanes.groupBy("lane").agg(F.sum("n").alias("total"))
+    lower = Window.orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)  # one row per hundred thousand keys
+    below = sizes.select("lane", F.coalesce(F.sum("total").over(lower), F.lit(0)).alias("below"))
+    before = F.col("below") + F.coalesce(F.sum("n").over(inside), F.lit(0))
+    counted = lanes.join(F.broadcast(below), "lane").select(order_by, "n", F.floor(before / chunk_size).alias("slot"))
+    found = counted.groupBy("slot").agg(F.min(order_by).alias("low"), F.max(order_by).alias("high"), F.sum("n").alias("rows"))
+    return ordered_chunks(found, "slot", 1).select("chunk", "low", "high", "rows")
+
+
+#: Keys that one task adds up in a row.
+LANE_KEYS = 100_000
+
+
+def range_predicates(bounds: DataFrame, order_by: str) -> list[str]:
+    """One condition per chunk for a partitioned read over JDBC (`spark.read.jdbc(predicates=...)`), in key order.
+
+    The first one takes the rows without a key, too.
+    """
+    rows = bounds.orderBy("chunk").select(F.col("low").cast("string"), F.col("high").cast("string")).collect()  # one row per task of the read
+    numeric = isinstance(bounds.schema["low"].dataType, T.NumericType)
+    told = [[x if numeric else quoted_list([x]) for x in r] for r in rows]
+    spans = [f"{order_by} >= {low} AND {order_by} <= {high}" for low, high in told]
+    return [f"({s}) OR {order_by} IS NULL" if i == 0 else s for i, s in enumerate(spans)]
+
+
 def count_records(spark: SparkSession, table: str) -> DataFrame:
     return spark.table(table).agg(F.count(F.lit(1)).alias("records"))
 

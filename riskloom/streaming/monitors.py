@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from riskloom.functions.text import content_hash
 from riskloom.operators.policy import confidence_level, risk_label, should_escalate, should_retrieve
@@ -111,18 +113,29 @@ def drift(
 
 
 def matched_outcomes(
-    scores: DataFrame, outcomes: DataFrame, key: str = "record_id", within: str = "30 days", delay: str = "1 hour"
+    scores: DataFrame, outcomes: DataFrame, key: str = "record_id", within: str = "30 days", delay: str = "1 hour", keep_open: bool = False
 ) -> DataFrame:
     """Scores with the outcome that arrives within a time bound; the bound limits the join state.
 
     `scores` has (key, ts, confidence_level, is_loss_making_prediction), `outcomes` (key, outcome_ts,
-    is_loss_making).
+    is_loss_making). With `keep_open` scores without an outcome come too, with missing outcome columns: on a stream once the
+    watermark has passed their bound, so each score is emitted once as matched or as open.
     """
     left, right = scores, outcomes.withColumnRenamed(key, "__key")
     if scores.isStreaming:
         left, right = left.withWatermark("ts", delay), right.withWatermark("outcome_ts", delay)
     bound = (F.col("outcome_ts") >= F.col("ts")) & (F.col("outcome_ts") <= F.col("ts") + F.expr(f"INTERVAL {within}"))
-    return left.join(right, (F.col(key) == F.col("__key")) & bound).drop("__key")
+    return left.join(right, (F.col(key) == F.col("__key")) & bound, "left" if keep_open else "inner").drop("__key")
+
+
+def calibration_with_open(matched: DataFrame) -> DataFrame:
+    """`calibration` of `matched_outcomes(keep_open=True)` with the number of scores per band that stayed open."""
+    closed = F.col("outcome_ts").isNotNull()
+    hit = closed & (F.col("is_loss_making_prediction") == F.col("is_loss_making"))
+    return matched.groupBy("confidence_level").agg(
+        F.count_if(closed).alias("closed"), F.count_if(hit).alias("right"), F.count_if(~closed).alias("open"),
+        (F.count_if(hit) / F.nullif(F.count_if(closed), F.lit(0))).alias("accuracy"),
+    )
 
 
 def calibration(matched: DataFrame) -> DataFrame:
@@ -155,3 +168,27 @@ def first_content(df: DataFrame, text: str = "text", ts: str = "ts", delay: str
         return hashed.withWatermark(ts, delay).dropDuplicatesWithinWatermark(["content_hash"])
     first = hashed.groupBy("content_hash").agg(F.min_by(F.struct(*df.columns), F.struct(ts, *tie)).alias("__row"))
     return first.select("__row.*", "content_hash")
+
+
+#: Groups that rows of one window are dealt into while late ones are counted.
+LATE_LANES = 16
+
+
+def late_rows(df: DataFrame, ts: str = "ts", size: str = "24 hours", slide: str = "1 hour", delay: str = "2 hours") -> DataFrame:
+    """(window_start, late): rows of a stream that came when their window was closed, per micro-batch and lane.
+
+    The side sink of a monitor in append mode: with the same size, slide and delay it counts what the monitor leaves out, so
+    emitted rows and late ones add up. No state is kept. Windows are dealt into lanes by the row's time, so a busy one is
+    not one group.
+    """
+    rows = df.withWatermark(ts, delay).select(ts, F.window(ts, size, slide).alias("w"), F.pmod(F.xxhash64(ts), F.lit(LATE_LANES)).alias("lane"))
+    keyed = rows.select(ts, F.col("w.start").alias("window_start"), F.unix_millis("w.end").alias("end"), "lane")
+
+    def count(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        start, end, _ = key
+        n = sum(len(b) for b in batches)
+        if end <= state.getCurrentWatermarkMs():
+            yield pd.DataFrame({"window_start": [start], "late": [n]})
+
+    grouped = keyed.groupBy("window_start", "end", "lane")
+    return grouped.applyInPandasWithState(count, "window_start timestamp, late long", "n long", "append", GroupStateTimeout.NoTimeout)
