@@ -75,18 +75,19 @@ STOP_FOLDS, STOP_GAIN = 5, 0.001
 
 
 def fit_boosted(df: DataFrame, features: Sequence[str], estimator: GBTClassifier, key: str, seed: int = 42) -> tuple[PipelineModel, int]:
-    """Boosted trees that stop when rows held back gain nothing more, refitted on all rows with that many rounds.
+    """Boosted trees that stop when rows held back gain nothing more, and their number of rounds.
 
-    A fifth of the rows, chosen by a hash of the key, are validated on after every round. `maxIter` is the most rounds;
-    where either part would be empty all rounds are fitted.
+    A fifth of the rows, chosen by a hash of the key, are not fitted but validated on after every round; `maxIter` is the
+    most rounds. Where either part would be empty all rounds are fitted on all rows. To use every row, fit again with
+    the rounds as `maxIter`.
     """
     marked = df.withColumn("__stop", fold_of(key, STOP_FOLDS, seed) == 0)
     parts = marked.agg(F.count_if("__stop").alias("held"), F.count_if(~F.col("__stop")).alias("fit")).first()
     if not parts["held"] or not parts["fit"]:
         return fit_one(df, features, estimator), estimator.getMaxIter()
     watched = estimator.copy({estimator.validationIndicatorCol: "__stop", estimator.validationTol: STOP_GAIN})
-    rounds = max(1, fit_one(marked, features, watched).stages[-1].getNumTrees)
-    return fit_one(df, features, estimator.copy({estimator.maxIter: rounds})), rounds
+    model = fit_one(marked, features, watched)
+    return model, max(1, model.stages[-1].getNumTrees)
 
 
 def given_model(weights: dict[str, float], intercept: float, target: str) -> TrainedModel:
@@ -126,7 +127,7 @@ def train_candidates(
 ) -> TrainedModel:
     """Fit every candidate, choose by validation area, refit the winner on all training rows.
 
-    Positive rows weigh n_neg / n_pos in the boosted trees, which stop by `fit_boosted` and are refitted with the
+    Positive rows weigh n_neg / n_pos in the boosted trees, which stop by `fit_boosted`; their refit has the
     rounds of the first fit. The test frame is only reported on.
     """
     labelled = written(train.withColumn(target, F.col(target).cast("int")).select(key, target, *features))

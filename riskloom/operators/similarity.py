@@ -25,6 +25,8 @@ STEP = 512
 
 
 def _unit(vectors: pd.Series) -> np.ndarray:
+    if not len(vectors):
+        return np.zeros((0, 0))
     m = np.vstack(vectors.to_numpy()).astype(np.float64)
     norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
     with np.errstate(invalid="ignore", divide="ignore"):

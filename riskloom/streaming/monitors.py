@@ -187,8 +187,8 @@ def late_rows(df: DataFrame, ts: str = "ts", size: str = "24 hours", slide: str
     def count(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         start, end, _ = key
         n = sum(len(b) for b in batches)
-        if end <= state.getCurrentWatermarkMs():
-            yield pd.DataFrame({"window_start": [start], "late": [n]})
+        yield pd.DataFrame({"window_start": [start], "late": [n if end <= state.getCurrentWatermarkMs() else 0]})
 
     grouped = keyed.groupBy("window_start", "end", "lane")
-    return grouped.applyInPandasWithState(count, "window_start timestamp, late long", "n long", "append", GroupStateTimeout.NoTimeout)
+    counted = grouped.applyInPandasWithState(count, "window_start timestamp, late long", "n long", "append", GroupStateTimeout.NoTimeout)
+    return counted.where("late > 0")
