@@ -53,15 +53,26 @@ def _pour(nodes: DataFrame, parents: list[str], level: str) -> DataFrame:
     return ranked.withColumn("grant", given.cast(_BIG)).drop("__taken", "__weights", "__left", "__full", "first")
 
 
+def _checked(weights: Mapping[str, Mapping[str, int]]) -> None:
+    for level, named in weights.items():
+        wrong = {v: w for v, w in named.items() if w != int(w) or w < 0}
+        if wrong:
+            raise ValueError(f"weights of {level} must be whole numbers from 0: {wrong}")
+
+
 def leaf_budgets(
     leaves: DataFrame, levels: Sequence[str], total: int, weights: Mapping[str, Mapping[str, int]], epochs: int
 ) -> DataFrame:
     """`leaves` (levels, tokens) with `capacity` = epochs x tokens and `grant`, the tokens each may give.
 
     Going down, each node's grant is split over its children by weight; a child short of text passes what it
-    lacks to its siblings, and a whole subtree that is short passes the rest to its own siblings.
+    lacks to its siblings, and a whole subtree that is short passes the rest to its own siblings. A value of weight 0
+    is left out with all below it: its leaves have no row.
     """
+    _checked(weights)
     tree = leaves.withColumn("capacity", (F.col("tokens") * epochs).cast(_BIG))
+    for level in levels:
+        tree = tree.where(_weight(level, weights.get(level, {})) > 0)
     grants = None
     for depth, level in enumerate(levels):
         keys = list(levels[: depth + 1])
@@ -92,7 +103,7 @@ def mix(
 
     Leaves are (domain, lang, source). `total` tokens (by default `share` = numerator, denominator of all
     tokens) go down the tree (see `leaf_budgets`); weights are integers per level and value, 1 where not
-    given. A leaf with `grant` tokens uses all its documents in grant div tokens whole epochs, then those
+    given; 0 leaves the value out, negative or broken ones are an error. A leaf with `grant` tokens uses all its documents in grant div tokens whole epochs, then those
     documents that lie, in the seeded order of the next epoch, wholly within the remaining tokens.
 
     The cut in that order is found per leaf: documents are counted per leaf and 12-bit slice of the hash

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -21,6 +22,7 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 _DIGITS = re.compile(r"[0-9]")
 _EDGE = ".,;:!?()[]\"'"
+SHORTEST = 5
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -65,12 +67,21 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
+def _name(word: str, longest: int) -> str:
+    """The word as a key of the graph; a long one is its SHA-256 over all of it, so that no two share a key."""
+    return word if len(word) <= longest else "#" + hashlib.sha256(word.encode()).hexdigest()
+
+
 def _context(token: str | None) -> str:
-    return _DIGITS.sub("0", token.lower())[:64] if token else ""
+    return _name(_DIGITS.sub("0", token.lower()), 64) if token else ""
 
 
 def mentions(text: str, spans: list[tuple[int, int, str]]) -> list[dict]:
-    """Identifiers with their neighbour words: every base span, and every other token with a digit or `@`."""
+    """Identifiers with their neighbour words: every base span, and every other token with a digit or `@`.
+
+    Other tokens count from `SHORTEST` characters on, stripped of marks at their ends: shorter ones are years, counts
+    and list numbers, and no identifier is.
+    """
     if not spans and not _DIGITS.search(text) and "@" not in text:
         return []
     out, tokens = [], [m.span() for m in _TOKEN.finditer(text)]
@@ -84,17 +95,17 @@ def mentions(text: str, spans: list[tuple[int, int, str]]) -> list[dict]:
                     j += 1
                 right = text[slice(*tokens[j])] if j < len(tokens) else None
                 left = text[slice(*tokens[i - 1])] if i else None
-                out.append({"left": _context(left), "right": _context(right), "token": text[s:e][:128], "start": s, "end": e, "kind": kind})
+                out.append({"left": _context(left), "right": _context(right), "token": _name(text[s:e], 128), "start": s, "end": e, "kind": kind})
             covered = max(covered, e)
             k += 1
         word = text[start:end]
         if start >= covered and ("@" in word or _DIGITS.search(word)):
             inner = word.strip(_EDGE)
-            if len(inner) >= 5:
+            if len(inner) >= SHORTEST:
                 s = start + word.index(inner)
                 left = text[slice(*tokens[i - 1])] if i else None
                 right = text[slice(*tokens[i + 1])] if i + 1 < len(tokens) else None
-                out.append({"left": _context(left), "right": _context(right), "token": inner[:128], "start": s, "end": s + len(inner), "kind": None})
+                out.append({"left": _context(left), "right": _context(right), "token": _name(inner, 128), "start": s, "end": s + len(inner), "kind": None})
     return out
 
 
@@ -124,13 +135,14 @@ def extract(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(read, schema)
 
 
-def bootstrap(found: DataFrame, rounds: int = 3, confidence: float = 0.9, support: int = 5) -> DataFrame:
+def bootstrap(found: DataFrame, rounds: int = 3, confidence: float = 0.9, support: int = 5, doubt: float = 0.25) -> DataFrame:
     """(left, right, token, kind) of identifiers that high-confidence contexts add to the base formats.
 
     The graph joins contexts (left word, right word) with the identifiers seen in them; copies of a text add
     nothing, as an edge counts once. Seeds hold score 1 for their kind. Each round a context's confidence
-    is the sum of its identifiers' scores over their number plus two, and an unseen identifier's score is
-    the mean confidence of its contexts. Contexts with `confidence` and at least `support` seeds then give
+    is the sum of its identifiers' scores over their number plus `doubt`, and an unseen identifier's score is
+    the mean confidence of its contexts. With the defaults five seeds of one kind carry two unseen identifiers, and
+    four seeds carry none. Contexts with `confidence` and at least `support` seeds then give
     their kind to identifiers that score as high. All of it is grouping and joining of edge rows.
     """
     edges = found.select(F.inline("mentions")).groupBy("left", "right", "token").agg(F.max("kind").alias("seed"))
@@ -142,7 +154,7 @@ def bootstrap(found: DataFrame, rounds: int = 3, confidence: float = 0.9, suppor
         held = edges.join(scores, "token").groupBy("left", "right", "kind").agg(
             F.sum("score").alias("s"), F.sum((F.col("seed") == F.col("kind")).cast("int")).alias("seeds")
         )
-        contexts = held.join(sizes, ["left", "right"]).select("left", "right", "kind", (F.col("s") / (F.col("n") + 2)).alias("confidence"), "seeds")
+        contexts = held.join(sizes, ["left", "right"]).select("left", "right", "kind", (F.col("s") / (F.col("n") + doubt)).alias("confidence"), "seeds")
         contexts = written(contexts)
         places = edges.where("seed is null").select("left", "right", "token")
         total = places.groupBy("token").agg(F.count("*").alias("n"))

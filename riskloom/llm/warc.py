@@ -81,58 +81,65 @@ def _iso(date: str) -> str:
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 
-def to_records(archives: DataFrame, payloads: bool = True) -> DataFrame:
-    """(key, archive) rows to one row per ARC record with the parts of its WARC equivalent, payload as text.
-
-    Without `payloads` the text stays out (null), for what needs ids and digests only.
-    """
-    schema = "key bigint, uri string, record_id string, date string, type string, head string, payload string, digest string, length bigint"
-
-    def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for key, data in zip(batch.column("key").to_pylist(), batch.column("archive"), strict=True):
-                rows = []
-                for r in parse_arc(data.as_py()):
-                    digest = hashlib.sha256(r["payload"]).hexdigest()
-                    name = uuid.uuid5(uuid.NAMESPACE_URL, f"{key}:{r['offset']}:{r['url']}:{r['date']}:{digest}")
-                    text = r["payload"].decode("utf-8") if payloads else None
-                    rows.append((key, r["url"], f"<urn:uuid:{name}>", _iso(r["date"]), r["type"], r["head"].decode("latin-1"), text, digest, len(r["payload"])))
-                names = [f.split()[0] for f in schema.split(", ")]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, pa.int64() if n in ("key", "length") else pa.string()) for n, c in zip(names, zip(*rows, strict=True), strict=True)], names
-                ) if rows else pa.RecordBatch.from_pylist([], pa.schema([(n, pa.int64() if n in ("key", "length") else pa.string()) for n in names]))
-
-    return archives.mapInArrow(convert, schema)
+_RECORD = "key bigint, uri string, record_id string, date string, type string, head string, payload string, digest string, length bigint"
+_RECORD_NAMES = [f.split()[0] for f in _RECORD.split(", ")]
+_RECORD_KINDS = [pa.int64() if n in ("key", "length") else pa.string() for n in _RECORD_NAMES]
+
+
+def _convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The records of the archives of each (key, archive) batch; an archive's records are a batch."""
+    for batch in batches:
+        for key, data in zip(batch.column("key").to_pylist(), batch.column("archive"), strict=True):
+            rows = []
+            for r in parse_arc(data.as_py()):
+                digest = hashlib.sha256(r["payload"]).hexdigest()
+                name = uuid.uuid5(uuid.NAMESPACE_URL, f"{key}:{r['offset']}:{r['url']}:{r['date']}:{digest}")
+                rows.append((key, r["url"], f"<urn:uuid:{name}>", _iso(r["date"]), r["type"], r["head"].decode("latin-1"), r["payload"].decode("utf-8"), digest, len(r["payload"])))
+            columns = list(zip(*rows, strict=True)) or [()] * len(_RECORD_NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _RECORD_KINDS, strict=True)], _RECORD_NAMES)
+
+
+def _images(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, archive) of each (page_id, url, html) batch, in pieces of about 8 MB."""
+    for batch in batches:
+        keys, out, size = batch.column("page_id").to_pylist(), [], 0
+        for key, url, html in zip(keys, batch.column("url"), batch.column("html"), strict=True):
+            n = key or 0
+            out.append(arc_archive(url.as_py() or "", html.as_py() or "", 1 + n % 2, f"2000010100{n // 60 % 60:02d}{n % 60:02d}", f"pages-{n % 97}.arc"))
+            size += len(out[-1])
+            if size > 8 << 20:
+                yield pa.RecordBatch.from_arrays([pa.array(keys[: len(out)], pa.int64()), pa.array(out, pa.binary())], ["key", "archive"])
+                keys, out, size = keys[len(out) :], [], 0
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.binary())], ["key", "archive"])
+
+
+def to_records(archives: DataFrame) -> DataFrame:
+    """(key, archive) rows to one row per ARC record with the parts of its WARC equivalent, payload as text."""
+    return archives.mapInArrow(_convert, _RECORD)
 
 
 def pages_to_arc(pages: DataFrame) -> DataFrame:
     """(key, archive): an ARC file image per page, versions 1 and 2 in turn by page_id; null url or html is empty."""
+    return pages.select("page_id", "url", "html").mapInArrow(_images, "key bigint, archive binary")
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, out = batch.column("page_id").to_pylist(), []
-            for key, url, html in zip(keys, batch.column("url"), batch.column("html"), strict=True):
-                n = key or 0
-                out.append(arc_archive(url.as_py() or "", html.as_py() or "", 1 + n % 2, f"2000010100{n // 60 % 60:02d}{n % 60:02d}", f"pages-{n % 97}.arc"))
-                if sum(map(len, out)) > 8 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[: len(out)], pa.int64()), pa.array(out, pa.binary())], ["key", "archive"])
-                    keys, out = keys[len(out) :], []
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.binary())], ["key", "archive"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(build, "key bigint, archive binary")
+def pages_to_records(pages: DataFrame) -> DataFrame:
+    """`to_records(pages_to_arc(pages))` in one pass: the images never leave the task that parses them."""
+    return pages.select("page_id", "url", "html").mapInArrow(lambda batches: _convert(_images(batches)), _RECORD)
+
 
+def write_warc(records: DataFrame, path: str, records_per_file: int = 4000) -> None:
+    """Writes the records of `to_records` as gzipped WARC 1.0 text files below `path`.
 
-def write_warc(archives: DataFrame, path: str, records_per_file: int = 4000) -> None:
-    """Converts (key, archive) rows and writes them as gzipped WARC 1.0 text files below `path`.
+    The conversion is done once and kept in the shared folder; ids and digests are read from there without payloads.
 
     Of records with one digest and a payload of at least 100 bytes the smallest key is the response, the
     others are revisits without payload; smaller ones are all responses. Only (key, digest) rows are grouped
     and joined for that, so a page copied into a third of all rows is a partial row per task and payloads are
     shuffled once, by key.
     """
-    records = to_records(archives)
-    heads = to_records(archives, payloads=False)
-    large = written(heads.where(F.col("length") >= SMALLEST_REVISIT).select("key", "record_id", "digest"))
+    records = written(records)
+    large = written(records.where(F.col("length") >= SMALLEST_REVISIT).select("key", "record_id", "digest"))
     first = large.groupBy("digest").agg(F.min(F.struct(F.col("key").isNull(), "key", "record_id")).alias("f"), F.count("*").alias("n")).where("n > 1")
     again = large.select("key", "digest").distinct().join(first, "digest").where(~F.col("key").eqNullSafe(F.col("f.key")))
     again = again.select(F.col("key").alias("__k"), F.col("digest").alias("__d"), F.col("f.key").alias("refers"), F.col("f.record_id").alias("refers_id"))
@@ -233,5 +240,5 @@ def convert_pages(pages: DataFrame, path: str, payloads: bool = True) -> DataFra
     repeat a page_id with one payload are all responses if it is the smallest. Other columns are ignored; an
     empty table gives no rows.
     """
-    write_warc(pages_to_arc(pages), path)
+    write_warc(pages_to_records(pages), path)
     return read_warc(pages.sparkSession, path, payloads).withColumnRenamed("key", "page_id")

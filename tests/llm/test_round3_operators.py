@@ -214,3 +214,45 @@ def test_rewrites_name_the_words_to_replace(spark):
     docs = spark.createDataFrame([(1, "colourx Colourx other"), (2, None)], "doc_id long, text string")
     groups = spark.createDataFrame([("colourx", "colours", "colours"), ("colours", None, "colours")], "word string, form string, root string")
     assert [tuple(r) for r in variants.rewrite(docs, groups).collect()] == [(1, "colourx", "colours", 2)]
+
+
+# ---- mended operators ----
+
+
+def test_weight_zero_leaves_a_source_out(spark):
+    from riskloom.llm import mixing
+
+    rows = [(i, "w " * 20, ("de", "en")[i % 2], f"s{i % 5}") for i in range(200)]
+    docs = spark.createDataFrame([(*r, "d", 1, 2.0) for r in rows], "doc_id long, text string, lang string, source string, domain string, n_tokens int, __n double").drop("__n")
+    drawn = mixing.mix(docs, share=(1, 2), weights={"lang": {"de": 0}, "source": {"s1": 3}}).collect()
+    assert drawn and {r["lang"] for r in drawn} == {"en"}
+    total = sum(r["n_tokens"] * r["copies"] for r in drawn)
+    assert 1900 <= total <= 2000  # what the zero leaves goes to the others
+    assert mixing.mix(docs, weights={"lang": {"de": 0, "en": 0}}).count() == 0
+    for bad in (-1, 0.5):
+        with pytest.raises(ValueError):
+            mixing.mix(docs, weights={"lang": {"de": bad}})
+
+
+@pytest.mark.parametrize(("seeds", "added"), [(4, 0), (5, 1), (10, 1), (20, 1)])
+def test_support_decides_what_a_context_adds(spark, seeds, added):
+    from riskloom.llm import pii
+
+    rows = [(i, f"please mail bob{i}@b.com today", "x") for i in range(seeds)] + [(900, "please mail bob(at)b77 today", "x"), (901, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, base string")
+    out = {r["doc_id"]: [(s["start"], s["end"], s["kind"]) for s in r["added"]] for r in pii.find(docs).collect()}
+    assert sum(map(len, out.values())) == added and out[900] == [(12, 22, "email")] * added
+
+
+def test_long_identifiers_with_one_prefix_are_two(spark):
+    from riskloom.llm import pii
+
+    long = "id-7" + "x" * 300
+    rows = [(i, f"please mail bob{i}@b.com today") for i in range(30)] + [(100, f"please mail {long}a today"), (101, f"other words {long}b here")]
+    rows += [(200 + i, f"{'w' * 100}{i % 2} n{i}@c.org {'v' * 100}") for i in range(30)] + [(300, f"{'w' * 100}2 zz-99-zz {'v' * 100}")]
+    out = {r["doc_id"]: len(r["added"]) for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[100] == 1 and out[101] == 0
+    # digits of a context are one, so the last row is in a known context; another letter behind the prefix is not
+    assert out[300] == 1
+    rows[-1] = (300, f"{'w' * 100}x zz-99-zz {'v' * 100}")
+    assert {r["doc_id"]: len(r["added"]) for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}[300] == 0
