@@ -159,8 +159,7 @@ URLS = """
       FROM parts LEFT JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
       GROUP BY page_id, host, path
     ), shaped AS (
-      SELECT *, list_transform(seg[1:6], lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '*' || regexp_extract(x, '([.][A-Za-z]+)$', 1) ELSE x END)
-                || CASE WHEN len(seg) > 6 THEN ['**'] ELSE [] END AS shape
+      SELECT *, list_transform(seg, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '*' || regexp_extract(x, '([.][A-Za-z]+)$', 1) ELSE x END) AS shape
       FROM ruled
     ), patterns AS (
       SELECT host, shape, count(told) AS n, count(*) FILTER (told = 'block') AS k FROM shaped GROUP BY host, shape

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm.common import lower_ascii
+from riskloom.plans.frames import digest_long, written
 
 #: (verdict, host, path) of the rules the query applies.
 RULES = (
@@ -43,7 +44,6 @@ def matched_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str
 def template_tree(
     pages: DataFrame,
     rules: Sequence[tuple[str, str, str]] = RULES,
-    depth: int = 6,
     wide: int = 24,
     likeness: float = 1.96,
     strength: float = 4.0,
@@ -52,14 +52,15 @@ def template_tree(
     """`pages` rows with host, path, rule, template, score and verdict.
 
     Pages under a rule are the labelled ones. Per host, segments with a digit become `*` (a trailing
-    extension stays), as do all children of a node with more than `wide` different ones. Deeper segments than
-    `depth` are one `**`. Each node counts its labelled and blocked pages; a branch whose blocked share is
+    extension stays), as do all children of a node with more than `wide` different ones. The tree is as deep as the
+    paths are. Each node counts its labelled and blocked pages; a branch whose blocked share is
     within `likeness` standard errors of its parent's is merged into the parent, any other shrinks towards the
     parent's score with the weight of `strength` pages; above the host stands 0.5. A template is blocked when its
     score reaches `purity`.
 
     Pages are counted per (host, path pattern) before anything else, so a hot host or template is a few
-    partial rows per task; nothing is collected. A null url, or one without `://`, has an empty host and
+    partial rows per task; nothing is collected. Patterns and nodes are known by the SHA-256 of long names, so a path of
+    thousands of segments costs a short row per segment. A null url, or one without `://`, has an empty host and
     path and forms one template of its own. Repeated rows are judged alike; other columns stay as they are,
     and equally named ones are replaced. Empty tables give empty results.
     """
@@ -68,49 +69,41 @@ def template_tree(
     rows = pages.drop(*clash).withColumn("host", host).withColumn("path", path)
     rule, verdict = matched_rule(F.col("host"), F.col("path"), rules)
     parts = F.split(F.regexp_replace("path", "^/", ""), "/")
-    shape = F.transform(
-        F.slice(parts, 1, depth),
-        lambda s: F.when(s.rlike("[0-9]"), F.concat(F.lit("*"), F.regexp_extract(s, r"(\.[A-Za-z]+)$", 1))).otherwise(s),
-    )
-    shape = F.when(F.size(parts) > depth, F.concat(shape, F.array(F.lit("**")))).otherwise(shape)
-    rows = rows.withColumn("rule", rule).withColumn("verdict", verdict).withColumn("__shape", shape)
+    shape = F.transform(parts, lambda s: F.when(s.rlike("[0-9]"), F.concat(F.lit("*"), F.regexp_extract(s, r"(\.[A-Za-z]+)$", 1))).otherwise(s))
+    rows = rows.withColumns({"rule": rule, "verdict": verdict, "__shape": shape}).withColumn("__name", F.concat_ws("/", "__shape"))
+    rows = rows.withColumn("__name", digest_long("__name"))
 
     blocked = F.sum((F.col("verdict") == "block").cast("long"))
-    patterns = rows.groupBy("host", "__shape").agg(F.count("verdict").alias("labelled"), F.coalesce(blocked, F.lit(0)).alias("blocked"))
-    steps = patterns.select(
-        "*", F.posexplode("__shape").alias("level", "segment")
-    ).withColumn("parent", F.concat_ws("/", F.slice("__shape", F.lit(1), F.col("level"))))
+    patterns = rows.groupBy("host", "__name").agg(
+        F.count("verdict").alias("labelled"), F.coalesce(blocked, F.lit(0)).alias("blocked"), F.first("__shape").alias("__shape")
+    )
+    above = F.concat_ws("/", F.slice("__shape", F.lit(1), F.col("level")))
+    steps = patterns.select("*", F.posexplode("__shape").alias("level", "segment")).withColumn("parent", above)
+    steps = steps.select("host", "__name", "labelled", "blocked", "level", "segment", digest_long("parent").alias("parent"))
     children = steps.groupBy("host", "level", "parent", "segment").agg(F.lit(1).alias("one"))
     broad = children.groupBy("host", "level", "parent").agg(F.sum("one").alias("n")).where(F.col("n") > wide)
     steps = steps.join(broad.withColumn("broad", F.lit(True)), ["host", "level", "parent"], "left")
     general = F.when(F.col("broad"), F.lit("*")).otherwise(F.col("segment"))
     templates = (
         steps.withColumn("segment", general)
-        .groupBy("host", "__shape")
+        .groupBy("host", "__name")
         .agg(
             F.transform(F.array_sort(F.collect_list(F.struct("level", "segment"))), lambda x: x["segment"]).alias("parts"),
             F.first("labelled").alias("labelled"),
             F.first("blocked").alias("blocked"),
         )
     )
-    # the nodes of each template from its host down
-    nodes = templates.select(
-        "host", "__shape", "parts", "labelled", "blocked",
-        F.posexplode(
-            F.concat(
-                F.array(F.lit("")),
-                F.transform(
-                    F.sequence(F.lit(1), F.size("parts")),
-                    lambda k: F.concat(F.lit("/"), F.concat_ws("/", F.slice("parts", F.lit(1), k))),
-                ),
-            )
-        ).alias("at", "node"),
-    )
-    counts = nodes.groupBy("host", "node").agg(F.sum("labelled").alias("n"), F.sum("blocked").alias("k"))
+    templates = written(templates)
+    # the nodes of each template from its host down; 0 is the host
+    nodes = templates.select("host", "__name", "labelled", "blocked", "parts", F.explode(F.sequence(F.lit(0), F.size("parts"))).alias("at"))
+    nodes = nodes.withColumn("node", F.concat_ws("/", F.slice("parts", F.lit(1), F.col("at"))))
+    nodes = nodes.select("host", "__name", "labelled", "blocked", "at", digest_long("node").alias("node"))
+    counts = nodes.groupBy("host", "at", "node").agg(F.sum("labelled").alias("n"), F.sum("blocked").alias("k"))
     chain = (
-        nodes.join(counts, ["host", "node"])
-        .groupBy("host", "__shape")
-        .agg(F.array_sort(F.collect_list(F.struct("at", "n", "k"))).alias("chain"), F.first("parts").alias("parts"))
+        nodes.join(counts, ["host", "at", "node"])
+        .groupBy("host", "__name")
+        .agg(F.array_sort(F.collect_list(F.struct("at", "n", "k"))).alias("chain"))
+        .join(templates.select("host", "__name", "parts"), ["host", "__name"])
     )
     start = F.struct(F.lit(0.5).alias("score"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("k"))
 
@@ -124,13 +117,14 @@ def template_tree(
         return F.when(alike, up).otherwise(kept)
 
     scored = chain.select(
-        "host", "__shape",
+        "host", "__name",
         F.concat(F.lit("/"), F.concat_ws("/", "parts")).alias("template"),
         F.aggregate("chain", start, descend)["score"].alias("score"),
     )
     own = F.when(F.col("score") >= purity, "block").otherwise("allow")
     return (
-        rows.join(scored, ["host", "__shape"], "left")
+        rows.drop("__shape")
+        .join(scored, ["host", "__name"], "left")
         .withColumn("verdict", F.coalesce("verdict", own))
-        .drop("__shape")
+        .drop("__name")
     )

@@ -256,3 +256,15 @@ def test_long_identifiers_with_one_prefix_are_two(spark):
     assert out[300] == 1
     rows[-1] = (300, f"{'w' * 100}x zz-99-zz {'v' * 100}")
     assert {r["doc_id"]: len(r["added"]) for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}[300] == 0
+
+
+def test_templates_are_as_deep_as_their_paths(spark):
+    from riskloom.llm import urls
+
+    deep = "/".join("abcdefg")
+    rules = [("block", "h.org", f"/{deep}/bad/x"), ("allow", "h.org", f"/{deep}/good/x")]
+    rows = [(i, f"http://h.org/{deep}/{'bad' if i % 2 else 'good'}/x{'y' * i}") for i in range(40)]
+    rows += [(100, f"http://h.org/{deep}/bad/other"), (101, f"http://h.org/{deep}/good/other"), (102, "http://h.org/" + "s/" * 3000 + "t"), (103, None)]
+    out = {r["page_id"]: r for r in urls.template_tree(spark.createDataFrame([(*r, "n") for r in rows], "page_id long, url string, node string"), rules).collect()}
+    assert out[100]["verdict"] == "block" and out[101]["verdict"] == "allow"
+    assert out[102]["template"] == "/" + "s/" * 3000 + "t" and out[103]["verdict"] in ("allow", "block") and len(out) == 44
