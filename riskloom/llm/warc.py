@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.plans.frames import written
+from riskloom.session import shared_folder
 
 #: Fields of a record line by the version number of the archive's version block (fixed by the format).
 ARC_FIELDS = {
@@ -138,7 +139,9 @@ def write_warc(records: DataFrame, path: str, records_per_file: int = 4000) -> N
     and joined for that, so a page copied into a third of all rows is a partial row per task and payloads are
     shuffled once, by key.
     """
-    records = written(records)
+    kept = shared_folder(records.sparkSession, "tables", uuid.uuid4().hex)
+    records.write.option("compression", "zstd").parquet(kept)
+    records = records.sparkSession.read.parquet(kept)
     large = written(records.where(F.col("length") >= SMALLEST_REVISIT).select("key", "record_id", "digest"))
     first = large.groupBy("digest").agg(F.min(F.struct(F.col("key").isNull(), "key", "record_id")).alias("f"), F.count("*").alias("n")).where("n > 1")
     again = large.select("key", "digest").distinct().join(first, "digest").where(~F.col("key").eqNullSafe(F.col("f.key")))
