@@ -82,17 +82,25 @@ CHAT = f"""
     ), summed AS (
       SELECT *, CAST(coalesce(sum(tokens) OVER (PARTITION BY conv_id ORDER BY turn, role, text
                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM placed
+    ), led AS (
+      SELECT *, first_value(CASE WHEN role = 'system' THEN tokens ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY before) AS lead FROM summed
+    ), sides AS (
+      SELECT *, greatest(896 - lead, 448) AS body, body - body // 4 AS width FROM led
     ), owned AS (
-      SELECT *, before // 896 AS own, before = 0 AND role = 'system' AS lead FROM summed
+      SELECT *, before // width AS stretch,
+             2 * (before // width) + CASE WHEN before + tokens > (before // width) * width + body THEN 1 ELSE 0 END AS win FROM sides
     ), windows AS (
-      SELECT DISTINCT conv_id, own AS win FROM owned
+      SELECT conv_id, win, min(before) AS first, 1024 - sum(tokens) AS room, max(lead) AS lead,
+             min(before) > 0 AND max(lead) > 0 AND max(lead) <= 1024 - sum(tokens) AS leads
+      FROM owned GROUP BY conv_id, win
     ), copies AS (
-      SELECT conv_id, own AS win, chars FROM owned
+      SELECT conv_id, win, chars, tokens FROM owned
       UNION ALL
-      SELECT o.conv_id, w.win, chars FROM owned o JOIN windows w
-        ON o.conv_id = w.conv_id AND w.win = o.own + 1 AND NOT o.lead AND o.before >= (o.own + 1) * 896 - 128
+      SELECT o.conv_id, w.win, chars, tokens FROM owned o JOIN windows w
+        ON o.conv_id = w.conv_id AND (o.before > 0 OR o.lead = 0) AND o.before + o.tokens <= w.first
+        AND o.before >= w.first - least(128, w.room - CASE WHEN leads THEN w.lead ELSE 0 END)
       UNION ALL
-      SELECT o.conv_id, w.win, chars FROM owned o JOIN windows w ON o.conv_id = w.conv_id AND w.win > 0 AND o.lead
+      SELECT o.conv_id, w.win, chars, tokens FROM owned o JOIN windows w ON o.conv_id = w.conv_id AND w.leads AND o.before = 0
     ), lengths AS (
       SELECT conv_id, CAST(sum(chars + 8) AS BIGINT) AS formatted_chars FROM copies GROUP BY conv_id
     ), told AS (

@@ -39,10 +39,47 @@ def test_chat_windows_read_back(spark):
     made = sorted((w for w in windows.collect() if w.conv_id == 1), key=lambda w: w.window)
     assert len(made) > 5 and all(w.formatted.startswith("<|system|>") for w in made)
     assert all(w.n_repeated >= 1 for w in made[1:]) and any(w.n_repeated > 1 for w in made[1:])
-    assert max(w.tokens for w in made) < 400
+    assert max(w.tokens for w in made) <= 200
     assert chat.chat_windows(turns.limit(0)).count() == 0
 
 
+def test_chat_windows_keep_their_budget(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for conv in range(12):
+        long = 40 if conv % 3 else 900
+        sizes = [rng.integers(1, 400) if conv % 2 else 3, *rng.integers(0, long, 80), 5000, 1, *rng.integers(0, 20, 30)]
+        rows += [(conv, k, "system" if k == 0 and conv % 4 else "user" if k % 2 else "assistant", f"{k}." + "x" * int(n)) for k, n in enumerate(sizes)]
+    turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(4)
+    for budget, history in ((120, 30), (200, 0), (64, 50)):
+        made = chat.chat_windows(turns, budget, history, block=16).collect()
+        size = lambda piece: max(1, -(-len(piece) // 4))
+        told = defaultdict(list)
+        for w in sorted(made, key=lambda w: (w.conv_id, w.window)):
+            pieces = w.formatted.split("<|end|>\n")[:-1]
+            assert w.tokens == sum(map(size, pieces))
+            own = pieces[w.n_repeated :]
+            assert w.tokens <= budget or (len(pieces) == 1 and not w.n_repeated)
+            first = sum(map(size, told[w.conv_id]))
+            system = [p for p in told[w.conv_id][:1] if p.startswith("<|system|>")]
+            left = budget - sum(map(size, own))
+            lead = [p for p in system if size(p) <= left]
+            reach, past, at = min(history, left - sum(map(size, lead))), [], 0
+            for n, p in enumerate(told[w.conv_id]):
+                if at >= first - reach and not (n == 0 and system):
+                    past.append(p)
+                at += size(p)
+            assert pieces[: w.n_repeated] == lead + past
+            told[w.conv_id] += own
+        want = defaultdict(list)
+        for c, _, role, text in rows:
+            want[c].append(f"<|{role}|>\n{text}")
+        assert dict(told) == dict(want)
+    for budget, history in ((10, 10), (10, -1)):
+        with pytest.raises(ValueError):
+            chat.chat_windows(turns, budget, history)
+
+
 def pour(grant, kids):
     """(weight, capacity) per name, filled smallest capacity per weight first."""
     out, left, weights = {}, grant, sum(w for w, _ in kids.values())
