@@ -107,7 +107,7 @@ def sequence_blocks(classes: DataFrame, axes: dict[int, np.ndarray], rows: int,
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        # numbered by partition: rows of two lengths, or two vectors, may share an id
+        # numbered by partition, whatever rows land in it
         numbers = itertools.count(TaskContext.get().partitionId() << 32)
 
         def pack(t: pa.Table) -> pa.RecordBatch:
@@ -267,25 +267,34 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, leading: int = LEADI
 
     Vectors of each length are joined among themselves. Null, zero and non-finite vectors, vectors with null components
     and rows without vec_id link with nothing. A repeated row counts once and is returned as often as it comes.
+    Rows with one vec_id and different vectors are one node of the components; each row counts the links of its own vector.
     Other columns are ignored; an empty table gives no rows.
     """
     rows = vectors.select("vec_id", "embedding")
-    fine = usable(rows)
-    classes = written(fine.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")).select("rep", "n", "v"))
+    classes = usable(rows).groupBy("v").agg(F.min("vec_id").alias("low"), F.count("*").alias("n"))
+    # numbers, not ids, name the classes; the written table fixes them
+    classes = written(classes.select(F.monotonically_increasing_id().alias("rep"), "low", "n", "v"))
     lengths = {r.d: r["count"] for r in classes.groupBy(F.size("v").alias("d")).count().collect()}
     epsilon = float(np.sqrt(2 - 2 * least))
     if lengths:
         axes = axes_by_length(classes, lengths, leading, block)
-        grid = written(sequence_blocks(classes, axes, sum(lengths.values()), epsilon, block))
+        grid = written(sequence_blocks(classes.drop("low"), axes, sum(lengths.values()), epsilon, block))
         pairs = written(near_blocks(grid, epsilon))
         found = written(join_blocks(grid, pairs, epsilon, least))
     else:
         found = rows.sparkSession.createDataFrame([], "d int, a bigint, b bigint, n bigint")
-    roots = components(found.where("b is not null").select("a", "b"))
-    degrees = found.where("b is null").groupBy("d", "a").agg(F.sum("n").alias("others"))
-    known = classes.join(degrees, (F.col("rep") == F.col("a")) & (F.size("v") == F.col("d")), "left").join(roots, F.col("rep") == F.col("node"), "left")
-    known = known.select("v", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("root", "rep").alias("low"))
-    joined = rows.join(known, (rows["embedding"] == known["v"]) & rows["vec_id"].isNotNull(), "left")
+    known = classes.select("rep", "v")
+    members = written(rows.join(known, (rows["embedding"] == known["v"]) & rows["vec_id"].isNotNull(), "left").select("vec_id", "rep"))
+    hubs = members.groupBy("vec_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b")
+    shared = members.join(hubs.select("vec_id", "a"), "vec_id").select("a", F.col("rep").alias("b")).where("a < b").distinct()
+    roots = components(found.where("b is not null").select("a", "b").unionByName(shared)).distinct()
+    degrees = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
+    named = classes.select("rep", "low", "n").join(degrees, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+    lows = named.where("root is not null").groupBy("root").agg(F.min("low").alias("least"))
+    named = named.join(lows, "root", "left").select(
+        "rep", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("least", "low").alias("low")
+    )
+    joined = members.join(named, "rep", "left")
     return joined.select(
         "vec_id",
         F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),

@@ -245,6 +245,18 @@ def test_grid_join_of_several_lengths(spark):
     assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(1, 1, 1), (1, 2, 1), (2, 1, 1), (3, 2, 1), (4, 2, 1)]
 
 
+def test_grid_join_of_ids_with_several_vectors(spark):
+    # id 1 and id 5 hold two vectors each; links are counted by vector, components unite all vectors of an id
+    rows = [(1, [1.0, 0.0, 0.0]), (1, [0.0, 1.0, 0.0]), (2, [1.0, 0.1, 0.0]), (3, [0.0, 1.0, 0.1]), (4, [0.1, 1.0, 0.0])]
+    rows += [(5, [1.0, 0.0, 0.0]), (5, [0.0, 0.0, 1.0]), (6, [0.0, 0.0, 2.0]), (6, [0.0, 0.0, 2.0]), (7, [1.0, 1.0, 1.0]), (None, [1.0, 0.0, 0.0])]
+    got = gridjoin.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(3)).collect()
+    want = [(1, 2, 1), (1, 2, 1), (2, 2, 1), (3, 2, 1), (4, 2, 1), (5, 1, 1), (5, 2, 1), (6, 1, 1), (6, 1, 1), (7, 0, 7), (None, 0, None)]
+    assert sorted(((r.vec_id, r.n_links, r.component_id) for r in got), key=str) == sorted(want, key=str)
+    hot = [(8, [float(k == j) for j in range(40)]) for k in range(40)] + [(9, [0.0] * 39 + [1.0])]
+    got = gridjoin.near_duplicates(spark.createDataFrame(hot, "vec_id bigint, embedding array<double>")).collect()
+    assert {(r.vec_id, r.component_id, r.kept) for r in got} == {(8, 8, True), (9, 8, False)} and sum(r.n_links for r in got) == 2
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 120, 2)] + [(i + 1, i + 2) for i in range(0, 60, 2)] + [(500, 500), (9, 8), (9, 8), (700, 3)]
     up = {}
