@@ -91,13 +91,34 @@ def families(classes: DataFrame, match: int = MATCH) -> DataFrame:
     return posted.join(leaders, "key").groupBy("leader", "rep").agg(F.count("*").alias("collisions"))
 
 
+def _collisions(signed: np.ndarray) -> np.ndarray:
+    """Pairs of rows x rows: in how many coordinates their signatures agree."""
+    out = np.zeros((len(signed), len(signed)), np.uint8)
+    for column in np.ascontiguousarray(signed.T):
+        out += column[:, None] == column[None, :]
+    return out
+
+
 def _links(table: pa.Table, match: int) -> pa.Table:
-    """A spanning forest of the links within a block, or between two blocks, of a family."""
+    """A spanning forest of the links within a block, or between two blocks, of a family.
+
+    Collisions are counted first: full sets are compared only of documents with a pair at `match` or more, and
+    only such pairs can be linked.
+    """
     reps = table.column("rep").to_numpy()
     _, first = np.unique(reps, return_index=True)
     table = table.take(pa.array(first))
-    reps, side = table.column("rep").to_numpy(), table.column("side").to_numpy()
-    signed = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.int32).reshape(len(reps), COORDINATES)
+    side = table.column("side").to_numpy()
+    signed = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.int32).reshape(len(first), COORDINATES)
+    candidates = _collisions(signed) >= match
+    np.fill_diagonal(candidates, False)
+    if side.min() != side.max():
+        candidates &= side[:, None] != side[None, :]
+    some = np.flatnonzero(candidates.any(axis=1))
+    if not len(some):
+        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+    table, candidates = table.take(pa.array(some)), candidates[np.ix_(some, some)]
+    reps = table.column("rep").to_numpy()
     sets = [np.frombuffer(s, np.uint64) for s in table.column("shingles").to_pylist()]
     sizes = np.array([len(s) for s in sets])
     rows = np.repeat(np.arange(len(sets)), sizes)
@@ -115,15 +136,7 @@ def _links(table: pa.Table, match: int) -> pa.Table:
         part[rows[low:high], columns[low:high] - at] = 1
         common += part @ part.T
     common = common.astype(np.int64)
-    linked = 4 * common >= 3 * (sizes[:, None] + sizes[None, :] - common)
-    np.fill_diagonal(linked, False)
-    if side.min() != side.max():
-        linked &= side[:, None] != side[None, :]
-    a, b = np.nonzero(np.triu(linked))
-    agree = (signed[a] == signed[b]).sum(axis=1) >= match
-    linked[:] = False
-    linked[a[agree], b[agree]] = True
-    linked |= linked.T
+    linked = candidates & (4 * common >= 3 * (sizes[:, None] + sizes[None, :] - common))
     seen, edges = np.zeros(len(sets), bool), []
     for root in range(len(sets)):
         if seen[root]:

@@ -5,6 +5,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from riskloom.llm import decontaminate, minhash, pii, quality, substrings
@@ -80,6 +82,44 @@ def test_minhash_equals_exact_join(spark, docs, texts):
     assert sum(not w[2] for w in want.values()) > 20
 
 
+def test_minhash_confirms_pairs_with_enough_collisions():
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 1 << 63, 400).astype(np.uint64)
+    sets = [np.unique(base)]
+    for changed in (0, 20, 50, 57, 58, 120, 400):
+        other = base.copy()
+        other[:changed] = rng.integers(0, 1 << 63, changed)
+        sets.append(np.unique(other))
+    signed = np.array([minhash.signature(s) for s in sets])
+    counts = minhash._collisions(signed)
+    assert (counts == (signed[:, None] == signed[None, :]).sum(axis=2)).all()
+
+    def linked(match, sides):
+        columns = [range(len(sets)), sides, [s.tobytes() for s in signed], [s.tobytes() for s in sets]]
+        table = pa.table(dict(zip(("rep", "side", "signature", "shingles"), map(list, columns), strict=True)))
+        out = minhash._links(table, match).to_pydict()
+        return list(zip(out["a"], out["b"], strict=True))
+
+    def reached(edges):
+        up = list(range(len(sets)))
+        for _ in sets:
+            for a, b in edges:
+                up[a] = up[b] = min(up[a], up[b])
+        return up
+
+    def plain(match, sides):
+        return [
+            (a, b) for a in range(len(sets)) for b in range(a)
+            if counts[a, b] >= match and (len(set(sides)) == 1 or sides[a] != sides[b])
+            and 4 * len(np.intersect1d(sets[a], sets[b])) >= 3 * len(np.union1d(sets[a], sets[b]))
+        ]
+
+    for sides in ([0] * 8, [0, 1] * 4):
+        for match in (1, 30, 60, 64):
+            assert reached(linked(match, sides)) == reached(plain(match, sides))
+    assert linked(65, [0] * 8) == []
+
+
 def test_minhash_odd_rows(spark):
     got = sorted(map(tuple, minhash.near_duplicates(odd_rows(spark)).collect()), key=str)
     assert got == [(5, 2, 5, True), (5, 2, 5, True), (6, 0, 6, True), (None, 2, None, True)]
