@@ -34,11 +34,12 @@ def build_session(app: str = "riskloom", master: str | None = None, **conf: str)
 def shared_folder(spark: SparkSession, *parts: str) -> str:
     """A path below the checkpoint folder the cluster names in `spark.checkpoint.dir`.
 
-    Where it is unset, a local session gets a temporary folder of its own; a cluster is an error.
+    Where it is unset, a session of one process gets a temporary folder of its own; a cluster, `local-cluster` too, is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         base = tempfile.mkdtemp(prefix="riskloom-")
         spark.sparkContext.setCheckpointDir(base)

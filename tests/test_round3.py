@@ -158,3 +158,23 @@ def test_open_scores_are_emitted_once_their_bound_has_passed(spark, tmp_path, ro
     got = mo.calibration_with_open(out)
     want = mo.calibration_with_open(mo.matched_outcomes(scores, outcomes, within="2 DAYS", keep_open=True))
     assert rows(got) == rows(want) == [("high", 10, 10, 30, 1.0)]
+
+
+def test_only_sessions_of_one_process_get_a_temporary_folder():
+    from types import SimpleNamespace
+
+    from riskloom.session import shared_folder
+
+    def session(master):
+        made = []
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: None, setCheckpointDir=made.append)
+        return SimpleNamespace(conf={}, sparkContext=context), made
+
+    for master in ("local-cluster[2,1,1024]", "spark://host:7077", "yarn"):
+        with pytest.raises(ValueError):
+            shared_folder(session(master)[0], "tables")
+    for master in ("local", "local[4]", "local[*]"):
+        one, made = session(master)
+        assert shared_folder(one, "tables") == f"{made[0]}/tables"
+    named = SimpleNamespace(conf={"spark.checkpoint.dir": "/shared/"}, sparkContext=None)
+    assert shared_folder(named, "tables", "x") == "/shared/tables/x"
