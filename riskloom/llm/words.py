@@ -60,6 +60,8 @@ class _Powers:
 
     def __init__(self) -> None:
         self.size = 0
+        # a worker's first block may hold no word at all
+        self.up = self.down = np.zeros(0, np.uint64)
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if n > self.size:

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from riskloom.llm import decontaminate, minhash, pii, quality, substrings
+from riskloom.llm import decontaminate, minhash, pii, quality, substrings, words
 
 BLANK = re.compile(r"[^\x20\x09-\x0D]+")
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -317,6 +317,16 @@ def test_statistics_of_a_text_alone_and_behind_others():
     assert np.array_equal(measure([junk, other])[1], measure([other])[0]) and measure([junk])[0][-1] == 0
 
 
+def test_first_block_of_a_worker_may_be_empty():
+    up, down = words._Powers().upto(0)
+    assert len(up) == len(down) == 0
+    for rows in ([""], ["", " "], [None], []):
+        words._POWERS = words._Powers()
+        for b in words.blocks(pa.array(rows, pa.string()), "space"):
+            assert len(b.hashes) == 0 and len(b) == len(rows)
+            assert not b.windows(5)[1].any()
+
+
 def test_words_equal_patterns(texts):
     import pyarrow as pa
 
