@@ -1,4 +1,4 @@
-"""Substring dedup: repeated word windows found by anchors, matched word by word in suffix automata."""
+"""Substring dedup: anchors pick reference passages, suffix automata of their words decide what repeats."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -21,6 +21,8 @@ ANCHOR = 6
 MOST_BITS = 27
 #: Words per bucket of documents, and per reference shard (automaton) within a bucket.
 BUCKET_WORDS, SHARD_WORDS = 1_500_000, 100_000
+#: A passage holds the words of the windows that start in one stretch of so many words: one bit of a long each.
+CHUNK = 64
 #: Anchors or windows a task gathers before it adds equal ones up and sends them on.
 GATHERED = 2_000_000
 #: An anchor chosen at so many places or more is split: its windows are dealt one by one, by their own hash.
@@ -100,7 +102,7 @@ def _listed(anchors: np.ndarray, table: np.ndarray, bits: int) -> np.ndarray:
 
 
 def candidate_windows(docs: DataFrame, shared, buckets: int, window: int = WINDOW) -> DataFrame:
-    """(b, deal, doc, start, n, hashes): stretches of windows over one repeated anchor.
+    """(b, deal, doc, start, v, n, hashes): stretches of windows over one repeated anchor.
 
     A stretch holds the hashes of the windows from `start` on that share the anchor; `deal`, by which stretches
     are spread over tasks, is the anchor. Windows over a hot anchor are stretches of one with their own
@@ -111,9 +113,9 @@ def candidate_windows(docs: DataFrame, shared, buckets: int, window: int = WINDO
     """
 
     def added_up(parts: list[tuple], flat: list[np.ndarray]) -> pa.RecordBatch:
-        k, a, w, d, s, length, at = (np.concatenate(p) for p in zip(*parts, strict=True))
+        k, a, w, d, s, v, length, at = (np.concatenate(p) for p in zip(*parts, strict=True))
         order = np.lexsort((s, d, w, a, k))
-        k, a, w, d, s, length, at = (x[order] for x in (k, a, w, d, s, length, at))
+        k, a, w, d, s, v, length, at = (x[order] for x in (k, a, w, d, s, v, length, at))
         new = np.ones(len(k), bool)
         new[1:] = (k[1:] != k[:-1]) | (a[1:] != a[:-1]) | (w[1:] != w[:-1])
         pick = np.flatnonzero(new)
@@ -121,8 +123,8 @@ def candidate_windows(docs: DataFrame, shared, buckets: int, window: int = WINDO
         offsets = np.append(0, np.cumsum(length[pick]))
         values = np.concatenate(flat)[np.arange(offsets[-1]) + np.repeat(at[pick] - offsets[:-1], length[pick])]
         lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values.view(np.int64)))
-        columns = (k[pick].astype(np.int32), a[pick].view(np.int64), d[pick], s[pick].astype(np.int32), n.astype(np.int32))
-        return pa.RecordBatch.from_arrays([*map(pa.array, columns), lists], ["b", "deal", "doc", "start", "n", "hashes"])
+        columns = (k[pick].astype(np.int32), a[pick].view(np.int64), d[pick], s[pick].astype(np.int32), v[pick], n.astype(np.int32))
+        return pa.RecordBatch.from_arrays([*map(pa.array, columns), lists], ["b", "deal", "doc", "start", "v", "n", "hashes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         repeated, hot = shared.value
@@ -130,6 +132,7 @@ def candidate_windows(docs: DataFrame, shared, buckets: int, window: int = WINDO
         for batch in batches:
             ids = batch.column("doc").to_numpy()
             bucket = batch.column("b").to_numpy()
+            version = batch.column("v").to_numpy()
             for b in blocks(batch.column("text"), "space"):
                 least, inside, _ = _anchors(b, window)
                 at = np.flatnonzero(inside & _listed(least, *repeated))
@@ -144,7 +147,8 @@ def candidate_windows(docs: DataFrame, shared, buckets: int, window: int = WINDO
                 doc = np.searchsorted(b.bounds, at[cut], "right") - 1
                 start = at[cut] - b.bounds[doc]
                 deal = np.where(alone[cut], hashes[cut], least[at[cut]])
-                parts.append((bucket[b.first + doc], deal, whole, ids[b.first + doc], start, length, cut + size))
+                row = b.first + doc
+                parts.append((bucket[row], deal, whole, ids[row], start, version[row], length, cut + size))
                 flat.append(hashes)
                 size += len(hashes)
             if size >= GATHERED:
@@ -153,30 +157,81 @@ def candidate_windows(docs: DataFrame, shared, buckets: int, window: int = WINDO
         if parts:
             yield added_up(parts, flat)
 
-    schema = "b int, deal bigint, doc bigint, start int, n int, hashes array<bigint>"
+    schema = "b int, deal bigint, doc bigint, start int, v int, n int, hashes array<bigint>"
     return _bucketed(docs, buckets).mapInArrow(run, schema)
 
 
 def _bucketed(docs: DataFrame, buckets: int) -> DataFrame:
-    """doc (documents without id come last), b (bucket) and text."""
-    doc = F.coalesce("doc_id", F.lit(int(_LAST)))
-    return docs.select("doc_id", doc.alias("doc"), F.pmod(F.xxhash64(doc), F.lit(buckets)).cast("int").alias("b"), F.coalesce("text", F.lit("")).alias("text"))
+    """doc (documents without id come last), v (a hash that tells texts of one doc apart), b (bucket) and text."""
+    doc, text = F.coalesce("doc_id", F.lit(int(_LAST))), F.coalesce("text", F.lit(""))
+    bucket = F.pmod(F.xxhash64(doc, F.hash(text)), F.lit(buckets)).cast("int")
+    return docs.select("doc_id", doc.alias("doc"), F.hash(text).alias("v"), bucket.alias("b"), text.alias("text"))
+
+
+def passages_asked(rows: DataFrame) -> DataFrame:
+    """(b, doc, v, chunk, mask): the passages that each bucket has to be compared with.
+
+    `rows` are candidate windows dealt by `deal`. Of equal hashes the first place is asked for by every bucket that
+    holds another one; bit i of `mask` is the window that starts at word i of the chunk.
+    """
+    rows = rows.select("b", "deal", "doc", "v", "n", "start", F.posexplode("hashes").alias("at", "wh"))
+    place = F.struct("doc", (F.col("start") + F.col("at")).alias("start"), "v").alias("place")
+    rows = rows.select("b", "deal", "wh", "n", place)
+    same = W.partitionBy("deal", "wh")
+    rows = rows.withColumns({"total": F.sum("n").over(same), "first": F.min("place").over(same)})
+    # a row that is the first place and nothing else removes no word
+    rows = rows.where((F.col("total") > 1) & ((F.col("n") > 1) | (F.col("place") != F.col("first"))))
+    rows = rows.select("b", "first.doc", "first.v", "first.start")
+    chunk = F.expr(f"cast(start div {CHUNK} as int)").alias("chunk")
+    return rows.groupBy("b", "doc", "v", chunk).agg(F.expr(f"bit_or(shiftleft(1L, start % {CHUNK}))").alias("mask"))
+
+
+def _passage_key(chunk: Column) -> Column:
+    return F.xxhash64("doc", "v").bitwiseXOR(F.shiftleft(chunk.cast("bigint"), 40))
+
+
+def passages(docs: DataFrame, shared, window: int = WINDOW) -> DataFrame:
+    """(doc, v, chunk, words): the words of every passage that the filter `shared` may hold, cut where documents are read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, bits = shared.value
+        for batch in batches:
+            ids, version = batch.column("doc").to_numpy(), batch.column("v").to_numpy()
+            keys = batch.column("key").to_numpy().view(np.uint64)
+            for b in blocks(batch.column("text"), "space"):
+                counts = np.diff(b.bounds)
+                pieces = np.where(counts >= window, (counts - window) // CHUNK + 1, 0)
+                doc = np.repeat(np.arange(len(counts)), pieces)
+                chunk = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                listed = _listed(keys[b.first + doc] ^ (chunk.astype(np.uint64) << np.uint64(40)), table, bits)
+                doc, chunk = doc[listed], chunk[listed]
+                if not len(doc):
+                    continue
+                low = b.bounds[doc] + chunk * CHUNK
+                high = np.minimum(low + CHUNK + window - 1, b.bounds[doc + 1])
+                words = [b" ".join(b.words(i, j)) for i, j in zip(low.tolist(), high.tolist(), strict=True)]
+                columns = [ids[b.first + doc], version[b.first + doc], chunk.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(words, pa.binary())], ["doc", "v", "chunk", "words"])
+
+    rows = _bucketed(docs, 1).select("doc", "v", _passage_key(F.lit(0)).alias("key"), "text")
+    # rows that repeat a document hold the same passages
+    return rows.mapInArrow(run, "doc bigint, v int, chunk int, words binary").distinct()
 
 
 class SuffixAutomaton:
-    """Suffix automaton of a few passages of word numbers, and their matching statistics."""
+    """Suffix automaton of a few passages, sequences of words, and their matching statistics."""
 
     def __init__(self) -> None:
-        self.next: list[dict[int, int]] = [{}]
+        self.next: list[dict[bytes, int]] = [{}]
         self.link = [-1]
         self.length = [0]
 
-    def add(self, passage: list[int]) -> None:
+    def add(self, passage: list[bytes]) -> None:
         last = 0
         for c in passage:
             last = self._extend(last, c)
 
-    def _clone(self, p: int, q: int, c: int) -> int:
+    def _clone(self, p: int, q: int, c: bytes) -> int:
         new = len(self.next)
         self.next.append(dict(self.next[q]))
         self.link.append(self.link[q])
@@ -187,7 +242,7 @@ class SuffixAutomaton:
         self.link[q] = new
         return new
 
-    def _extend(self, last: int, c: int) -> int:
+    def _extend(self, last: int, c: bytes) -> int:
         q = self.next[last].get(c)
         if q is not None:
             return q if self.length[q] == self.length[last] + 1 else self._clone(last, q, c)
@@ -204,7 +259,7 @@ class SuffixAutomaton:
             self.link[new] = q if self.length[q] == self.length[p] + 1 else self._clone(p, q, c)
         return new
 
-    def windows(self, words: list[int], size: int) -> list[int]:
+    def windows(self, words: list[bytes], size: int) -> list[int]:
         """Per word the state of the `size` words that end there, -1 where the longest match is shorter."""
         follow, link, length = self.next, self.link, self.length
         state, matched, out = 0, 0, []
@@ -230,54 +285,61 @@ def _runs(at: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(at[np.append(0, cut + 1)].tolist(), at[np.append(cut, len(at) - 1)].tolist(), strict=True))
 
 
-def _covered(b: Block, docs: np.ndarray, known: np.ndarray, first_doc: np.ndarray, first_start: np.ndarray, window: int) -> np.ndarray:
-    """True for the words of a shard's texts that a later copy of a window covers."""
-    hashes, inside = b.windows(window)
-    covered = np.zeros(len(b.hashes) + 1, np.int64)
-    if not len(known):
-        return covered[:-1] > 0
-    spot = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-    at = np.flatnonzero(inside & (known[spot] == hashes))
-    if not len(at):
-        return covered[:-1] > 0
-    # the reference shard: one copy of each repeated window of these texts, in stretches as long as they come
-    _, pick = np.unique(hashes[at], return_index=True)
-    _, numbers = np.unique(b.hashes, return_inverse=True)
-    doc_of = np.searchsorted(b.bounds, np.arange(len(b.hashes)), "right") - 1
-
-    def stretches(starts: np.ndarray) -> list[tuple[int, int]]:
-        return [(low, high + window) for low, high in _runs(starts)]
-
-    automaton = SuffixAutomaton()
-    reference = stretches(np.sort(at[pick]))
-    for low, high in reference:
-        automaton.add(numbers[low:high].tolist())
-    firsts: dict[int, tuple[int, int]] = {}
-    for low, high in reference:
-        for k, state in enumerate(automaton.windows(numbers[low:high].tolist(), window)):
-            if state >= 0:
-                w = spot[low + k - window + 1]
-                firsts[state] = (int(first_doc[w]), int(first_start[w]))
-    for low, high in stretches(at):
-        for k, state in enumerate(automaton.windows(numbers[low:high].tolist(), window)):
-            if state >= 0:
-                start = low + k - window + 1
-                doc = doc_of[start]
-                if firsts[state] != (int(docs[doc]), start - int(b.bounds[doc])):
-                    covered[start] += 1
-                    covered[start + window] -= 1
-    return np.cumsum(covered[:-1]) > 0
+class Reference:
+    """One reference shard: passages in a suffix automaton, and where each of their windows starts."""
+
+    def __init__(self, shard: Block, rows: pa.Table, window: int) -> None:
+        """`rows` are the rows of the shard's passages: doc, chunk and mask."""
+        mask = rows.column("mask").to_numpy().view(np.uint64)
+        passage, bit = np.nonzero((mask[:, None] >> np.arange(CHUNK, dtype=np.uint64)) & np.uint64(1))
+        at = shard.bounds[passage] + bit
+        fits = at + window <= shard.bounds[passage + 1]
+        passage, bit, at = passage[fits], bit[fits], at[fits]
+        doc = rows.column("doc").to_numpy()[passage].tolist()
+        start = (rows.column("chunk").to_numpy()[passage].astype(np.int64) * CHUNK + bit).tolist()
+        self.window, self.automaton = window, SuffixAutomaton()
+        self.known = np.unique(shard.windows(window)[0][at])
+        runs = _runs(at)
+        for low, high in runs:
+            self.automaton.add(shard.words(low, high + window))
+        self.first: dict[int, tuple[int, int]] = {}
+        places = iter(zip(doc, start, strict=True))
+        for low, high in runs:
+            for state in self.automaton.windows(shard.words(low, high + window), window)[window - 1 :]:
+                place = next(places)
+                self.first[state] = min(place, self.first.get(state, place))
+
+    def cover(self, b: Block, docs: np.ndarray, hashes: np.ndarray, inside: np.ndarray, steps: np.ndarray) -> None:
+        """Adds to `steps` the bounds of the windows of a block that the shard holds from an earlier place.
+
+        Hashes choose the stretches to be matched; equal words have equal hashes, and the automaton decides.
+        """
+        if not len(self.known):
+            return
+        spot = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
+        for low, high in _runs(np.flatnonzero(inside & (self.known[spot] == hashes))):
+            i = int(np.searchsorted(b.bounds, low, "right")) - 1
+            doc, begin = int(docs[i]), int(b.bounds[i])
+            states = self.automaton.windows(b.words(low, high + self.window), self.window)[self.window - 1 :]
+            for start, state in enumerate(states, low):
+                if state >= 0 and self.first[state] < (doc, start - begin):
+                    steps[start] += 1
+                    steps[start + self.window] -= 1
 
 
 def _clean(texts: pa.Table, rows: pa.Table, window: int) -> pa.Table:
-    """One bucket: its documents next to the repeated windows they hold."""
-    known = rows.column("wh").to_numpy().view(np.uint64)
-    order = np.argsort(known, kind="stable")
-    known, first_doc, first_start = known[order], rows.column("doc").to_numpy()[order], rows.column("start").to_numpy()[order]
+    """One bucket: its documents streamed past the automata of the passages it asked for."""
     docs = texts.column("doc").to_numpy()
+    parts = []
+    for b in blocks(texts.column("text").combine_chunks(), "space"):
+        parts.append((b, docs[b.first : b.first + len(b)], *b.windows(window), np.zeros(len(b.hashes) + 1, np.int32)))
+    for shard in blocks(rows.column("words").combine_chunks(), "space", block_bytes=SHARD_WORDS * 6):
+        reference = Reference(shard, rows.slice(shard.first, len(shard)), window)
+        for part in parts:
+            reference.cover(*part)
     counts, removed, spans, kept = [], [], [], []
-    for b in blocks(texts.column("text").combine_chunks(), "space", block_bytes=SHARD_WORDS * 6):
-        covered = _covered(b, docs[b.first : b.first + len(b)], known, first_doc, first_start, window)
+    for b, *_, steps in parts:
+        covered = np.cumsum(steps[:-1]) > 0
         for i in range(len(b)):
             gone = covered[b.bounds[i] : b.bounds[i + 1]]
             raw = b.data[b.text_begins[i] : b.text_begins[i + 1]].tobytes().split()
@@ -299,9 +361,10 @@ def remove_repeats(
 
     A word goes when some window of `window` words over it also starts earlier, in a smaller doc_id or before in the
     same document. Equal windows have equal anchors, so only windows over an anchor chosen twice
-    are grouped by hash. The first place of every repeated window goes to the buckets of documents
-    that hold it; there the repeated passages are built into suffix automata of bounded shards, and the
-    documents' matching statistics against them give the spans.
+    are grouped by hash. That only tells which passages a bucket of documents has to be compared with:
+    the words of the first places travel to the buckets that hold the same hashes, there they are built into suffix
+    automata of bounded shards, and the documents' matching statistics against them give the spans. A word goes only
+    where an automaton holds its window, word for word, from an earlier place.
 
     Null texts have no words and keep nothing. Documents without id come after all others and count as one
     document; rows that repeat a doc_id and text are one document and treated alike. Texts shorter than a
@@ -313,15 +376,9 @@ def remove_repeats(
     filters = (anchor_filter(repeated, most_bits), anchor_filter(repeated.where(F.col("n") >= hot_places), most_bits))
     shared = docs.sparkSession.sparkContext.broadcast(filters)
     # equal windows have equal anchors: stretches are dealt by anchor and taken apart there
-    rows = candidate_windows(docs, shared, buckets, window).repartition("deal")
-    rows = rows.select("b", "deal", "doc", "n", "start", F.posexplode("hashes").alias("at", "wh"))
-    rows = rows.select("b", "deal", "wh", "n", F.struct("doc", (F.col("start") + F.col("at")).alias("start")).alias("place"))
-    same = W.partitionBy("deal", "wh")
-    rows = rows.withColumns({"total": F.sum("n").over(same), "first": F.min("place").over(same)})
-    # a row that is the first place and nothing else removes no word
-    rows = rows.where((F.col("total") > 1) & ((F.col("n") > 1) | (F.col("place") != F.col("first"))))
-    rows = rows.select("b", "wh", "first.doc", "first.start")
-    rows = rows.groupBy("b", "wh").agg(F.first("doc").alias("doc"), F.first("start").alias("start"))
-    texts = _bucketed(docs, buckets).groupBy("b")
+    asked = written(passages_asked(candidate_windows(docs, shared, buckets, window).repartition("deal")))
+    listed = docs.sparkSession.sparkContext.broadcast(anchor_filter(asked.select(_passage_key(F.col("chunk")).alias("anchor")), most_bits))
+    rows = asked.join(passages(docs, listed, window), ["doc", "v", "chunk"]).select("b", "doc", "chunk", "mask", "words")
+    texts = _bucketed(docs, buckets).select("doc_id", "doc", "b", "text").groupBy("b")
     schema = "doc_id bigint, n_words bigint, n_removed bigint, spans array<struct<start:int,end:int>>, kept string"
     return texts.cogroup(rows.groupBy("b")).applyInArrow(lambda t, r: _clean(t, r, window), schema)

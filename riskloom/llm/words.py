@@ -94,6 +94,10 @@ class Block:
     def word(self, i: int) -> bytes:
         return self.data[self.begins[i] : self.ends[i]].tobytes()
 
+    def words(self, low: int, high: int) -> list[bytes]:
+        """Words low .. high - 1 of a block cut at white space, all of one text."""
+        return self.data[self.begins[low] : self.ends[high - 1]].tobytes().split()
+
     def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """(hash of the `size` words from each word on, True where they lie inside one text)."""
         n = len(self.hashes)

@@ -203,6 +203,43 @@ def test_substrings_odd_rows(spark):
     assert substrings.remove_repeats(empty(spark)).count() == 0
 
 
+def test_substrings_of_equal_hashes_are_matched_by_their_words(monkeypatch):
+    """Where every window has one hash, the automata alone decide: nothing but true repeats goes."""
+    rng = random.Random(7)
+    source = [f"w{rng.randrange(50)}" for _ in range(150)]
+    texts = [[f"u{i}" for i in range(80)], ["a", *source[30:70], "b", "c"], source[:19], ["d"] * 30]
+    chunks = [(0, " ".join(source[:83])), (1, " ".join(source[64:147]))]
+    rows = pa.table([
+        pa.array([1, 1], pa.int64()), pa.array([c for c, _ in chunks], pa.int32()),
+        pa.array([-1, -1], pa.int64()), pa.array([t.encode() for _, t in chunks], pa.binary()),
+    ], ["doc", "chunk", "mask", "words"])
+    held = pa.table([pa.array([5, 6, 7, 8]), pa.array([5, 6, 7, 8]), pa.array([" ".join(t) for t in texts])], ["doc_id", "doc", "text"])
+    want = {5: [], 6: [{"start": 1, "end": 41}], 7: [], 8: []}
+    for forge in (False, True):
+        if forge:
+            windows = words.Block.windows
+            monkeypatch.setattr(words.Block, "windows", lambda b, n: (np.full(len(b.hashes), 9, np.uint64), windows(b, n)[1]))
+        got = substrings._clean(held, rows, 20).to_pylist()
+        assert {r["doc_id"]: r["spans"] for r in got} == want
+    # a passage from a later place, or from the place itself, removes nothing
+    late = held.set_column(1, "doc", pa.array([1, 0, 1, 0]))
+    assert all(r["n_removed"] == 0 for r in substrings._clean(late, rows, 20).to_pylist())
+
+
+def test_substrings_of_one_id_with_several_texts(spark):
+    """Texts that share a doc_id, or have none, are told apart by place and by text, in every bucket."""
+    def run(c, n=70):
+        return " ".join(f"{c}{i}" for i in range(n))
+
+    rows = [(1, run("a")), (1, run("b")), (2, "x " + run("b")), (None, run("c")), (None, "y " + run("c")), (None, run("a")), (None, run("d"))]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for bucket_words in (1_500_000, 40):
+        got = substrings.remove_repeats(frame, bucket_words=bucket_words).collect()
+        assert sorted((r.doc_id or 0, r.kept[:2], r.n_removed) for r in got) == sorted(
+            [(1, "a0", 0), (1, "b0", 0), (2, "x", 70), (0, "c0", 0), (0, "y", 70), (0, "", 70), (0, "d0", 0)]
+        )
+
+
 def test_suffix_automaton_matches():
     rng = random.Random(1)
     passages = [[rng.randrange(3) for _ in range(40)] for _ in range(5)]
