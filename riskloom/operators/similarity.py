@@ -8,52 +8,167 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskloom.operators.clusters import as_vectors
-from riskloom.plans.frames import settle, written
+from riskloom.plans.frames import attach, settle, written
+from riskloom.plans.ranking import dense_numbers
 from riskloom.session import shared_folder
 from riskloom.sources.versions import VersionedTable
 
 BROADCAST_NUMBERS = 4_000_000
-QUERY_BLOCK = 2_048
-BASE_BLOCK = 16_384
+#: Candidates that one task of a broadcast search may hold and give.
+BROADCAST_HITS = 500_000
+#: Most rows of a block, and most numbers in its vectors; blocks of queries are made smaller for more tasks, not below LEAST_QUERIES.
+QUERY_BLOCK, BASE_BLOCK, BLOCK_NUMBERS, LEAST_QUERIES = 131_072, 524_288, 4_194_304, 2_048
 STEP = 512
+#: Rows of a leaf and of a tile of queries, and most leaves compared at once.
+LEAF, TILE, MOST_LEAVES = 256, 256, 16
+#: Distances are rounded to nine digits: bounds keep what could round to the same.
+SLACK = 2e-9
 
 
 def _unit(vectors: pd.Series) -> np.ndarray:
     if not len(vectors):
         return np.zeros((0, 0))
-    m = np.vstack(vectors.to_numpy()).astype(np.float64)
-    norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
-    with np.errstate(invalid="ignore", divide="ignore"):
-        return m / norm
-
-
-def _nearest(qids: np.ndarray, q: np.ndarray, ids: np.ndarray, base: np.ndarray, k: int, skip_same: bool) -> pd.DataFrame:
-    """The k nearest rows of one block for every query; equal distances by id."""
-    take = min(k, len(ids))
-    found: list[pd.DataFrame] = []
-    for start in range(0, len(qids) if take else 0, STEP):  # a few hundred queries at a time bound the matrix
-        names = qids[start : start + STEP]
-        distance = np.round(1.0 - q[start : start + STEP] @ base.T, 9)
-        distance[np.isnan(distance)] = np.inf
+    return _turned_to_one(np.vstack(vectors.to_numpy()).astype(np.float64))
+
+
+def _turned_to_one(m: np.ndarray) -> np.ndarray:
+    with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+        return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Unit rows of a list column; rows of zeros or missing numbers are NaN."""
+    n = len(column)
+    flat = np.concatenate([c.flatten().to_numpy(zero_copy_only=False).astype(np.float64) for c in column.chunks]) if n else np.zeros(0)
+    if n and (len(flat) % n or pc.min(pc.list_value_length(column)).as_py() != len(flat) // n):
+        raise ValueError("vectors of different lengths")
+    return _turned_to_one(flat.reshape(n, -1)) if n else np.zeros((0, 0))
+
+
+def _leaves(m: np.ndarray, size: int) -> list[np.ndarray]:
+    """Row numbers in parts of at most `size` rows, halved along the widest column each time."""
+    out, todo = [], [np.arange(len(m))]
+    while todo:
+        rows = todo.pop()
+        if len(rows) <= size:
+            out.append(rows)
+            continue
+        part = m[rows]
+        half = len(rows) // 2
+        order = np.argpartition(part[:, np.argmax(part.max(axis=0) - part.min(axis=0))], half)
+        todo += [rows[order[half:]], rows[order[:half]]]
+    return out
+
+
+def _few_copies(ids: np.ndarray, m: np.ndarray, k: int) -> np.ndarray:
+    """Row numbers without those copies of a vector that k others of smaller ids keep out of every answer."""
+    _, group = np.unique(m, axis=0, return_inverse=True)
+    group = group.ravel()
+    if not len(ids) or np.bincount(group).max() <= k:
+        return np.arange(len(ids))
+    own = np.unique(ids, return_counts=True)[1].max()  # a query may skip all rows of its own id
+    order = np.lexsort((ids, group))
+    first = np.r_[True, group[order][1:] != group[order][:-1]]
+    place = np.arange(len(order)) - np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
+    return np.sort(order[place < k + own])
+
+
+class _Base:
+    """Rows in leaves with centres and radii; leaves that cannot hold one of the k nearest rows of a query are passed over."""
+
+    def __init__(self, ids: np.ndarray, m: np.ndarray, k: int):
+        fine = np.flatnonzero(np.isfinite(m).all(axis=1))
+        ids, m = ids[fine], m[fine]
+        rows = _few_copies(ids, m, k)
+        ids, m = ids[rows], m[rows]
+        parts = _leaves(m, LEAF)
+        order = np.concatenate(parts)
+        self.ids, self.m, self.k = ids[order], m[order], k
+        self.ends = np.cumsum([len(p) for p in parts])
+        self.starts = self.ends - np.array([len(p) for p in parts])
+        if len(ids):
+            self.centres = np.array([self.m[a:b].mean(axis=0) for a, b in zip(self.starts, self.ends)])
+            self.radii = np.array([np.sqrt(((self.m[a:b] - c) ** 2).sum(axis=1).max()) for a, b, c in zip(self.starts, self.ends, self.centres)])
+
+    def search(self, names: np.ndarray, q: np.ndarray, best: np.ndarray, found: np.ndarray, skip_same: bool) -> None:
+        """Put the nearest rows of a tile of queries into `best` (distances, ascending) and `found` (ids), both with k columns."""
+        if not len(self.ids):
+            return
+        square = (q * q).sum(axis=1)[:, None] - 2.0 * (q @ self.centres.T) + (self.centres * self.centres).sum(axis=1)
+        reach = np.maximum(np.sqrt(np.maximum(square, 0.0)) - self.radii, 0.0)
+        least = reach * reach / 2.0  # of unit rows, half the squared gap is 1 - cosine
+        order = np.argsort(least.min(axis=0), kind="stable")
+        take = 1
+        while len(order):
+            order = order[(least[:, order] <= best[:, -1:] + SLACK).any(axis=0)]
+            now, order = order[:take], order[take:]
+            take = min(2 * take, MOST_LEAVES)
+            if len(now):
+                self._compare(np.concatenate([np.arange(self.starts[i], self.ends[i]) for i in now]), names, q, best, found, skip_same)
+
+    def _compare(self, rows: np.ndarray, names: np.ndarray, q: np.ndarray, best: np.ndarray, found: np.ndarray, skip_same: bool) -> None:
+        ids, k = self.ids[rows], self.k
+        distance = 1.0 - q @ self.m[rows].T
         if skip_same:
             distance[names[:, None] == ids[None, :]] = np.inf
-        worst = np.partition(distance, take - 1, axis=1)[:, take - 1 : take]
-        rows, columns = np.nonzero((distance <= worst) & np.isfinite(distance))  # all ties of the last place
-        found.append(pd.DataFrame({"query_id": names[rows], "id": ids[columns], "distance": distance[rows, columns]}))
-    if not found:
-        return pd.DataFrame({"query_id": [], "id": [], "distance": []})
-    return _best(pd.concat(found), k)
-
-
-def _best(found: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The first k rows of every query by (distance, id)."""
-    return found.sort_values(["query_id", "distance", "id"], kind="stable").groupby("query_id", sort=False).head(k)
+        worst = best[:, -1]
+        if len(rows) > k and np.isinf(worst).any():
+            worst = np.minimum(worst, np.partition(distance, k - 1, axis=1)[:, k - 1])
+        at, column = np.nonzero(distance <= (worst + SLACK)[:, None])
+        near, other = np.round(distance[at, column], 9), ids[column]
+        better = np.isfinite(near) & ((near < best[at, -1]) | ((near == best[at, -1]) & (other < found[at, -1])))
+        if not better.any():
+            return
+        at, near, other = at[better], near[better], other[better]
+        hit = np.unique(at)
+        at = np.concatenate([at, np.repeat(hit, k)])
+        near, other = np.concatenate([near, best[hit].ravel()]), np.concatenate([other, found[hit].ravel()])
+        by = np.lexsort((other, near, at))
+        at, near, other = at[by], near[by], other[by]
+        place = np.arange(len(at)) - np.searchsorted(at, at)
+        kept = place < k
+        best[at[kept], place[kept]], found[at[kept], place[kept]] = near[kept], other[kept]
+
+
+class _Asked:
+    """Queries in tiles of near rows, with their best k so far."""
+
+    def __init__(self, names: np.ndarray, m: np.ndarray, k: int, skip_same: bool):
+        fine = np.flatnonzero(np.isfinite(m).all(axis=1))
+        names, m = names[fine], m[fine]
+        parts = _leaves(m, TILE)
+        order = np.concatenate(parts)
+        self.names, self.m, self.k, self.skip_same = names[order], m[order], k, skip_same
+        self.ends = np.cumsum([len(p) for p in parts])
+
+    def start(self) -> None:
+        self.best = np.full((len(self.names), self.k), np.inf)
+        self.found = np.full((len(self.names), self.k), np.iinfo(np.int64).max)
+
+    def meet(self, ids: np.ndarray, m: np.ndarray) -> None:
+        if not len(ids) or not len(self.names):
+            return
+        base = _Base(ids, m, self.k)
+        for a, b in zip(np.r_[0, self.ends[:-1]], self.ends):
+            base.search(self.names[a:b], self.m[a:b], self.best[a:b], self.found[a:b], self.skip_same)
+
+    def hits(self) -> Iterator[pa.RecordBatch]:
+        for a in range(0, len(self.names), max(1, 65_536 // self.k)):
+            b = a + max(1, 65_536 // self.k)
+            rows, places = np.nonzero(np.isfinite(self.best[a:b]))
+            columns = [self.names[a:b][rows], self.found[a:b][rows, places], self.best[a:b][rows, places]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "id", "distance"])
+
+
+_HITS = "query_id long, id long, distance double"
 
 
 def _merge(candidates: DataFrame, k: int) -> DataFrame:
@@ -61,58 +176,104 @@ def _merge(candidates: DataFrame, k: int) -> DataFrame:
     return candidates.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def _schema(queries: DataFrame, base: DataFrame) -> T.StructType:
-    return T.StructType(
-        [
-            T.StructField("query_id", queries.schema["query_id"].dataType),
-            T.StructField("id", base.schema["id"].dataType),
-            T.StructField("distance", T.DoubleType()),
-        ]
-    )
+def _by_broadcast(queries: DataFrame, base: DataFrame, k: int, skip_same: bool) -> DataFrame:
+    """Few queries: every task compares its part of the base with all of them and gives k rows a query."""
+    local = queries.select("query_id", "vector").toPandas()
+    asked = _Asked(local["query_id"].to_numpy().astype(np.int64), _unit(local["vector"]), k, skip_same)
+    shared = queries.sparkSession.sparkContext.broadcast(asked)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine = shared.value
+        mine.start()
+        for batch in batches:
+            part = pa.Table.from_batches([batch])
+            mine.meet(_longs(part["id"]), _matrix(part["vector"]))
+        yield from mine.hits()
 
-def _by_broadcast(queries: DataFrame, base: DataFrame, k: int, skip_same: bool) -> DataFrame:
-    """Few queries: every task compares its part of the base with all of them, the base stays put."""
-    local = queries.toPandas()
-    shared = queries.sparkSession.sparkContext.broadcast((local["query_id"].to_numpy(), _unit(local["vector"])))
+    # a table in few files would be searched by few tasks
+    parts = queries.sparkSession.sparkContext.defaultParallelism
+    return base.select("id", "vector").repartition(parts, "id").mapInArrow(run, _HITS)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        qids, q = shared.value
-        for pdf in batches:
-            if not pdf.empty:
-                yield _nearest(qids, q, pdf["id"].to_numpy(), _unit(pdf["vector"]), k, skip_same)
 
-    return base.select("id", "vector").mapInPandas(run, _schema(queries, base))
+def _longs(column: pa.ChunkedArray) -> np.ndarray:
+    return column.to_numpy().astype(np.int64)
 
 
 def _by_blocks(queries: DataFrame, base: DataFrame, k: int, skip_same: bool) -> DataFrame:
     """Blocks of queries meet blocks of the base inside their cell; each pair of blocks is one group
     of bounded size and gives k rows per query. A big cell is cut into more blocks."""
+    parallel = queries.sparkSession.sparkContext.defaultParallelism
+    rows = F.greatest(F.lit(1), F.floor(F.lit(BLOCK_NUMBERS) / F.col("d")))
     sizes = (
         queries.groupBy("cell").agg(F.count(F.lit(1)).alias("q"))
-        .join(base.groupBy("cell").agg(F.count(F.lit(1)).alias("b")), "cell")
-        .select("cell", F.ceil(F.col("q") / QUERY_BLOCK).cast("int").alias("nq"), F.ceil(F.col("b") / BASE_BLOCK).cast("int").alias("nb"))
+        .join(base.groupBy("cell").agg(F.count(F.lit(1)).alias("b"), F.max(F.size("vector")).alias("d")), "cell")
+        .select("cell", "q", F.ceil(F.col("q") / F.least(F.lit(QUERY_BLOCK), rows)).cast("int").alias("nq"), F.ceil(F.col("b") / F.least(F.lit(BASE_BLOCK), rows)).cast("int").alias("nb"))
     )
     sizes = settle(sizes)
+    least = sizes.agg(F.sum(F.col("nq") * F.col("nb"))).first()[0] or 0
+    if least < 4 * parallel:  # few pairs of blocks: more of smaller blocks of queries, so that all cores have work
+        times = math.ceil(4 * parallel / max(1, least))
+        sizes = sizes.withColumn("nq", F.greatest("nq", F.least(F.col("nq") * times, F.ceil(F.col("q") / min(LEAST_QUERIES, QUERY_BLOCK)).cast("int"))))
+    groups = sizes.agg(F.sum(F.col("nq") * F.col("nb"))).first()[0] or 1
+    tasks = int(min(4_096, max(2 * groups, parallel)))  # numbered partitions stay apart however few bytes they hold
 
     def place(df: DataFrame, key: str, own: str, other: str) -> DataFrame:
         mine, theirs = ("qb", "bb") if own == "nq" else ("bb", "qb")
-        return df.join(sizes, "cell").select(
+        spread = df.join(F.broadcast(sizes), "cell").select(  # a row per cell, at most 4,096
             "cell", key, "vector",
             F.pmod(F.xxhash64(key), F.col(own)).cast("int").alias(mine),
             F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(theirs),
         )
+        return spread.repartition(tasks, *keys)
 
     keys = ["cell", "qb", "bb"]
     left = place(queries, "query_id", "nq", "nb").groupBy(*keys)
     right = place(base, "id", "nb", "nq").groupBy(*keys)
 
-    def run(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or b.empty:
-            return pd.DataFrame({"query_id": [], "id": [], "distance": []})
-        return _nearest(q["query_id"].to_numpy(), _unit(q["vector"]), b["id"].to_numpy(), _unit(b["vector"]), k, skip_same)
+    def run(q: pa.Table, b: pa.Table) -> pa.Table:
+        asked = _Asked(_longs(q["query_id"]), _matrix(q["vector"]), k, skip_same)
+        asked.start()
+        asked.meet(_longs(b["id"]), _matrix(b["vector"]))
+        return pa.Table.from_batches(asked.hits(), _ARROW_HITS)
+
+    return left.cogroup(right).applyInArrow(run, _HITS)
+
+
+_ARROW_HITS = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("distance", pa.float64())])
+#: Stands for an id of null, which is no query and as a base row comes before all others.
+_NO_ID = -(2**63)
 
-    return left.cogroup(right).applyInPandas(run, _schema(queries, base))
+
+class _Keys:
+    """Ids as long numbers of the same order while rows are compared: whole numbers as they are, others numbered in their order."""
+
+    def __init__(self, df: DataFrame, name: str, names: DataFrame | None = None):
+        self.name, self.kind = name, df.schema[name].dataType
+        self.names = names
+        if names is None and not isinstance(self.kind, T.IntegralType):
+            self.names = written(dense_numbers(df.select(F.col(name).alias("__id")).distinct(), "__id", "__number"))
+
+    def numbers(self, df: DataFrame) -> DataFrame:
+        if self.names is None:
+            return df.withColumn(self.name, F.coalesce(F.col(self.name).cast("long"), F.lit(_NO_ID)))
+        table = self.names.withColumnsRenamed({"__id": self.name})
+        return attach(df, table, [self.name], "inner").drop(self.name).withColumnRenamed("__number", self.name)
+
+    def ids(self, df: DataFrame) -> DataFrame:
+        if self.names is None:
+            return df.withColumn(self.name, F.when(F.col(self.name) != _NO_ID, F.col(self.name)).cast(self.kind))
+        table = self.names.withColumnRenamed("__number", self.name)
+        return df.join(table, self.name).drop(self.name).withColumnRenamed("__id", self.name)
+
+
+def _keyed(queries: DataFrame, base: DataFrame, skip_same: bool) -> tuple[_Keys, _Keys]:
+    """Both sides' keys; where equal ids must be told, both have the same numbers."""
+    kinds = queries.schema["query_id"].dataType, base.schema["id"].dataType
+    if not skip_same or all(isinstance(x, T.IntegralType) for x in kinds):
+        return _Keys(queries, "query_id"), _Keys(base, "id")
+    both = queries.select(F.col("query_id").alias("__id")).union(base.select(F.col("id").alias("__id"))).distinct()
+    names = written(dense_numbers(both, "__id", "__number"))
+    return _Keys(queries, "query_id", names=names), _Keys(base, "id", names=names)
 
 
 def _named(df: DataFrame, key: str, vector: str, name: str) -> DataFrame:
@@ -133,15 +294,22 @@ def cosine_top_k(
     """(query_id, id, distance, rank): the k nearest base rows by `1 - cosine`, exact.
 
     Zero vectors have no distance and never match. Whatever the sizes, no task holds more than one
-    block of each side and no pair but the k best of a block is ever written.
+    block of each side and no pair but the k best of a block is ever written; ids travel as numbers.
     """
-    q, b = _named(queries, key, vector, "query_id"), _named(base, key, vector, "id")
+    q, b = _named(queries, key, vector, "query_id").where("query_id IS NOT NULL"), _named(base, key, vector, "id")
+    asked, known = _keyed(q, b, skip_same)
+    q, b = written(asked.numbers(q)), known.numbers(b)
     size = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("d")).first()
-    if (size["n"] or 0) * (size["d"] or 0) <= broadcast_numbers:
+    if (size["n"] or 0) * (size["d"] or 0) <= broadcast_numbers and (size["n"] or 0) * k <= BROADCAST_HITS:
         found = _by_broadcast(q, b, k, skip_same)
     else:
+        b = b if known.names is None else written(b)
         found = _by_blocks(q.withColumn("cell", F.lit(0)), b.withColumn("cell", F.lit(0)), k, skip_same)
-    return _merge(found, k).select("query_id", "id", F.round("distance", digits).alias("distance"), "rank")
+    return _ranked(_merge(found, k), asked, known, digits)
+
+
+def _ranked(best: DataFrame, asked: _Keys, known: _Keys, digits: int) -> DataFrame:
+    return asked.ids(known.ids(best)).select("query_id", "id", F.round("distance", digits).alias("distance"), "rank")
 
 
 #: Bounds of what an index is fitted on: rows for the centres, most cells, queries for the probes.
@@ -197,19 +365,21 @@ class CosineIndex:
         return index
 
     def nearest_cells(self, queries: DataFrame, probes: int, rank: bool = False) -> DataFrame:
-        """(query_id, vector, cell) for the cells nearest to each query, with `place` from 0 if `rank`."""
+        """(query_id, vector, cell) for the cells nearest to each query; if `rank`, `place` from 0 instead of the vector."""
         centres = self.spark.sparkContext.broadcast(self._centres)
-        fields = [queries.schema["query_id"], queries.schema["vector"], T.StructField("cell", T.IntegerType())]
+        kept = ["query_id"] if rank else ["query_id", "vector"]
+        fields = [*(queries.schema[c] for c in kept), T.StructField("cell", T.IntegerType())]
         fields += [T.StructField("place", T.IntegerType())] if rank else []
+        step = max(1, min(STEP, 16_384 // max(1, probes)))  # rows given at once
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             c = centres.value
             for pdf in batches:
-                for start in range(0, len(pdf), STEP):
-                    rows = pdf.iloc[start : start + STEP]
+                for start in range(0, len(pdf), step):
+                    rows = pdf.iloc[start : start + step]
                     gap = (c * c).sum(axis=1) - 2.0 * (_unit(rows["vector"]) @ c.T)  # |x| is the same for all cells
                     nearest = np.argsort(gap, axis=1, kind="stable")[:, :probes]
-                    wide = rows.loc[rows.index.repeat(nearest.shape[1])].assign(cell=nearest.ravel().astype(np.int32))
+                    wide = rows[kept].loc[rows.index.repeat(nearest.shape[1])].assign(cell=nearest.ravel().astype(np.int32))
                     yield wide.assign(place=np.tile(np.arange(nearest.shape[1], dtype=np.int32), len(rows))) if rank else wide
 
         return queries.select("query_id", "vector").mapInPandas(run, T.StructType(fields))
@@ -231,7 +401,7 @@ class CosineIndex:
         share = max(1, n // FIT_QUERIES)
         asked = asked.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(share)) == 0) if share > 1 else asked
         queries = written(asked.select(F.col("id").alias("query_id"), "vector"))
-        exact = _merge(_by_broadcast(queries, rows.select("id", "vector"), k, True), k).select("query_id", "id")
+        exact = cosine_top_k(queries.withColumnRenamed("query_id", "id"), rows, k, "id", "vector", True).select("query_id", "id")
         ranked = self.nearest_cells(queries, self.cells, rank=True).select("query_id", "cell", "place")
         needed = exact.join(rows.select("id", "cell"), "id").join(ranked, ["query_id", "cell"])
         counts = sorted((r["place"], r["n"]) for r in needed.groupBy("place").agg(F.count(F.lit(1)).alias("n")).collect())  # one row per cell
@@ -255,12 +425,13 @@ class CosineIndex:
         self, queries: DataFrame, k: int = 3, key: str = "id", vector: str = "embedding", probes: int | None = None, skip_same: bool = False, digits: int = 4
     ) -> DataFrame:
         """(query_id, id, distance, rank) among the rows of the probed cells; with `probes` of all cells it is exact."""
-        q = _named(queries, key, vector, "query_id").where(_turned())
-        near = written(self.nearest_cells(q, min(probes or self.probes, self.cells)))
-        asked = [r["cell"] for r in near.select("cell").distinct().collect()]  # at most 4,096
-        rows = self.rows.read().where(F.col("cell").isin(asked) if asked else F.lit(False))
+        q = _named(queries, key, vector, "query_id").where(_turned()).where("query_id IS NOT NULL")
+        asked, known = _keyed(q, self.rows.read(), skip_same)
+        near = written(self.nearest_cells(asked.numbers(q), min(probes or self.probes, self.cells)))
+        cells = [r["cell"] for r in near.select("cell").distinct().collect()]  # at most 4,096
+        rows = known.numbers(self.rows.read().where(F.col("cell").isin(cells) if cells else F.lit(False)))
         found = _by_blocks(near, rows, k, skip_same)
-        return _merge(found, k).select("query_id", "id", F.round("distance", digits).alias("distance"), "rank")
+        return _ranked(_merge(found, k), asked, known, digits)
 
 
 def _turned() -> Column:
@@ -294,8 +465,7 @@ def cosine_top_k_approximate(
     """
     turned = _named(base, key, vector, "id").where(_turned())
     if not turned.limit(1).collect():
-        empty = _by_broadcast(_named(queries, key, vector, "query_id").limit(0), turned, k, skip_same)
-        return empty.withColumn("rank", F.lit(1))
+        return cosine_top_k(queries.limit(0), turned.withColumnsRenamed({"id": key, "vector": vector}), k, key, vector, skip_same, digits)
     path = shared_folder(base.sparkSession, "indexes", uuid.uuid4().hex)
     index = CosineIndex.build(base, path, key, vector, cells, max(k, 10), None if probes else TARGET_RECALL, seed, fit_rows, rounds)
     return index.search(queries, k, key, vector, probes, skip_same, digits)
