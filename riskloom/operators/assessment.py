@@ -42,7 +42,8 @@ def assess_requests(
     `predict` adds the prediction columns and, where scoring failed, `prediction_error`; rows without a
     probability and without an error count as failed. Decisions are made once and written. Only requests inside
     the gate are searched, each distinct text once: `search` gets (query_id, text) and returns
-    (query_id, id, distance, rank and, if wanted, document).
+    (query_id, id, distance, rank and, if wanted, document), read twice. Hits are gathered by text and meet the requests
+    by text, so documents are shuffled once, for each distinct text.
     """
     predicted = predict(requests.withColumn("input_quality_flags", quality_flags()))
     if "prediction_error" not in predicted.columns:
@@ -50,7 +51,6 @@ def assess_requests(
     error = F.coalesce("prediction_error", F.when(F.col("probability_of_loss").isNull(), F.lit("no prediction")))
     predicted = predicted.withColumns({"prediction_error": error, "__text": retrieval_query()})
     decided = written(with_decision(with_prediction_stub(predicted)))
-    asked = decided.where("retrieve").select(key, F.col("__text").alias("query_id"))
-    found = written(search(asked.select("query_id", F.col("query_id").alias("text")).distinct()))
-    hits = asked.join(found, "query_id").drop("query_id").withColumnRenamed(key, "query_id")
-    return assess(decided.drop("__text"), hits, outcomes, key, record_fields, max_distance)
+    asked = decided.where("retrieve").select(F.col("__text").alias("query_id"))
+    found = search(asked.select("query_id", F.col("query_id").alias("text")).distinct())
+    return assess(decided, found, outcomes, key, record_fields, max_distance, "__text")

@@ -144,8 +144,9 @@ class DocumentStore:
         place = F.concat_ws(":", *[F.col(c).cast("string") for c in (*self.order, HASH)])
         base = store.select(place.alias("__place"), F.col(self.order[0]).cast("string").alias("id"), F.col(self.text).alias("document"), vector)
         asked = embed(texts.select(F.col(key).alias("__place"), self.text))
-        hits = cosine_top_k(asked, base, k, "__place", vector).withColumnRenamed("id", "__place")
-        named = base.select("__place", "id", "document").distinct()
+        # the narrow hits are kept: a caller that reads them twice searches once, and no text is written
+        hits = written(cosine_top_k(asked, base, k, "__place", vector)).withColumnRenamed("id", "__place")
+        named = base.select("__place", "id", "document").dropDuplicates(["__place"])
         return hits.join(named, "__place").select("query_id", "id", "distance", "rank", "document")
 
 

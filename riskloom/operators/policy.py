@@ -100,13 +100,15 @@ def assess(
     key: str = "record_id",
     record_fields: Sequence[str] = (),
     max_distance: float = MAX_DISTANCE,
+    asked: str | None = None,
 ) -> DataFrame:
     """One assessment row per scored record.
 
     `scored` has the prediction columns, `prediction_error` and, if known, `retrieval_error`; a frame
     that went through `with_prediction_stub` and `with_decision` before is taken as it is.
     `hits` holds the search results of the gated records (query_id, id, distance, rank and, if
-    wanted, document). Rows outside the gate ignore hits.
+    wanted, document), where query_id is the record's `key` or, if named, its column `asked`, which many records
+    may share. Rows outside the gate ignore hits.
     """
     decided = scored if "retrieve" in scored.columns else with_decision(with_prediction_stub(scored))
     shown = [c for c in ("id", "document", "distance") if c in hits.columns]
@@ -118,7 +120,7 @@ def assess(
     )
     votes = neighbour_votes(hits, outcomes, max_distance).select("query_id", "majority_loss")
     evidence = found.join(votes, "query_id", "left").withColumnRenamed("query_id", "__query")
-    joined = decided.join(evidence, (F.col(key) == F.col("__query")) & F.col("retrieve"), "left").drop("__query")
+    joined = decided.join(evidence, (F.col(asked or key) == F.col("__query")) & F.col("retrieve"), "left").drop("__query")
 
     retrieval_error = F.col("retrieval_error") if "retrieval_error" in scored.columns else F.lit(None).cast("string")
     has_hits = F.col("retrieved_records").isNotNull()
