@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -50,15 +50,53 @@ def silhouette(df: DataFrame, features: str, cluster: str, distance: str = "squa
     return evaluator.evaluate(df.withColumn(cluster, F.col(cluster).cast("double")))
 
 
-SILHOUETTE_BLOCK = 2_048
+#: Most rows of a block, and most numbers in its vectors.
+SILHOUETTE_BLOCK, SILHOUETTE_NUMBERS = 32_768, 4_194_304
+#: Rows of a tile; squared gaps below this share of the squared lengths are taken from differences.
+TILE, CLOSE = 256, 1e-4
+
+
+def _gaps(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Distances of the rows of two tiles: by products, and by differences where rows are so near that products lose digits."""
+    mine, theirs = (x * x).sum(axis=1), (y * y).sum(axis=1)
+    square = (-2.0 * x) @ y.T
+    square += mine[:, None]
+    square += theirs
+    if square.min() < CLOSE * (mine.max() + theirs.max()):
+        i, j = np.nonzero(square < CLOSE * (mine[:, None] + theirs))
+        for a in range(0, len(i), 16_384):
+            at = i[a : a + 16_384], j[a : a + 16_384]
+            square[at] = ((x[at[0]] - y[at[1]]) ** 2).sum(axis=1)
+    return np.sqrt(square, out=square)
+
+
+def _gap_sums(x: np.ndarray, mine: np.ndarray, y: np.ndarray, theirs: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of distances by cluster, for the rows of x to those of y and back; `mine` and `theirs` mark clusters with 1."""
+    there, back = np.zeros((len(x), theirs.shape[1])), np.zeros((len(y), mine.shape[1]))
+    for a in range(0, len(x), TILE):
+        for b in range(0, len(y), TILE):
+            gap = _gaps(x[a : a + TILE], y[b : b + TILE])
+            there[a : a + TILE] += gap @ theirs[b : b + TILE]
+            if not same:
+                back[b : b + TILE] += gap.T @ mine[a : a + TILE]
+    return there, back
+
+
+def _marks(names: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    return (labels[:, None] == names[None, :]).astype(np.float64)
+
+
+def _wide(column: pa.ChunkedArray) -> np.ndarray:
+    flat = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks])
+    return flat.reshape(len(column), -1)
 
 
 def euclidean_silhouette(df: DataFrame, features: str, cluster: str, most_rows: int | None = None, seed: int = 42) -> float:
     """Mean silhouette with plain distances: (b - a) / max(a, b) per row, 0 in a cluster of one row.
 
-    Blocks of rows meet blocks of rows, each pair in a group of bounded size that leaves one sum per row and cluster;
-    sums are added up before they are shuffled. All pairs are compared, so the cost grows with the square of the rows:
-    `most_rows` takes about that many by a hash of the row's number instead, and the result is theirs.
+    Each pair of blocks of rows is one group of bounded size that is compared once, for the rows of both, and leaves one sum
+    per row and cluster; sums are added up before they are shuffled. All pairs are compared, so the cost grows with the square
+    of the rows: `most_rows` takes about that many by a hash of the row's number instead, and the result is theirs.
     """
     rows = df.select(vector_to_array(features).alias("v"), F.col(cluster).cast("string").alias("c")).where("v IS NOT NULL AND c IS NOT NULL")
     rows = written(rows.withColumn("id", F.monotonically_increasing_id()))
@@ -69,27 +107,35 @@ def euclidean_silhouette(df: DataFrame, features: str, cluster: str, most_rows:
     sizes = rows.groupBy(F.col("c").alias("other")).agg(F.count(F.lit(1)).alias("n"))
     if len(sizes.limit(2).collect()) < 2:
         raise ValueError("needs at least two clusters")
-    blocks = math.ceil(n / SILHOUETTE_BLOCK)
+    parallel = df.sparkSession.sparkContext.defaultParallelism
+    widest = max(rows.agg(F.max(F.size("v"))).first()[0], sizes.count())  # a row has its numbers and a sum per cluster
+    most = min(SILHOUETTE_BLOCK, max(2_048, SILHOUETTE_NUMBERS // max(1, widest)))
+    blocks = max(math.ceil(n / most), min(math.ceil(n / min(most, 2_048)), math.ceil(math.sqrt(8 * parallel))))
+    tasks = min(4_096, max(blocks * (blocks + 1), parallel))
     own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"id": [], "c": [], "other": [], "s": []})
-        x, y = np.vstack(a["v"].to_numpy()), np.vstack(b["v"].to_numpy())
-        names, codes = np.unique(b["c"].to_numpy().astype(str), return_inverse=True)
-        sums = np.zeros((len(x), len(names)))
-        for i in range(0, len(x), 64):  # differences, not squares of products: no digits are lost between near rows
-            gap = np.sqrt(((x[i : i + 64, None, :] - y[None, :, :]) ** 2).sum(axis=2))
-            for k in range(len(names)):
-                sums[i : i + 64, k] = gap[:, codes == k].sum(axis=1)
-        return pd.DataFrame(
-            {"id": np.repeat(a["id"].to_numpy(), len(names)), "c": np.repeat(a["c"].to_numpy(), len(names)), "other": np.tile(names, len(x)), "s": sums.ravel()}
-        )
-
-    left = rows.select("id", "c", "v", own.alias("p"), every.alias("q")).groupBy("p", "q")
-    right = rows.select("id", "c", "v", own.alias("q"), every.alias("p")).groupBy("p", "q")
-    sums = left.cogroup(right).applyInPandas(run, "id long, c string, other string, s double")
+    spread = rows.select("id", "c", "v", own.alias("own"))
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not len(a) or not len(b):
+            return made.empty_table()
+        sides = [(t["id"].to_numpy(), t["c"].to_numpy().astype(str), _wide(t["v"])) for t in (a, b)]
+        (ids, c, x), (others, d, y) = sides
+        mine, theirs = np.unique(c), np.unique(d)
+        same = a["p"][0].as_py() == a["q"][0].as_py()
+        there, back = _gap_sums(x, _marks(mine, c), y, _marks(theirs, d), same)
+        found = [(ids, c, theirs, there)] if same else [(ids, c, theirs, there), (others, d, mine, back)]
+        columns = [
+            np.concatenate(p)
+            for p in zip(*[(np.repeat(i, len(m)), np.repeat(g, len(m)), np.tile(m, len(i)), sums.ravel()) for i, g, m, sums in found])
+        ]
+        return pa.table([pa.array(v) for v in columns], made)
+
+    # block p meets the blocks from p on
+    left = spread.select("id", "c", "v", F.col("own").alias("p"), F.explode(F.sequence("own", F.lit(blocks - 1))).alias("q"))
+    right = spread.select("id", "c", "v", F.col("own").alias("q"), F.explode(F.sequence(F.lit(0), "own")).alias("p"))
+    left, right = (side.repartition(tasks, "p", "q").groupBy("p", "q") for side in (left, right))
+    made = pa.schema([("id", pa.int64()), ("c", pa.string()), ("other", pa.string()), ("s", pa.float64())])
+    sums = left.cogroup(right).applyInArrow(run, "id long, c string, other string, s double")
     means = sums.groupBy("id", "c", "other").agg(F.sum("s").alias("s")).join(F.broadcast(sizes), "other")  # a row per cluster
     inside = F.max(F.when(F.col("other") == F.col("c"), F.col("s") / F.nullif(F.col("n") - 1, F.lit(0))))
     outside = F.min(F.when(F.col("other") != F.col("c"), F.col("s") / F.col("n")))

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from riskloom.operators import clusters as km
 from riskloom.operators import policy as pl
 from riskloom.operators import similarity as sm
 
@@ -63,3 +64,28 @@ def test_records_of_one_text_share_its_hits(spark):
     outcomes = spark.createDataFrame([("a", True)], "record_id string, is_loss_making boolean")
     out = pl.assess(scored, hits, outcomes, asked="said").select("record_id", "conflict_detected").collect()
     assert {tuple(r) for r in out} == {("r1", True), ("r2", True), ("r3", False)}
+
+
+def test_distances_by_products_keep_their_digits():
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(40, 6)) + 1e3
+    y = np.vstack([x + rng.normal(size=x.shape) * 1e-4, rng.normal(size=(40, 6))])
+    exact = np.sqrt(((x[:, None, :] - y[None, :, :]) ** 2).sum(axis=2))
+    assert np.abs(km._gaps(x, y) / exact - 1).max() < 1e-9
+    marks = km._marks(np.array(["a", "b"]), np.array(["a", "b"] * 40))
+    there, back = km._gap_sums(x, marks[:40], y, marks, False)
+    assert np.allclose(there, exact @ marks) and np.allclose(back, exact.T @ marks[:40])
+
+
+def test_each_pair_of_blocks_is_compared_once(spark, monkeypatch):
+    monkeypatch.setattr(km, "SILHOUETTE_BLOCK", 10)
+    rng = np.random.default_rng(8)
+    rows = [(i, i % 3, rng.normal(size=4).tolist()) for i in range(90)]
+    df = km.as_vectors(spark.createDataFrame(rows, "id long, c int, v array<double>"), "v", "f")
+    x, c = np.array([r[2] for r in rows]), np.arange(90) % 3
+    gap = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2))
+    total = np.stack([gap[:, c == k].sum(axis=1) for k in range(3)], axis=1)
+    inside = total[np.arange(90), c] / 29
+    total[np.arange(90), c] = np.inf
+    outside = total.min(axis=1) / 30
+    assert abs(km.euclidean_silhouette(df, "f", "c") - ((outside - inside) / np.maximum(inside, outside)).mean()) < 1e-9
