@@ -16,6 +16,8 @@ CORRUPT = "_corrupt_record"
 # Document extensions; the binary ones are listed but not parsed.
 TEXT_EXTENSIONS = ("txt", "md")
 OTHER_EXTENSIONS = ("pdf", "docx", "doc")
+#: Files that one task writes, and the setting by which tasks, not the driver, move what they wrote.
+FILES_A_TASK, COMMIT_VERSION = 500, "mapreduce.fileoutputcommitter.algorithm.version"
 
 
 def read_records_csv(spark: SparkSession, path: str, schema: T.StructType = RECORD) -> DataFrame:
@@ -94,9 +96,14 @@ def read_eval_items(spark: SparkSession, path: str, array: bool = True) -> DataF
 def write_documents(
     df: DataFrame, key: str, text: str, path: str, buckets: int = 64, one_file_each: bool = False
 ) -> None:
-    """Documents by key. Default: JSON lines in hash buckets; on request one text file per row."""
+    """Documents by key. Default: JSON lines in hash buckets; on request one text file per row.
+
+    Single files are dealt to tasks by key, about `FILES_A_TASK` each, and each task puts its own in place.
+    """
     if one_file_each:
-        df.select(text, key).write.mode("overwrite").partitionBy(key).text(path)
+        tasks = max(1, math.ceil(df.count() / FILES_A_TASK))
+        dealt = df.select(text, key).repartition(tasks, key)
+        dealt.write.mode("overwrite").option(COMMIT_VERSION, "2").partitionBy(key).text(path)
         return
     bucket = F.pmod(row_hash(key), F.lit(buckets)).alias("bucket")
     df.select(F.col(key).alias("id"), F.col(text).alias("text"), bucket).write.mode("overwrite").partitionBy("bucket").json(path)

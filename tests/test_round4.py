@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from riskloom.operators import clusters as km
 from riskloom.operators import policy as pl
 from riskloom.operators import similarity as sm
+from riskloom.sources import files as fl
 
 
 def near_rows(q, base, k):
@@ -89,3 +90,12 @@ def test_each_pair_of_blocks_is_compared_once(spark, monkeypatch):
     total[np.arange(90), c] = np.inf
     outside = total.min(axis=1) / 30
     assert abs(km.euclidean_silhouette(df, "f", "c") - ((outside - inside) / np.maximum(inside, outside)).mean()) < 1e-9
+
+
+def test_single_files_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(fl, "FILES_A_TASK", 5, raising=False)
+    df = spark.createDataFrame([(f"k{i}", f"text {i}") for i in range(20)], "id string, text string").coalesce(1)
+    fl.write_documents(df, "id", "text", str(tmp_path / "d"), one_file_each=True)
+    names = [p.name for p in (tmp_path / "d").glob("id=*/part-*")]
+    assert len(names) == 20 and len({n[:10] for n in names}) > 1
+    assert sorted(map(tuple, fl.read_text_folder(spark, str(tmp_path / "d")).collect())) == sorted((f"k{i}", f"text {i}") for i in range(20))
