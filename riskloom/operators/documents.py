@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
@@ -170,20 +170,30 @@ class TextEmbedder:
         return out.drop("__words", "__tf", "__idf", "__unit")
 
 
+#: Texts that an embedding function gets at once.
+EMBED_ROWS = 512
+
+
 def embed_with(
     df: DataFrame, function: Callable[[list[str]], Sequence[Sequence[float]]], text: str = "text", name: str = "embedding"
 ) -> DataFrame:
-    """Embed by a user function from a list of texts to a list of vectors, per Arrow batch."""
+    """Embed by a user function from a list of texts to a list of vectors, at most `EMBED_ROWS` texts a call.
+
+    Other columns pass as they are; no more than the texts and vectors of one call become Python objects.
+    """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            vectors = function(pdf[text].tolist())
-            if len(vectors) != len(pdf):
-                raise ValueError(f"{len(vectors)} vectors for {len(pdf)} texts")
-            yield pdf.assign(**{name: [list(map(float, v)) for v in vectors]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, EMBED_ROWS):
+                part = batch.slice(start, EMBED_ROWS)
+                vectors = function(part.column(part.schema.get_field_index(text)).to_pylist())
+                if len(vectors) != part.num_rows:
+                    raise ValueError(f"{len(vectors)} vectors for {part.num_rows} texts")
+                made = pa.array([list(map(float, v)) for v in vectors], pa.list_(pa.float32()))
+                yield pa.RecordBatch.from_arrays([*part.columns, made], names=[*part.schema.names, name])
 
     schema = T.StructType([*df.schema.fields, T.StructField(name, T.ArrayType(T.FloatType()))])
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 # Document types of tables.

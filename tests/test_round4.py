@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskloom.operators import clusters as km
+from riskloom.operators import documents as dc
 from riskloom.operators import policy as pl
 from riskloom.operators import similarity as sm
 from riskloom.sources import files as fl
@@ -99,3 +100,10 @@ def test_single_files_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
     names = [p.name for p in (tmp_path / "d").glob("id=*/part-*")]
     assert len(names) == 20 and len({n[:10] for n in names}) > 1
     assert sorted(map(tuple, fl.read_text_folder(spark, str(tmp_path / "d")).collect())) == sorted((f"k{i}", f"text {i}") for i in range(20))
+
+
+def test_an_embedding_function_gets_few_texts_at_once(spark):
+    df = spark.range(3_000).coalesce(1).select("id", F.when(F.col("id") != 7, F.concat(F.lit("t"), "id")).alias("text"))
+    out = dc.embed_with(df, lambda texts: [[len(texts), len(s or "")] for s in texts]).collect()
+    assert len(out) == 3_000 and max(r["embedding"][0] for r in out) <= 512
+    assert all(r["embedding"][1] == len(r["text"] or "") for r in out)
