@@ -28,7 +28,7 @@ BROADCAST_HITS = 500_000
 QUERY_BLOCK, BASE_BLOCK, BLOCK_NUMBERS, LEAST_QUERIES = 131_072, 524_288, 4_194_304, 2_048
 STEP = 512
 #: Rows of a leaf and of a tile of queries, and most leaves compared at once.
-LEAF, TILE, MOST_LEAVES = 256, 256, 16
+LEAF, TILE, MOST_LEAVES = 256, 256, 4
 #: Distances are rounded to nine digits: bounds keep what could round to the same.
 SLACK = 2e-9
 
@@ -117,14 +117,16 @@ class _Base:
     def _compare(self, rows: np.ndarray, names: np.ndarray, q: np.ndarray, best: np.ndarray, found: np.ndarray, skip_same: bool) -> None:
         ids, k = self.ids[rows], self.k
         distance = 1.0 - q @ self.m[rows].T
-        if skip_same:
-            distance[names[:, None] == ids[None, :]] = np.inf
         worst = best[:, -1]
         if len(rows) > k and np.isinf(worst).any():
+            if skip_same:
+                distance[names[:, None] == ids[None, :]] = np.inf
             worst = np.minimum(worst, np.partition(distance, k - 1, axis=1)[:, k - 1])
         at, column = np.nonzero(distance <= (worst + SLACK)[:, None])
         near, other = np.round(distance[at, column], 9), ids[column]
         better = np.isfinite(near) & ((near < best[at, -1]) | ((near == best[at, -1]) & (other < found[at, -1])))
+        if skip_same:
+            better &= names[at] != other
         if not better.any():
             return
         at, near, other = at[better], near[better], other[better]
