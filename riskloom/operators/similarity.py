@@ -27,6 +27,8 @@ BROADCAST_HITS = 500_000
 #: Most rows of a block, and most numbers in its vectors; blocks of queries are made smaller for more tasks, not below LEAST_QUERIES.
 QUERY_BLOCK, BASE_BLOCK, BLOCK_NUMBERS, LEAST_QUERIES = 131_072, 524_288, 4_194_304, 2_048
 STEP = 512
+#: Numbers of a block's base vectors that are turned to doubles at once.
+PART_NUMBERS = 524_288
 #: Rows of a leaf and of a tile of queries, and most leaves compared at once.
 LEAF, TILE, MOST_LEAVES = 256, 256, 4
 #: Distances are rounded to nine digits: bounds keep what could round to the same.
@@ -47,10 +49,27 @@ def _turned_to_one(m: np.ndarray) -> np.ndarray:
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     """Unit rows of a list column; rows of zeros or missing numbers are NaN."""
     n = len(column)
-    flat = np.concatenate([c.flatten().to_numpy(zero_copy_only=False).astype(np.float64) for c in column.chunks]) if n else np.zeros(0)
-    if n and (len(flat) % n or pc.min(pc.list_value_length(column)).as_py() != len(flat) // n):
+    if not n:
+        return np.zeros((0, 0))
+    lengths = pc.min_max(pc.list_value_length(column)).as_py()
+    if lengths["min"] != lengths["max"]:
         raise ValueError("vectors of different lengths")
-    return _turned_to_one(flat.reshape(n, -1)) if n else np.zeros((0, 0))
+    out = np.empty((n, lengths["min"]))
+    step, start = max(LEAF, PART_NUMBERS // max(1, lengths["min"])), 0
+    for chunk in column.chunks:
+        for at in range(0, len(chunk), step):
+            part = chunk.slice(at, step)
+            flat = part.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            out[start : start + len(part)] = _turned_to_one(flat.reshape(len(part), -1))
+            start += len(part)
+    return out
+
+
+def _parts(table: pa.Table) -> Iterator[pa.Table]:
+    """A block in slices of whole rows, so that only the doubles of one are held."""
+    longest = pc.max(pc.list_value_length(table["vector"])).as_py() or 1
+    step = max(LEAF, PART_NUMBERS // longest)
+    return (table.slice(at, step) for at in range(0, len(table), step))
 
 
 def _leaves(m: np.ndarray, size: int) -> list[np.ndarray]:
@@ -144,8 +163,9 @@ class _Asked:
     """Queries in tiles of near rows, with their best k so far."""
 
     def __init__(self, names: np.ndarray, m: np.ndarray, k: int, skip_same: bool):
-        fine = np.flatnonzero(np.isfinite(m).all(axis=1))
-        names, m = names[fine], m[fine]
+        fine = np.isfinite(m).all(axis=1)
+        if not fine.all():
+            names, m = names[fine], m[fine]
         parts = _leaves(m, TILE)
         order = np.concatenate(parts)
         self.names, self.m, self.k, self.skip_same = names[order], m[order], k, skip_same
@@ -235,7 +255,8 @@ def _by_blocks(queries: DataFrame, base: DataFrame, k: int, skip_same: bool) ->
     def run(q: pa.Table, b: pa.Table) -> pa.Table:
         asked = _Asked(_longs(q["query_id"]), _matrix(q["vector"]), k, skip_same)
         asked.start()
-        asked.meet(_longs(b["id"]), _matrix(b["vector"]))
+        for part in _parts(b):
+            asked.meet(_longs(part["id"]), _matrix(part["vector"]))
         return pa.Table.from_batches(asked.hits(), _ARROW_HITS)
 
     return left.cogroup(right).applyInArrow(run, _HITS)
