@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.plans.ranking import value_ranks
+from riskloom.plans.ranking import bucket_areas, value_ranks
 
 # Default thresholds of the sweep.
 THRESHOLDS = (0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.91, 0.92, 0.93, 0.94, 0.95, 0.96, 0.97, 0.98, 0.99)
@@ -16,9 +16,9 @@ THRESHOLDS = (0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.91, 0.92, 0.93, 0.94, 0.
 EPSILON = 2.0**-52
 
 
-def _outcomes(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
+def _outcomes(df: DataFrame, label: str, score: str) -> DataFrame:
     y = F.col(label).cast("int")
-    return value_ranks(df, score, by, {"pos": (y == 1).cast("long"), "neg": (y == 0).cast("long")})
+    return value_ranks(df, score, (), {"pos": (y == 1).cast("long"), "neg": (y == 0).cast("long")})
 
 
 def area_from_ranks(ranks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -30,7 +30,10 @@ def area_from_ranks(ranks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def roc_auc(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
     """Exact area under the ROC curve, one row per group."""
-    return area_from_ranks(_outcomes(df, label, score, by), by)
+    y = F.col(label).cast("int")
+    sums = bucket_areas(df, score, by, (y == 1).cast("long"), (y == 0).cast("long"))
+    area = F.col("area") / (F.nullif("pos", F.lit(0)).cast("double") * F.nullif("neg", F.lit(0)))
+    return sums.select(*by, area.alias("auc"))
 
 
 def _counts(df: DataFrame, label: str, score: str, thresholds: Sequence[float]) -> DataFrame:

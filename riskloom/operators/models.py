@@ -152,7 +152,8 @@ def train_candidates(
 
 
 def _auc(model: PipelineModel, df: DataFrame, target: str) -> float:
-    return round(roc_auc(probability(model, df, "__p"), target, "__p").first()["auc"], 4)
+    scores = written(probability(model, df, "__p").select(target, "__p"))  # read twice, predicted once
+    return round(roc_auc(scores, target, "__p").first()["auc"], 4)
 
 
 def score(df: DataFrame, trained: TrainedModel) -> DataFrame:

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -26,15 +27,16 @@ def bucket_count(df: DataFrame) -> int:
     return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def _edges(df: DataFrame, columns: Sequence[str], n: int) -> tuple[list[list[float]], float]:
-    """Bucket edges per column and the largest approximate distinct count, in one pass."""
+def _edges(df: DataFrame, columns: Sequence[str], n: int) -> tuple[list[list[float]], float, bool]:
+    """Bucket edges per column, the largest approximate distinct count, and whether a value is two edges, in one pass."""
     probs = [i / n for i in range(1, n)]
     row = df.agg(
         *[F.percentile_approx(F.col(c).cast("double"), probs, max(1000, 20 * n)).alias(f"e{i}") for i, c in enumerate(columns)],
         *[F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(columns)],
     ).first()
     edges = [sorted({e for e in (row[f"e{i}"] or []) if math.isfinite(e)}) or [0.0] for i in range(len(columns))]
-    return edges, max(row[f"d{i}"] for i in range(len(columns)))
+    tied = any(len(set(row[f"e{i}"] or [])) < n - 1 for i in range(len(columns)))
+    return edges, max(row[f"d{i}"] for i in range(len(columns))), tied
 
 
 def with_buckets(df: DataFrame, columns: Sequence[str], buckets: int | None = None) -> tuple[DataFrame, bool]:
@@ -43,10 +45,15 @@ def with_buckets(df: DataFrame, columns: Sequence[str], buckets: int | None = No
     Columns with few distinct values need no buckets: a group then has few counted rows. The
     second result tells whether buckets are used.
     """
+    return _bucketed(df, columns, buckets)[:2]
+
+
+def _bucketed(df: DataFrame, columns: Sequence[str], buckets: int | None = None) -> tuple[DataFrame, bool, bool]:
+    """`with_buckets` and whether a value may hold more rows than a bucket; without buckets it may."""
     n = buckets or bucket_count(df)
-    edges, distinct = _edges(df, columns, n)
+    edges, distinct, tied = _edges(df, columns, n)
     if distinct <= SMALL_ROWS and not buckets:
-        return df.withColumns({f"__b_{c}": F.lit(0) for c in columns}), False
+        return df.withColumns({f"__b_{c}": F.lit(0) for c in columns}), False, True
     doubles = df.withColumns({f"__d_{c}": F.col(c).cast("double") for c in columns})
     bucketizer = Bucketizer(
         splitsArray=[[-math.inf, *e, math.inf] for e in edges],
@@ -54,7 +61,9 @@ def with_buckets(df: DataFrame, columns: Sequence[str], buckets: int | None = No
         outputCols=[f"__b_{c}" for c in columns],
         handleInvalid="keep",
     )
-    return bucketizer.transform(doubles).drop(*[f"__d_{c}" for c in columns]), True
+    # whole numbers: doubles are normalized before each shuffle, which hides that rows already lie by bucket
+    whole = {f"__b_{c}": F.col(f"__b_{c}").cast("int") for c in columns}
+    return bucketizer.transform(doubles).drop(*[f"__d_{c}" for c in columns]).withColumns(whole), True, tied
 
 
 def _ranked(counts: DataFrame, group: list[str], measures: Sequence[str], bucketed: bool) -> DataFrame:
@@ -85,6 +94,27 @@ def _ranked(counts: DataFrame, group: list[str], measures: Sequence[str], bucket
     ).drop(*[f"__o_{m}" for m in measures])
 
 
+def _ranked_near(rows: DataFrame, group: list[str], wanted: Callable[[Column, Column, Column], Column]) -> DataFrame:
+    """rows(group..., bucket, value) as group..., value, n, before_n and total_n of those buckets that hold a wanted rank.
+
+    `wanted` gets the rows before a bucket, the rows in it and the rows of the group. Rows of other buckets are only counted,
+    not shuffled. Where very many buckets are wanted all values are ranked.
+    """
+    sizes = rows.groupBy(*group, "bucket").agg(F.count(F.lit(1)).alias("__s"))
+    # one row per group and bucket
+    whole = Window.partitionBy(*group)
+    before = F.coalesce(F.sum("__s").over(whole.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spans = sizes.withColumns({"__o": before, "total_n": F.sum("__s").over(whole)})
+    near = settle(spans.where(wanted(F.col("__o"), F.col("__s"), F.col("total_n"))).drop("__s"))
+    if near.count() > SMALL_ROWS:
+        counts = rows.groupBy(*group, "bucket", "value").agg(F.count(F.lit(1)).alias("n"))
+        return _ranked(counts, group, ["n"], True).drop("bucket")
+    kept = attach(rows, F.broadcast(near), [*group, "bucket"], "inner")
+    counts = kept.groupBy(*group, "bucket", "__o", "total_n", "value").agg(F.count(F.lit(1)).alias("n"))
+    below = Window.partitionBy(*group, "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.withColumn("before_n", F.col("__o") + F.coalesce(F.sum("n").over(below), F.lit(0))).drop("bucket", "__o")
+
+
 def value_ranks(
     df: DataFrame,
     column: str,
@@ -104,8 +134,17 @@ def value_ranks(
     return _ranked(counts, list(by), ["n", *extra], bucketed).drop("bucket")
 
 
-def column_ranks(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
-    """`value_ranks` for many numeric columns in one job; the column name is in `feature`."""
+def column_ranks(
+    df: DataFrame,
+    columns: Sequence[str],
+    by: Sequence[str] = (),
+    buckets: int | None = None,
+    wanted: Callable[[Column, Column, Column], Column] | None = None,
+) -> DataFrame:
+    """`value_ranks` for many numeric columns in one job; the column name is in `feature`.
+
+    With `wanted` (see `_ranked_near`) at least the values of the buckets that hold a wanted rank.
+    """
     wide, bucketed = with_buckets(df, columns, buckets)
     cells = [
         F.struct(
@@ -115,12 +154,10 @@ def column_ranks(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (),
         )
         for c in columns
     ]
-    counts = (
-        wide.select(*by, F.inline(F.array(*cells)))
-        .where(F.col("value").isNotNull() & ~F.isnan("value"))
-        .groupBy(*by, "feature", "bucket", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    rows = wide.select(*by, F.inline(F.array(*cells))).where(F.col("value").isNotNull() & ~F.isnan("value"))
+    if wanted and bucketed:
+        return _ranked_near(rows, [*by, "feature"], wanted)
+    counts = rows.groupBy(*by, "feature", "bucket", "value").agg(F.count(F.lit(1)).alias("n"))
     return _ranked(counts, [*by, "feature"], ["n"], bucketed).drop("bucket")
 
 
@@ -133,7 +170,11 @@ def quantiles(
     df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str] = ()
 ) -> DataFrame:
     """Exact linearly interpolated quantiles: by..., feature, q0, q1, ... in the order of `probs`."""
-    ranks = column_ranks(df, columns, by)
+    def wanted(before: Column, n: Column, total: Column) -> Column:
+        spots = [f((total - 1) * F.lit(float(p))) for p in probs for f in (F.floor, F.ceil)]
+        return reduce(lambda a, b: a | b, ((before <= x) & (x < before + n) for x in spots), F.lit(False))
+
+    ranks = column_ranks(df, columns, by, wanted=wanted)
     picks = []
     for i, p in enumerate(probs):
         pos = (F.col("total_n") - 1) * F.lit(float(p))
@@ -169,7 +210,13 @@ def cuts(
     columns must be numeric and identify a row.
     """
     first, *rest = order
-    ranks = value_ranks(df.where(F.col(first).isNotNull()), first, by).withColumn("__k", k(F.col("total_n")))
+    rows, bucketed = with_buckets(df.where(F.col(first).isNotNull()), [first])
+    rows = rows.select(*by, F.col(f"__b_{first}").alias("bucket"), F.col(first).alias("value"))
+    if bucketed:
+        ranks = _ranked_near(rows, list(by), lambda before, n, total: (before < k(total)) & (k(total) <= before + n))
+    else:
+        ranks = _ranked(rows.groupBy(*by, "bucket", "value").agg(F.count(F.lit(1)).alias("n")), list(by), ["n"], False)
+    ranks = ranks.withColumn("__k", k(F.col("total_n")))
     hit = ranks.where((F.col("before_n") < F.col("__k")) & (F.col("__k") <= F.col("before_n") + F.col("n")))
     # one row per group; fixed so that later jobs do not rank again
     found = settle(
@@ -222,6 +269,26 @@ def first_rows_flag(
     return flagged.drop(*[f"__cut{i}" for i in range(len(order))])
 
 
+def bucket_areas(df: DataFrame, column: str, by: Sequence[str], pos: Column, neg: Column) -> DataFrame:
+    """by..., pos, neg, area: Mann-Whitney counts of `pos` rows above `neg` rows in the order of `column`, ties half.
+
+    Each bucket is added up by itself; lower buckets enter by their totals, so values are ranked inside their bucket only.
+    Where no value fills a bucket, rows are shuffled once, to their bucket; else equal values are counted before.
+    """
+    rows, _, tied = _bucketed(df.where(F.col(column).isNotNull()), [column])
+    rows = rows.select(*by, F.col(f"__b_{column}").alias("bucket"), F.col(column).alias("value"), pos.alias("__pos"), neg.alias("__neg"))
+    rows = rows if tied else rows.repartition(*by, "bucket")
+    counts = rows.groupBy(*by, "bucket", "value").agg(F.sum("__pos").alias("pos"), F.sum("__neg").alias("neg"))
+    below = Window.partitionBy(*by, "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    inside = counts.withColumn("__below", F.coalesce(F.sum("neg").over(below), F.lit(0)).cast("double") + F.col("neg") / 2.0)
+    parts = inside.groupBy(*by, "bucket").agg(F.sum(F.col("pos") * F.col("__below")).alias("__area"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    # one row per group and bucket
+    lower = Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("neg").over(lower), F.lit(0)).cast("double")
+    whole = parts.withColumn("__area", F.col("__area") + F.col("pos") * before)
+    return whole.groupBy(*by).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum("__area").alias("area"))
+
+
 def dense_numbers(df: DataFrame, key: str, name: str, start: int = 0) -> DataFrame:
     """`df` with consecutive numbers in the order of `key`, a unique column of any orderable type.
 
@@ -240,6 +307,6 @@ def dense_numbers(df: DataFrame, key: str, name: str, start: int = 0) -> DataFra
 
 
 __all__ = [
-    "bucket_count", "column_ranks", "cuts", "dense_numbers", "first_rows_flag", "medians",
+    "bucket_areas", "bucket_count", "column_ranks", "cuts", "dense_numbers", "first_rows_flag", "medians",
     "not_after", "quantiles", "value_ranks", "with_buckets",
 ]
