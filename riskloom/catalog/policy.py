@@ -171,8 +171,8 @@ def _(t):
 
     store, embed = letter_store(t)
     outcomes = t.documents.select(F.col("doc_id").cast("string").alias("record_id"), (F.col("doc_id") % 3 == 0).alias("is_loss_making"))
-    out = assess_requests(requests, predict, lambda texts: store.search(texts, embed), outcomes, record_fields=names)
-    shown = F.from_json(F.get_json_object("evidence", "$.retrieved_records"), "array<struct<record_id:string>>")
+    out = assess_requests(requests, predict, lambda texts: store.search(texts, embed, shared=True), outcomes, record_fields=names)
+    shown = F.from_json("evidence", "struct<retrieved_records:array<struct<record_id:string>>>")["retrieved_records"]
     return out.select(
         "record_id", "risk_assessment", "confidence_level", "second_opinion_recommended", "conflict_detected",
         F.array_join(shown["record_id"], "|").alias("found"), F.array_join("warnings", "|").alias("warnings"), F.array_join("tools_used", "|").alias("tools_used"),

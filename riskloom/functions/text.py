@@ -107,7 +107,8 @@ def json_object(column: str | Column) -> Column:
 
 
 def squeeze(text: str | Column) -> Column:
-    return F.regexp_replace(F.col(text) if isinstance(text, str) else text, r"(?U)\s+", " ")
+    """Every run of white space as one blank; a single blank is no match, so most words cost no replacement."""
+    return F.regexp_replace(F.col(text) if isinstance(text, str) else text, r"(?U)[\s&&[^ ]]\s*| \s+", " ")
 
 
 def normal_form(text: str | Column) -> Column:

@@ -12,6 +12,7 @@ from riskloom.functions.text import retrieval_query
 from riskloom.operators.cleaning import pad_features, quality_flags
 from riskloom.operators.models import TrainedModel, score, top_features
 from riskloom.operators.policy import MAX_DISTANCE, assess, with_decision, with_prediction_stub
+from riskloom.operators.similarity import SharedHits
 from riskloom.plans.frames import written
 
 _PREDICTED = ("probability_of_loss", "is_loss_making_prediction", "top_features", "model_warnings")
@@ -31,7 +32,7 @@ def predict_loss(requests: DataFrame, steps: PipelineModel, trained: TrainedMode
 def assess_requests(
     requests: DataFrame,
     predict: Callable[[DataFrame], DataFrame],
-    search: Callable[[DataFrame], DataFrame],
+    search: Callable[[DataFrame], DataFrame | SharedHits],
     outcomes: DataFrame,
     key: str = "record_id",
     record_fields: Sequence[str] = (),
@@ -42,8 +43,8 @@ def assess_requests(
     `predict` adds the prediction columns and, where scoring failed, `prediction_error`; rows without a
     probability and without an error count as failed. Decisions are made once and written. Only requests inside
     the gate are searched, each distinct text once: `search` gets (query_id, text) and returns
-    (query_id, id, distance, rank and, if wanted, document), read twice. Hits are gathered by text and meet the requests
-    by text, so documents are shuffled once, for each distinct text.
+    (query_id, id, distance, rank and, if wanted, document), read twice, or the same as `SharedHits`: then evidence is put
+    together once for all texts that share their hits, and documents are never shuffled for each text.
     """
     predicted = predict(requests.withColumn("input_quality_flags", quality_flags()))
     if "prediction_error" not in predicted.columns:
@@ -51,6 +52,6 @@ def assess_requests(
     error = F.coalesce("prediction_error", F.when(F.col("probability_of_loss").isNull(), F.lit("no prediction")))
     predicted = predicted.withColumns({"prediction_error": error, "__text": retrieval_query()})
     decided = written(with_decision(with_prediction_stub(predicted)))
-    asked = decided.where("retrieve").select(F.col("__text").alias("query_id"))
-    found = search(asked.select("query_id", F.col("query_id").alias("text")).distinct())
+    asked = decided.where("retrieve").select(F.col("__text").alias("query_id")).distinct()
+    found = search(asked.select("query_id", F.col("query_id").alias("text")))
     return assess(decided, found, outcomes, key, record_fields, max_distance, "__text")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator, Sequence
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskloom.functions.text import content_hash, split_characters, split_sentences
-from riskloom.operators.similarity import cosine_top_k
+from riskloom.operators.similarity import SharedHits, cosine_top_k
 from riskloom.plans.frames import written
 from riskloom.sources.tables import upsert
 from riskloom.sources.versions import Side, VersionedTable
@@ -50,13 +52,24 @@ def new_documents(
     copied into a third of all rows is one group of small partial results. The texts themselves are
     read once more and kept by a join on the unique order key, which also brings the hash back.
     """
-    hashed = with_hash(batch, text)
-    key = F.struct(*order) if len(order) > 1 else F.col(order[0])
-    first = hashed.groupBy(HASH).agg(F.min(key).alias("__first"))
+    return _kept(batch, _first_keys(batch, order, text), store, order, text)
+
+
+def _order_key(order: Sequence[str]) -> Column:
+    return F.struct(*order) if len(order) > 1 else F.col(order[0])
+
+
+def _first_keys(batch: DataFrame, order: Sequence[str], text: str) -> DataFrame:
+    """(content_hash, __first): the least order key of every content."""
+    return with_hash(batch, text).groupBy(HASH).agg(F.min(_order_key(order)).alias("__first"))
+
+
+def _kept(batch: DataFrame, first: DataFrame, store: DataFrame | None, order: Sequence[str], text: str) -> DataFrame:
+    """Rows of the batch with a first key whose content is not in the store."""
     if store is not None:
         known = with_hash(store, text).select(HASH).distinct()
         first = first.join(known, first[HASH].eqNullSafe(known[HASH]), "left_anti")
-    rows = batch.drop(HASH).withColumn("__key", key)
+    rows = batch.drop(HASH).withColumn("__key", _order_key(order))
     return rows.join(first, F.col("__key") == F.col("__first")).drop("__key", "__first").select(*batch.drop(HASH).columns, HASH)
 
 
@@ -79,6 +92,10 @@ def hash_index(rows: DataFrame, n: int) -> DataFrame:
     return rows.select(HASH, hash_prefix(folder_digits(n)).alias("prefix"))
 
 
+#: Most rows that every executor gets whole.
+BROADCAST_ROWS = 1_000_000
+
+
 class DocumentStore:
     """A versioned set of documents with incremental, deduplicated updates.
 
@@ -117,8 +134,11 @@ class DocumentStore:
         An update costs the batch. With `reindex_threshold`, a set of more distinct documents is
         written as one set of files instead and, with `embed`, all its texts are embedded anew.
         """
-        fresh = new_documents(batch, self.known_hashes(batch), self.order, self.text) if deduplicate else with_hash(batch, self.text)
-        fresh = written(fresh)
+        if deduplicate:
+            first = written(_first_keys(batch, self.order, self.text))  # every text is hashed once
+            fresh = written(_kept(batch, first, self.known_hashes(first), self.order, self.text))
+        else:
+            fresh = written(with_hash(batch, self.text))
         if not fresh.limit(1).collect():
             return None
         store = self.table.read() if reindex_threshold is not None else None
@@ -130,24 +150,47 @@ class DocumentStore:
         return self.table.append(embed(fresh) if embed else fresh)
 
     def search(
-        self, texts: DataFrame, embed: Callable[[DataFrame], DataFrame], k: int = 3, key: str = "query_id", vector: str = "embedding"
-    ) -> DataFrame:
+        self,
+        texts: DataFrame,
+        embed: Callable[[DataFrame], DataFrame],
+        k: int = 3,
+        key: str = "query_id",
+        vector: str = "embedding",
+        shared: bool = False,
+    ) -> DataFrame | SharedHits:
         """(query_id, id, distance, rank, document): the k documents of the latest version nearest to each text.
 
-        `texts` has `key` and the store's text column; `embed` is the function the store was filled with. `id` is the
-        text of the first order column; equal distances go by all order columns and the content hash, as text.
-        Without a version there are no hits.
+        `texts` has a unique `key` and the store's text column; `embed` is the function the store was filled with. `id`
+        is the text of the first order column; equal distances go by all order columns and the content hash, as text.
+        Without a version there are no hits. Each text is embedded once, and texts that get the same vector are searched
+        as one; if `shared`, their hits are not repeated for each of them either.
         """
+        found = self._search(texts, embed, k, key, vector)
+        return found if shared else found.rows()
+
+    def _search(self, texts: DataFrame, embed: Callable[[DataFrame], DataFrame], k: int, key: str, vector: str) -> SharedHits:
         store = self.table.read()
         if store is None:
-            return texts.sparkSession.createDataFrame([], "query_id string, id string, distance double, rank int, document string")
+            spark = texts.sparkSession
+            members = spark.createDataFrame([], T.StructType([T.StructField("query_id", texts.schema[key].dataType), T.StructField("group", T.LongType())]))
+            return SharedHits(members, spark.createDataFrame([], "group long, id string, distance double, rank int, document string"))
         place = F.concat_ws(":", *[F.col(c).cast("string") for c in (*self.order, HASH)])
         base = store.select(place.alias("__place"), F.col(self.order[0]).cast("string").alias("id"), F.col(self.text).alias("document"), vector)
-        asked = embed(texts.select(F.col(key).alias("__place"), self.text))
+        asked = embed(texts.where(F.col(key).isNotNull()).select(F.col(key).alias("query_id"), self.text))
+        asked = written(asked.select("query_id", F.col(vector).alias("__vector")))
+        groups = written(asked.select("__vector").distinct().select("__vector", F.monotonically_increasing_id().alias("group")))
+        size = groups.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("__vector")).alias("d")).first()
+        few = size["n"] <= BROADCAST_ROWS and size["n"] * (size["d"] or 0) <= BROADCAST_ROWS
+        members = asked.join(F.broadcast(groups) if few else groups, "__vector").select("query_id", "group")
         # the narrow hits are kept: a caller that reads them twice searches once, and no text is written
-        hits = written(cosine_top_k(asked, base, k, "__place", vector)).withColumnRenamed("id", "__place")
-        named = base.select("__place", "id", "document").dropDuplicates(["__place"])
-        return hits.join(named, "__place").select("query_id", "id", "distance", "rank", "document")
+        known = base.select(F.col("__place").alias("group"), F.col(vector).alias("__vector"))
+        hits = written(cosine_top_k(groups, known, k, "group", "__vector").withColumnsRenamed({"query_id": "group", "id": "__place"}))
+        named = base.select("__place", "id", "document")
+        places = hits.select(F.xxhash64("__place").alias("__h")).distinct()
+        if size["n"] * k <= BROADCAST_ROWS:  # only documents that may be among the hits are shuffled
+            named = named.join(F.broadcast(places), F.xxhash64("__place") == F.col("__h"), "left_semi")
+        named = named.dropDuplicates(["__place"])
+        return SharedHits(members, hits.join(named, "__place").select("group", "id", "distance", "rank", "document"))
 
 
 class TextEmbedder:
@@ -189,7 +232,9 @@ def embed_with(
                 vectors = function(part.column(part.schema.get_field_index(text)).to_pylist())
                 if len(vectors) != part.num_rows:
                     raise ValueError(f"{len(vectors)} vectors for {part.num_rows} texts")
-                made = pa.array([list(map(float, v)) for v in vectors], pa.list_(pa.float32()))
+                ends = np.cumsum([0, *map(len, vectors)], dtype=np.int32)
+                numbers = np.fromiter(chain.from_iterable(vectors), np.float64, ends[-1])
+                made = pa.ListArray.from_arrays(pa.array(ends), pa.array(numbers.astype(np.float32)))
                 yield pa.RecordBatch.from_arrays([*part.columns, made], names=[*part.schema.names, name])
 
     schema = T.StructType([*df.schema.fields, T.StructField(name, T.ArrayType(T.FloatType()))])

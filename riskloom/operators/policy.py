@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.operators.similarity import SharedHits
+from riskloom.plans.frames import settle
+
 # Decision thresholds.
 HIGH_MARGIN = 0.30
 MEDIUM_MARGIN = 0.15
@@ -93,9 +96,14 @@ def with_decision(df: DataFrame) -> DataFrame:
     return out.withColumn("retrieve", should_retrieve(F.col("confidence_level"), F.col("predict_failed")))
 
 
+def _more(json: Column) -> Column:
+    """The members of a JSON object as they follow others: behind a comma, without brackets."""
+    return F.when(json == "{}", F.lit("")).otherwise(F.concat(F.lit(","), F.substring(json, F.lit(2), F.length(json) - 2)))
+
+
 def assess(
     scored: DataFrame,
-    hits: DataFrame,
+    hits: DataFrame | SharedHits,
     outcomes: DataFrame,
     key: str = "record_id",
     record_fields: Sequence[str] = (),
@@ -108,9 +116,19 @@ def assess(
     that went through `with_prediction_stub` and `with_decision` before is taken as it is.
     `hits` holds the search results of the gated records (query_id, id, distance, rank and, if
     wanted, document), where query_id is the record's `key` or, if named, its column `asked`, which many records
-    may share. Rows outside the gate ignore hits.
+    may share. As `SharedHits`, queries that share their hits meet one row of evidence. Rows outside the gate ignore hits.
     """
     decided = scored if "retrieve" in scored.columns else with_decision(with_prediction_stub(scored))
+    shared = isinstance(hits, SharedHits)
+    if shared:
+        members = hits.members.select(F.xxhash64("query_id").alias("__hash"), F.col("query_id").alias("__asked"), F.col("group").alias("__group"))
+        mine = F.col(asked or key)
+        # hashes first: a sort by texts that begin alike is slow
+        same = (F.xxhash64(mine) == F.col("__hash")) & (mine == F.col("__asked"))
+        decided = decided.join(members, same & F.col("retrieve"), "left").drop("__hash", "__asked")
+        # rows without a group have a negative one of their own, as nulls would all go to one task
+        decided = decided.withColumn("__group", F.coalesce("__group", -1 - F.pmod(F.xxhash64(key), F.lit(2**31))))
+        hits, asked = hits.hits.withColumnRenamed("group", "query_id"), "__group"
     shown = [c for c in ("id", "document", "distance") if c in hits.columns]
     found = hits.groupBy("query_id").agg(
         F.transform(
@@ -118,12 +136,16 @@ def assess(
             lambda h: F.struct(*[h[c].alias("record_id" if c == "id" else c) for c in shown]),
         ).alias("retrieved_records")
     )
+    # as JSON, made once for all records that share them
+    found = found.select("query_id", F.to_json(F.struct("retrieved_records")).alias("__json")).select("query_id", _more(F.col("__json")).alias("__retrieved"))
+    none = _more(F.to_json(F.struct(F.lit(None).cast("array<string>").alias("retrieved_records"))))
     votes = neighbour_votes(hits, outcomes, max_distance).select("query_id", "majority_loss")
     evidence = found.join(votes, "query_id", "left").withColumnRenamed("query_id", "__query")
+    evidence = settle(evidence) if shared else evidence
     joined = decided.join(evidence, (F.col(asked or key) == F.col("__query")) & F.col("retrieve"), "left").drop("__query")
 
     retrieval_error = F.col("retrieval_error") if "retrieval_error" in scored.columns else F.lit(None).cast("string")
-    has_hits = F.col("retrieved_records").isNotNull()
+    has_hits = F.col("__retrieved").isNotNull()
     joined = joined.withColumn("conflict_detected", conflict_detected(F.col("is_loss_making_prediction"), F.col("majority_loss")))
     escalate = should_escalate(F.col("confidence_level"), F.col("conflict_detected"))
     warnings = F.array_compact(
@@ -146,15 +168,18 @@ def assess(
             "deterministic": escalate & (F.col("confidence_level") == "low") & ~has_hits,
         }
     )
-    evidence_json = F.to_json(
+    told = F.to_json(
         F.struct(
             F.struct(*[F.col(c) for c in record_fields if c != key]).alias("record") if record_fields else F.lit(None).cast("string").alias("record"),
             F.struct(
                 F.col("is_loss_making_prediction").alias("is_loss_making"), "probability_of_loss", "top_features"
             ).alias("prediction"),
-            "confidence_level", "risk_assessment", "second_opinion_recommended", "retrieved_records", "warnings",
+            "confidence_level", "risk_assessment", "second_opinion_recommended",
         )
     )
+    out = out.withColumns({"__told": told, "__warned": F.to_json(F.struct("warnings"))})  # columns, as they are named more than once
+    head = F.substring("__told", F.lit(1), F.length("__told") - 1)
+    evidence_json = F.concat(head, F.coalesce("__retrieved", none), _more(F.col("__warned")), F.lit("}"))
     fixed = F.col("deterministic")
     return out.select(
         key,

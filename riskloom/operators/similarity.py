@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -335,6 +336,19 @@ def _ranked(best: DataFrame, asked: _Keys, known: _Keys, digits: int) -> DataFra
     return asked.ids(known.ids(best)).select("query_id", "id", F.round("distance", digits).alias("distance"), "rank")
 
 
+@dataclass
+class SharedHits:
+    """Hits of queries that share them: `members` (query_id, group), `hits` (group, id, distance, rank and, if wanted, document)."""
+
+    members: DataFrame
+    hits: DataFrame
+
+    def rows(self) -> DataFrame:
+        """(query_id, id, distance, rank, ...): the hits of every query."""
+        found = [c for c in self.hits.columns if c != "group"]
+        return self.members.join(self.hits, "group").select("query_id", *found)
+
+
 #: Bounds of what an index is fitted on: rows for the centres, most cells, queries for the probes.
 FIT_ROWS, MOST_CELLS, FIT_QUERIES = 200_000, 4_096, 2_000
 #: The recall that probes are chosen for; a little above the 0.9 that a search has to reach on other queries.

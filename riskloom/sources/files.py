@@ -31,12 +31,11 @@ def read_records_csv(spark: SparkSession, path: str, schema: T.StructType = RECO
 def record_struct(text: str | Column, schema: T.StructType = REQUEST) -> Column:
     """Record from JSON text, bare or under `record`; anything that is not an object gives NULL."""
     column = F.col(text) if isinstance(text, str) else text
-    fields = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
     inner = F.get_json_object(column, "$.record")
     chosen = F.when(inner.startswith("{"), inner).otherwise(column)
     is_object = F.trim(column).startswith("{") & F.try_parse_json(column).isNotNull()
-    parsed = F.from_json(chosen, fields, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
-    return F.when(is_object, parsed.dropFields(CORRUPT))
+    # the struct is named once: dropping a field from it would parse the text again for every field
+    return F.when(is_object, F.from_json(chosen, schema, {"mode": "PERMISSIVE"}))
 
 
 def read_record_json(spark: SparkSession, path: str, schema: T.StructType = REQUEST) -> tuple[DataFrame, DataFrame]:
