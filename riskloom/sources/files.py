@@ -31,7 +31,8 @@ def read_records_csv(spark: SparkSession, path: str, schema: T.StructType = RECO
 def record_struct(text: str | Column, schema: T.StructType = REQUEST) -> Column:
     """Record from JSON text, bare or under `record`; anything that is not an object gives NULL."""
     column = F.col(text) if isinstance(text, str) else text
-    inner = F.get_json_object(column, "$.record")
+    # the name stands in the text as it is, unless something in it is escaped
+    inner = F.when(column.contains('"record"') | column.contains("\\"), F.get_json_object(column, "$.record"))
     chosen = F.when(inner.startswith("{"), inner).otherwise(column)
     is_object = F.trim(column).startswith("{") & F.try_parse_json(column).isNotNull()
     # the struct is named once: dropping a field from it would parse the text again for every field

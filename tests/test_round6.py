@@ -13,11 +13,12 @@ from riskloom.sources.files import record_struct
 
 def test_a_record_is_parsed_once(spark):
     texts = ['{"record_id":"a","limit":5,"premium":"x"}', '{"record":{"record_id":"b","prior_claims":2}}', '{"record":7,"record_id":"c"}', "[1]", "{", None]
+    texts += ['{"\\u0072ecord":{"record_id":"d"}}', '{"x":{"record":{"record_id":"no"}},"record_id":"e"}', '{"record" : {"record_id":"f"},"record_id":"no"}']
     df = spark.createDataFrame([(t,) for t in texts], "payload string").repartition(2)
     out = df.select(record_struct("payload").alias("r")).select("r.*")
     assert out._jdf.queryExecution().executedPlan().toString().count("from_json") == 1
     got = sorted((r["record_id"], r["limit"], r["premium"], r["prior_claims"]) for r in out.where("record_id IS NOT NULL").collect())
-    assert got == [("a", 5.0, None, None), ("b", None, None, 2.0), ("c", None, None, None)] and out.count() == 6
+    assert got == [("a", 5.0, None, None), ("b", None, None, 2.0), ("c", None, None, None), *((k, None, None, None) for k in "def")] and out.count() == 9
 
 
 def test_squeezed_runs(spark):
